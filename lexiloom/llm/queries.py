@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, sharding
+from . import exact_dedup, near_dup, sharding, token_files
 from .common import table
 
 
@@ -14,13 +14,23 @@ def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
 
+def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     "op5_virtual_slots": op5_virtual_slots,
+    "op6_token_files": op6_token_files,
     "op7_stream_dedup": op7_stream_dedup,
+    "op10_bbit_minhash": op10_bbit_minhash,
 }
 
 ORACLE = {
@@ -28,4 +38,18 @@ ORACLE = {
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM n JOIN g USING (norm)""",
+    "op10_bbit_minhash": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS sh FROM w),
+        e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+        -- a pair at 0.8 shares one of the first n - ceil(0.8 n) + 1 shingles in any common order; rare ones first
+        f AS (SELECT g, count(*) AS df FROM e GROUP BY g),
+        r AS (SELECT e.doc_id, e.n, e.g, row_number() OVER (PARTITION BY e.doc_id ORDER BY f.df, e.g) AS k FROM e JOIN f USING (g)),
+        p AS (SELECT doc_id, n, g FROM r WHERE k <= n - (4 * n + 4) // 5 + 1),
+        c AS (SELECT DISTINCT a.doc_id AS u, b.doc_id AS v FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+        j AS (SELECT u, v, len(list_intersect(a.sh, b.sh)) AS i, len(a.sh) + len(b.sh) AS t FROM c JOIN s a ON a.doc_id = u JOIN s b ON b.doc_id = v),
+        l AS (SELECT u, v FROM j WHERE 100 * i >= 80 * (t - i) UNION SELECT v, u FROM j WHERE 100 * i >= 80 * (t - i)),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, l.v FROM reach JOIN l ON reach.b = l.u),
+        m AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT doc_id, len(sh) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN m USING (doc_id)""",
 }
