@@ -26,7 +26,11 @@ from pyspark.sql import functions as F
 from .common import fresh_path, lower_ascii, staged
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
+#: Many small stores: no disk is set aside in advance.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": PROVIDER,
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Files of one micro-batch, and groups whose keys may be broadcast (8 bytes each).
 FILES_PER_BATCH = 1000
 BROADCAST_GROUPS = 200_000
@@ -58,12 +62,14 @@ def retained(spark: SparkSession, path: str, digest: Callable[[Column], Column]
         # a batch that runs again after a failure overwrites its own folder
         batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/number={number}")
 
-    before = spark.conf.get(PROVIDER_KEY, None)
-    spark.conf.set(PROVIDER_KEY, PROVIDER)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         state.writeStream.outputMode("update").option("checkpointLocation", log).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(PROVIDER_KEY, before) if before else spark.conf.unset(PROVIDER_KEY)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     spark.createDataFrame([], STATE).write.parquet(f"{out}/number=-1")
     updates = spark.read.schema(STATE).parquet(f"{out}/number=*")
     return updates.groupBy("digest").agg(F.max_by(F.struct("keep", "n"), "batch").alias("last")).select("digest", "last.keep", "last.n")
