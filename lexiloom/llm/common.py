@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,5 +61,39 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def lower_ascii(text: Column) -> Column:
-    """A-Z to a-z and nothing else; null is empty."""
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
+    """A-Z to a-z and nothing else; null is empty. Plain ASCII takes the faster lower()."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
+
+
+def add_columns(df: DataFrame, fields: str, make: Callable[[], Callable[[list], list[list]]], text: str = "text", step: int = 256) -> DataFrame:
+    """df with new columns made in Python from the column `text`.
+
+    make() is called once per task and gives a function from a list of texts to one list
+    per new column. Columns of df with the name of a new one are replaced. Batches are cut
+    into `step` rows, so that memory is bounded by those rows' texts.
+    """
+    names = [f.strip().split(" ")[0] for f in fields.split(",")]
+    kept = df.drop(*[n for n in names if n != text])
+    probe = df.sparkSession.createDataFrame([], fields).schema
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    types_ = [f.type for f in to_arrow_schema(probe)]
+    place = kept.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            for i in range(0, batch.num_rows, step):
+                b = batch.slice(i, step)
+                new = f(b.column(place).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(x, t) for x, t in zip(new, types_, strict=True)]], names=[*b.schema.names, *names])
+
+    from pyspark.sql.types import StructType
+
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, *probe.fields]))
+
+
+def worker_store() -> types.ModuleType:
+    """What a Python worker keeps between tasks."""
+    return sys.modules.setdefault("_lexiloom_worker", types.ModuleType("_lexiloom_worker"))

@@ -38,7 +38,8 @@ STATE = "digest string, keep struct<doc_id:bigint,file:string,row:bigint>, n big
 
 
 def sha256(norm: Column) -> Column:
-    return F.sha2(norm, 256)
+    # never null, and known not to be: else joins filter on it first and compute it twice
+    return F.coalesce(F.sha2(norm, 256), F.lit(""))
 
 
 def _rows(raw: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
@@ -79,7 +80,8 @@ def exact_dedup(spark: SparkSession, path: str, digest: Callable[[Column], Colum
     """One row per row of the Parquet files at path: doc_id, keep_id, group_size, kept, text_sha256."""
     state = staged(retained(spark, path, digest, files_per_batch), "dedup_kept")
     rows = _rows(spark.read.parquet(path), digest)
-    found = rows.select("at", "digest", sha256(F.col("norm")).alias("text_sha256")).join(state, "digest")
+    text_sha256 = F.col("digest") if digest is sha256 else sha256(F.col("norm"))
+    found = rows.select("at", "digest", text_sha256.alias("text_sha256")).join(state, "digest")
     found = staged(found.select("at", "digest", "keep", "n", "text_sha256"), "dedup_rows")
     # full bytes of all rows whose digest was there before
     groups = state.where("n > 1").select("digest", "keep")
