@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dup, sharding, token_files
+from . import exact_dedup, language, near_dup, quality, sharding, token_files
 from .common import table
 
 
+def op1_marginal_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    out = language.identify(docs.select("doc_id", "text"), language.train(docs))
+    return out.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
@@ -22,14 +28,22 @@ def op7_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
 
+def op8_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    out = quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 QUERIES = {
+    "op1_marginal_unigrams": op1_marginal_unigrams,
     "op5_virtual_slots": op5_virtual_slots,
     "op6_token_files": op6_token_files,
     "op7_stream_dedup": op7_stream_dedup,
+    "op8_additive_model": op8_additive_model,
     "op10_bbit_minhash": op10_bbit_minhash,
 }
 

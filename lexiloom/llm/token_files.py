@@ -24,8 +24,6 @@ empty table writes no block; other columns are ignored.
 from __future__ import annotations
 
 import re
-import sys
-import types
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -36,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh_path, staged
+from .common import fresh_path, staged, worker_store
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
@@ -127,7 +125,7 @@ def _byte_decoder() -> set[str]:
 
 def worker_encoder(path: str) -> Encoder:
     """One encoder per Python worker, kept between tasks."""
-    store = sys.modules.setdefault("_lexiloom_worker", types.ModuleType("_lexiloom_worker"))
+    store = worker_store()
     if getattr(store, "encoder_path", None) != path:
         store.encoder, store.encoder_path = Encoder(path), path
     return store.encoder
