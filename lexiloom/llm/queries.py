@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, near_dup, quality, sharding, token_files
+from . import chat, decontaminate, exact_dedup, html_text, language, near_dup, quality, sharding, token_files
 from .common import table
 
 
@@ -15,6 +15,17 @@ def op1_marginal_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op2_chat_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.with_probe(table(spark, sf_dir, "conversations"))
+    return chat.digests(chat.format_records(chat.message_records(turns)))
+
+
+def op3_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    out = decontaminate.judged(decontaminate.search(docs, table(spark, sf_dir, "benchmark")))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
@@ -34,16 +45,23 @@ def op8_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op9_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 QUERIES = {
     "op1_marginal_unigrams": op1_marginal_unigrams,
+    "op2_chat_fingerprints": op2_chat_fingerprints,
+    "op3_wu_manber": op3_wu_manber,
     "op5_virtual_slots": op5_virtual_slots,
     "op6_token_files": op6_token_files,
     "op7_stream_dedup": op7_stream_dedup,
     "op8_additive_model": op8_additive_model,
+    "op9_host_paths": op9_host_paths,
     "op10_bbit_minhash": op10_bbit_minhash,
 }
 
