@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, html_text, language, near_dup, quality, sharding, token_files
+from . import chat, decontaminate, exact_dedup, html_text, language, mixing, near_dup, quality, sharding, token_files
 from .common import table
 
 
@@ -26,6 +26,11 @@ def op3_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_tree_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
+    return out.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+
+
 def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
@@ -57,6 +62,7 @@ QUERIES = {
     "op1_marginal_unigrams": op1_marginal_unigrams,
     "op2_chat_fingerprints": op2_chat_fingerprints,
     "op3_wu_manber": op3_wu_manber,
+    "op4_tree_budgets": op4_tree_budgets,
     "op5_virtual_slots": op5_virtual_slots,
     "op6_token_files": op6_token_files,
     "op7_stream_dedup": op7_stream_dedup,
