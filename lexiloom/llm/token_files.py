@@ -89,11 +89,13 @@ class Encoder:
 
     def learn(self, new: list[bytes]) -> None:
         """Encode pieces: words in one go, split by byte widths; others alone."""
-        words = [w for w in new if WORD.fullmatch(w)]
-        rest = [w for w in new if not WORD.fullmatch(w)]
-        for i in range(0, len(words), 20_000):
-            some = words[i : i + 20_000]
-            ids = np.array(self.tok.encode(b"".join(some).decode(), add_special_tokens=False).ids, np.uint32)
+        words, rest = [], []
+        for w in new:
+            (words if WORD.fullmatch(w) else rest).append(w)
+        runs = [words[i : i + 500] for i in range(0, len(words), 500)]
+        joined = self.tok.encode_batch_fast([b"".join(some).decode() for some in runs], add_special_tokens=False)
+        for some, found in zip(runs, joined, strict=True):
+            ids = np.array(found.ids, np.uint32)
             ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(w) for w in some])) + 1
             starts = np.concatenate(([0], ends[:-1]))
             raw = ids.tobytes()
@@ -110,11 +112,15 @@ class Encoder:
         for t in texts:
             data = (t or "").encode()
             cut.append(PIECES.findall(data) if self.simple(data) else None)
-        cache = self.cache
-        if new := {w for c in cut if c for w in c if w not in cache}:
+        # one look-up a piece: dictionary misses in memory are most of the cost
+        got = [None if c is None else list(map(self.cache.get, c)) for c in cut]
+        lost = [[] if g is None else [i for i, v in enumerate(g) if v is None] for g in got]
+        if new := {c[i] for c, at in zip(cut, lost, strict=True) for i in at}:
             self.learn(list(new))
-        get = cache.__getitem__
-        return [self.whole(t) if c is None else np.frombuffer(b"".join(map(get, c)), np.uint32) for t, c in zip(texts, cut, strict=True)]
+        for c, g, at in zip(cut, got, lost, strict=True):
+            for i in at:
+                g[i] = self.cache[c[i]]
+        return [self.whole(t) if g is None else np.frombuffer(b"".join(g), np.uint32) for t, g in zip(texts, got, strict=True)]
 
 
 def _byte_decoder() -> set[str]:
