@@ -1,6 +1,521 @@
-"""All registered queries of the retrieval engine."""
+"""All registered queries of the retrieval engine, with their DuckDB equivalents.
+
+Corpus: documents (lines are blocks). Lexical queries: benchmark passages. Dense index:
+embeddings, the first N_QUERIES of which are queries; equal labels are relevant.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import citations, scripts, text as tx
+from ..operators import answer, blocks, chunks, evaluate, index, retrieval, traces
+from ..operators.seams import overlap_score
+from ..sources.readers import table
+from . import sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def docs_of(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents", "doc_id", "text")
+
+
+# --- scripts and text
+
+
+@query(f"SELECT doc_id, {', '.join(f'{sql.bucket('text', b)} AS {b}' for b in scripts.BUCKETS)} FROM documents")
+def script_histogram(spark, sf):
+    return docs_of(spark, sf).select("doc_id", scripts.histogram(F.col("text")).alias("h")).select("doc_id", "h.*")
+
+
+@query(f"SELECT doc_id, {sql.detect('text')} AS script FROM documents")
+def script_detect(spark, sf):
+    return docs_of(spark, sf).select("doc_id", scripts.detect(F.col("text")).alias("script"))
+
+
+@query(f"WITH s AS (SELECT {sql.detect('text')} AS script FROM documents) SELECT script, CASE script {' '.join(f'WHEN {s!r} THEN {x!r}' for s, x in scripts.SCRIPT_LANG.items())} ELSE 'und' END AS lang_tag, count(*) AS n FROM s GROUP BY 1, 2")
+def lang_for_script(spark, sf):
+    s = docs_of(spark, sf).select(scripts.detect(F.col("text")).alias("script"))
+    return s.groupBy("script").agg(F.count("*").alias("n")).withColumn("lang_tag", scripts.language_of(F.col("script")))
+
+
+@query(f"SELECT doc_id, CAST({sql.count('text', sql.NOT_SPACE + '+')} AS INTEGER) AS n FROM documents")
+def token_count(spark, sf):
+    return docs_of(spark, sf).select("doc_id", tx.count_tokens(F.col("text"), scripts.detect(F.col("text"))).alias("n"))
+
+
+_LEGACY = f"CASE WHEN {sql.count('text', sql.NOT_SPACE)} = 0 OR {sql.count('text', scripts.char_class(scripts.REAL_SCRIPT))} > 0 THEN 0.0 ELSE CAST({sql.count('text', scripts.char_class(scripts.LEGACY_SUSPECT))} AS DOUBLE) / {sql.count('text', sql.NOT_SPACE)} END"
+_SPACED = f"list_filter(string_split_regex(text, {sql.quoted(sql.SPACE + '+')}), lambda x: regexp_matches(x, {sql.quoted(scripts.char_class(scripts.SPACED_SCRIPT))}))"
+_MIXED = f"CASE WHEN len({_SPACED}) > 0 THEN CAST(len(list_filter({_SPACED}, lambda x: regexp_matches(x, '[A-Za-z]'))) AS DOUBLE) / len({_SPACED}) ELSE 0.0 END"
+
+
+@query(f"SELECT doc_id, round({_LEGACY}, 9) AS ratio FROM documents")
+def legacy_ratio(spark, sf):
+    return docs_of(spark, sf).select("doc_id", F.round(scripts.legacy_ratio(F.col("text")), 9).alias("ratio"))
+
+
+@query(f"SELECT doc_id, round({_MIXED}, 9) AS ratio FROM documents")
+def mixed_script_ratio(spark, sf):
+    return docs_of(spark, sf).select("doc_id", F.round(scripts.mixed_ratio(F.col("text")), 9).alias("ratio"))
+
+
+@query(
+    f"WITH {sql.BLOCKS}, j AS (SELECT doc_id, max(page) AS n_pages, string_agg(text, '' ORDER BY reading_order) AS text, "
+    f"CAST(sum(length(regexp_replace(text, {sql.quoted(f'^{sql.SPACE}+|{sql.SPACE}+$')}, '', 'g'))) AS DOUBLE) AS chars FROM blocks GROUP BY doc_id) "
+    f"SELECT doc_id, n_pages, chars / n_pages >= {scripts.MIN_CHARS_PER_PAGE} AND {_MIXED} <= {scripts.MIXED_MAX} AND {_LEGACY} <= {scripts.LEGACY_MAX} AS has_text_layer FROM j"
+)
+def text_layer_gate(spark, sf):
+    b = blocks.document_blocks(docs_of(spark, sf))
+    pages = b.groupBy("doc_id").agg(F.max("page").alias("n_pages"))
+    return blocks.text_layer_gate(b, pages).select("doc_id", "n_pages", "has_text_layer")
+
+
+_PRICED = " + ".join(f"{sql.bucket('text', b)} / {r}" for b, r in tx.CHARS_PER_TOKEN.items())
+_REST = f"(length(text) - {' - '.join(sql.bucket('text', b) for b in tx.CHARS_PER_TOKEN)}) / {tx.DEFAULT_CHARS_PER_TOKEN}"
+
+
+@query(f"SELECT conv_id, turn, CAST(ceil(round(({_PRICED} + {_REST}) * {tx.ESTIMATE_SAFETY}, 9)) AS BIGINT) AS n FROM conversations")
+def estimate_tokens(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", tx.estimate_tokens(F.col("text")).alias("n"))
+
+
+_ONE_LINE = r"regexp_replace(regexp_replace(t, chr(10), ' ', 'g'), '[\x{AD}\x{FEFF}]', '', 'g')"
+_LINES = f"list_filter(list_transform(string_split(regexp_replace(nfc_normalize(text), {sql.quoted(tx.LINE_BREAK)}, chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, {sql.quoted(f'^{sql.SPACE}+|{sql.SPACE}+$')}, '', 'g')), lambda x: x <> '')"
+
+
+@query(
+    rf"""WITH j AS (SELECT doc_id, array_to_string({_LINES}, chr(10)) AS t FROM documents),
+    h AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(\p{{L}})[-‐‑]\n(\p{{Ll}})', '\1\2', 'g'), '(\p{{L}}[-‐‑])\n(\p{{L}})', '\1\2', 'g') AS t FROM j)
+    SELECT doc_id, {sql.collapse(_ONE_LINE)} AS text FROM h"""
+)
+def normalize_text(spark, sf):
+    raw = tx.nfc(F.col("text"))
+    rows = docs_of(spark, sf).withColumn("text", raw).withColumn("script", scripts.detect(F.col("text")))
+    return rows.select("doc_id", tx.normalise(F.col("text"), F.col("script")).alias("text"))
+
+
+@query(f"SELECT doc_id, {sql.tokens('text')} AS t FROM documents".replace("AS t FROM", "AS words FROM").join(("SELECT doc_id, len(words) AS n, array_to_string(words[1:20], ' ') AS head FROM (", ")")))
+def tokenize(spark, sf):
+    rows = docs_of(spark, sf).select("doc_id", tx.tokens(F.col("text"), scripts.detect(F.col("text"))).alias("t"))
+    return rows.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.slice("t", 1, 20), " ").alias("head"))
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN length(t) <= {tx.SNIPPET_CHARS} THEN t ELSE rtrim(substring(t, 1, {tx.SNIPPET_CHARS})) || '…' END AS snippet FROM (SELECT conv_id, turn, {sql.collapse('text')} AS t FROM conversations)")
+def snippets(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", tx.snippet(F.col("text")).alias("snippet"))
+
+
+_FOUND = r"regexp_extract(head, '^\s*(\d+(?:[.\-]\d+)*)\s*[.):]?\s+\S', 1)"
+
+
+@query(f"WITH h AS (SELECT doc_id, CAST(doc_id % 12 AS VARCHAR) || CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN '.2' ELSE '.2-7' END || CASE WHEN doc_id % 5 = 0 THEN 'x ' ELSE ') ' END || substring(text, 1, 20) AS head FROM documents) SELECT doc_id, CAST(CASE WHEN {_FOUND} = '' THEN 1 ELSE len(string_split_regex({_FOUND}, '[.\\-]')) END AS INTEGER) AS level FROM h")
+def heading_level(spark, sf):
+    d = F.col("doc_id")
+    number = F.concat((d % 12).cast("string"), F.when(d % 3 == 0, "").when(d % 3 == 1, ".2").otherwise(".2-7"), F.when(d % 5 == 0, "x ").otherwise(") "))
+    return docs_of(spark, sf).select("doc_id", tx.heading_level(F.concat(number, F.substring("text", 1, 20))).alias("level"))
+
+
+@query(f"SELECT item_id, CASE WHEN {sql.detect('text')} = 'latn' THEN '(Answer in English.)' ELSE '' END AS reminder FROM benchmark")
+def language_reminder(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", tx.language_reminder(F.col("text")).alias("reminder"))
+
+
+# --- blocks
+
+
+@query(f"WITH {sql.BLOCKS} SELECT doc_id, page, reading_order, text, substring(doc_id, 1, 12) || ':' || page || ':' || lpad(CAST(reading_order AS VARCHAR), 5, '0') AS block_id FROM blocks")
+def document_blocks(spark, sf):
+    return blocks.document_blocks(docs_of(spark, sf))
+
+
+_SIZE, _BOLD = "(8 + CAST(doc_id AS BIGINT) % 7)", "((reading_order % 5) / 4.0)"
+
+
+@query(
+    f"""WITH {sql.BLOCKS}, s AS (SELECT *, CAST(8 + (CAST(doc_id AS BIGINT) + reading_order) % 7 AS DOUBLE) AS size, (reading_order % 5) / 4.0 AS bold FROM blocks),
+    w AS (SELECT doc_id, round(size, 1) AS size, sum(length(text)) AS chars FROM s GROUP BY 1, 2),
+    b AS (SELECT doc_id, arg_max(size, {{'c': chars, 's': -size}}) AS body_size FROM w GROUP BY 1)
+    SELECT doc_id, reading_order, body_size, CASE
+      WHEN length(text) <= 400 AND (regexp_matches(text, '(?i)^\\s*(fig(?:ure)?|table|chart|plate|exhibit)\\.?\\s*\\d') OR (size / body_size <= 0.92 AND length(text) >= 12)) THEN 'caption'
+      WHEN length(text) <= 120 AND (size / body_size >= 1.15 OR (bold >= 0.6 AND size / body_size >= 1.02)) THEN 'heading'
+      WHEN regexp_matches(text, '{blocks.LIST_ITEM}') THEN 'list' ELSE 'paragraph' END AS kind FROM s JOIN b USING (doc_id)"""
+)
+def classify_blocks(spark, sf):
+    b = blocks.document_blocks(docs_of(spark, sf))
+    b = b.withColumn("size", (8 + (F.col("doc_id").cast("long") + F.col("reading_order")) % 7).cast("double")).withColumn("bold", (F.col("reading_order") % 5) / 4.0)
+    rows = b.join(blocks.body_size(b), "doc_id")
+    kind = blocks.classify(F.col("text"), F.col("size"), F.col("bold"), F.col("body_size"), F.lit(False))
+    return rows.select("doc_id", "reading_order", "body_size", kind.alias("kind"))
+
+
+@query("SELECT text_hash, min(doc_id) AS doc_id, count(*) AS n FROM (SELECT doc_id, sha256(text) AS text_hash FROM documents) GROUP BY text_hash")
+def dedupe_documents(spark, sf):
+    # the first by ordinal is a minimum: no window over the copies is needed
+    return docs_of(spark, sf).groupBy(F.sha2("text", 256).alias("text_hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY round_even(l_quantity / 12.5, 0), l_extendedprice, l_linenumber) - 1 AS INTEGER) AS reading_order FROM lineitem")
+def reading_order(spark, sf):
+    items = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    place = Window.partitionBy("l_orderkey").orderBy(F.bround(F.col("l_quantity") / 12.5), "l_extendedprice", "l_linenumber")
+    return items.select("l_orderkey", "l_linenumber", (F.row_number().over(place) - 1).alias("reading_order"))
+
+
+# --- lexical
+
+
+def _bench_queries(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _doc_rows(spark, sf):
+    return docs_of(spark, sf).withColumnRenamed("doc_id", "row_id")
+
+
+@query(f"WITH {sql.bm25()} SELECT row_id, len(t) AS doc_len, len(list_distinct(t)) AS n_terms, (SELECT round(avg_len, 6) FROM stats) AS avg_len FROM tok")
+def bm25_documents(spark, sf):
+    t = retrieval.tokenised(_doc_rows(spark, sf), "row_id")
+    avg = t.agg(F.round(F.avg(F.size("tokens")), 6).alias("avg_len"))
+    return t.select("row_id", F.size("tokens").cast("long").alias("doc_len"), F.size(F.array_distinct("tokens")).cast("long").alias("n_terms")).crossJoin(F.broadcast(avg))
+
+
+@query(f"WITH {sql.bm25()} SELECT term, row_id, tf, doc_len FROM post")
+def bm25_postings(spark, sf):
+    return retrieval.postings(retrieval.tokenised(_doc_rows(spark, sf), "row_id")).withColumn("doc_len", F.col("doc_len").cast("long"))
+
+
+@query(f"WITH {sql.bm25()} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM dfs CROSS JOIN stats")
+def bm25_idf(spark, sf):
+    t = retrieval.tokenised(_doc_rows(spark, sf), "row_id")
+    df = t.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    n = t.agg(F.count("*").alias("n"))
+    return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(retrieval.idf(F.col("df"), F.col("n")), 6).alias("idf"))
+
+
+@query(f"WITH {sql.bm25()} SELECT query_id, row_id, score, rank FROM lexical")
+def bm25_topk(spark, sf):
+    return retrieval.lexical_hits(_bench_queries(spark, sf), _doc_rows(spark, sf)).select("query_id", "row_id", "score", "rank")
+
+
+# --- dense
+
+
+def _vectors(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"), "label")
+
+
+def _dense(spark, sf, k=20):
+    v = _vectors(spark, sf)
+    return retrieval.dense_hits(v.where(F.col("row_id") < sql.N_QUERIES).withColumnRenamed("row_id", "query_id"), v, k)
+
+
+@query("WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT vec_id, round(CASE WHEN list_dot_product(e, e) > 0 THEN e[1] / sqrt(list_dot_product(e, e)) ELSE 0 END, 6) AS first_value, len(e) AS dim FROM v")
+def l2_normalize(spark, sf):
+    v = _vectors(spark, sf).select("row_id", index.l2_normalise(F.col("vector")).alias("u"))
+    return v.select(F.col("row_id").alias("vec_id"), F.round(F.col("u")[0], 6).alias("first_value"), F.size("u").cast("long").alias("dim"))
+
+
+@query(f"WITH {sql.dense()} SELECT query_id, row_id, score, rank FROM dense")
+def dense_topk(spark, sf):
+    return _dense(spark, sf).select("query_id", "row_id", "score", "rank")
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (len(embedding) <> 64) AS bad_width, count(*) - count(DISTINCT vec_id) AS repeated FROM embeddings")
+def index_validate(spark, sf):
+    v = _vectors(spark, sf)
+    bad = index.faults(v, 64, "row_id").agg(F.sum((F.col("fault") == "width").cast("long")).alias("w"), F.sum((F.col("fault") == "repeated").cast("long")).alias("r"))
+    return v.agg(F.count("*").alias("n")).crossJoin(bad).select("n", F.coalesce("w", F.lit(0)).alias("bad_width"), F.coalesce("r", F.lit(0)).alias("repeated"))
+
+
+_TOP_OTHER = "SELECT query_id, max(score) AS top_score FROM dense WHERE row_id <> query_id GROUP BY query_id"
+
+
+@query(f"WITH {sql.dense()} SELECT query_id, top_score, coalesce(top_score < 0.45, true) AS abstained FROM (SELECT vec_id AS query_id FROM embeddings WHERE vec_id < {sql.N_QUERIES}) LEFT JOIN ({_TOP_OTHER}) USING (query_id)")
+def abstain_gate(spark, sf):
+    hits = _dense(spark, sf).where("row_id <> query_id").withColumn("gate_score", F.col("score"))
+    qs = _vectors(spark, sf).where(F.col("row_id") < sql.N_QUERIES).select(F.col("row_id").alias("query_id"))
+    return retrieval.gate(qs, hits)
+
+
+# --- fusion, reranking, rewriting
+
+
+def _second_arm(hits):
+    """A lexical stand-in over the same rows: a fixed reshuffle of the dense list."""
+    return hits.where(F.col("rank") > 2).select("query_id", F.col("row_id"), (21 - F.col("rank")).alias("rank"), F.lit(None).cast("double").alias("gate_score"), "degraded")
+
+
+def _fused_sql(w1: float, w2: float, k: int = 20) -> str:
+    return f"""WITH {sql.dense()}, arms AS (SELECT query_id, row_id, rank, {w1} AS w, 0 AS arm FROM dense UNION ALL SELECT query_id, row_id, 21 - rank AS rank, {w2} AS w, 1 AS arm FROM dense WHERE rank > 2),
+    s AS (SELECT query_id, row_id, round(sum(w / (60 + rank)), 9) AS score, min({{'a': arm, 'r': rank}}) AS seen FROM arms GROUP BY 1, 2)
+    SELECT query_id, row_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, row_id) AS INTEGER) AS rank FROM s QUALIFY rank <= {k}"""
+
+
+@query(_fused_sql(1.0, 1.0))
+def rrf_fuse(spark, sf):
+    d = _dense(spark, sf)
+    return retrieval.fuse([(d, 1.0), (_second_arm(d), 1.0)], 20).select("query_id", "row_id", "score", "rank")
+
+
+@query(_fused_sql(3.0, 1.0, 10))
+def rrf_weighted(spark, sf):
+    d = _dense(spark, sf)
+    return retrieval.fuse([(d, 3.0), (_second_arm(d), 1.0)], 10).select("query_id", "row_id", "score", "rank")
+
+
+_WORDS_ARM = f"""overlap AS (SELECT a.query_id, b.row_id, CAST(len(list_intersect(a.t, b.t)) AS DOUBLE) AS hits FROM (SELECT query_id, list_distinct(list(term)) AS t FROM q GROUP BY query_id) a JOIN (SELECT row_id, list_distinct(t) AS t FROM tok) b ON true WHERE (a.query_id, b.row_id) IN (SELECT (query_id, row_id) FROM lexical)),
+    second AS (SELECT query_id, row_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, row_id) AS INTEGER) AS rank FROM overlap)"""
+
+
+def _overlap(spark, sf, hits):
+    rows = hits.join(_doc_rows(spark, sf).withColumnRenamed("text", "passage"), "row_id").join(F.broadcast(_bench_queries(spark, sf)), "query_id")
+    return rows.select("query_id", "row_id", "rank", "score", F.round(overlap_score(F.col("text"), F.col("passage")), 9).alias("new_score"))
+
+
+@query(
+    f"""WITH {sql.bm25()}, {_WORDS_ARM}, arms AS (SELECT query_id, row_id, rank, 0 AS arm FROM lexical UNION ALL SELECT query_id, row_id, rank, 1 AS arm FROM second),
+    s AS (SELECT query_id, row_id, round(sum(1.0 / (60 + rank)), 9) AS score, min({{'a': arm, 'r': rank}}) AS seen FROM arms GROUP BY 1, 2)
+    SELECT query_id, row_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, row_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 20"""
+)
+def hybrid_topk(spark, sf):
+    lexical = retrieval.lexical_hits(_bench_queries(spark, sf), _doc_rows(spark, sf))
+    scored = _overlap(spark, sf, lexical).select("query_id", "row_id", F.col("new_score").alias("score"))
+    other = retrieval.top_k(scored, 20).withColumns({"gate_score": F.col("score"), "degraded": F.lit(0)})
+    return retrieval.fuse([(lexical, 1.0), (other, 1.0)], 20).select("query_id", "row_id", "score", "rank")
+
+
+@query(
+    f"""WITH {sql.bm25()}, {_WORDS_ARM}, r AS (SELECT l.query_id, l.row_id, l.rank, o.hits / (SELECT count(*) FROM q WHERE q.query_id = l.query_id) AS s FROM lexical l JOIN overlap o USING (query_id, row_id))
+    SELECT query_id, row_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank <= 10 DESC, CASE WHEN rank <= 10 THEN round(s, 9) END DESC NULLS LAST, rank) AS INTEGER) AS rank FROM r"""
+)
+def rerank_topn(spark, sf):
+    lexical = retrieval.lexical_hits(_bench_queries(spark, sf), _doc_rows(spark, sf))
+    scores = _overlap(spark, sf, lexical).where("rank <= 10").select("query_id", "row_id", "new_score")
+    return retrieval.rerank(lexical, scores, 10).select("query_id", "row_id", "rank")
+
+
+_DANGLE = f"[{', '.join(map(sql.quoted, retrieval.DANGLING))}]"
+
+
+@query(f"SELECT conv_id, turn, len(t) < 5 OR len(list_intersect(t, {_DANGLE})) > 0 AS rewrite, len(list_intersect(t, {_DANGLE})) > 0 AS dangling FROM (SELECT conv_id, turn, {sql.tokens('text')} AS t FROM conversations WHERE role = 'user')")
+def rewrite_trigger(spark, sf):
+    users = table(spark, sf, "conversations").where("role = 'user'")
+    t = tx.tokens(F.col("text"), scripts.detect(F.col("text")))
+    return users.select("conv_id", "turn", retrieval.should_rewrite(F.col("text")).alias("rewrite"), retrieval.has_dangling(t).alias("dangling"))
+
+
+# --- chunks
+
+
+def _chunks(spark, sf):
+    b = blocks.normalise_blocks(blocks.document_blocks(docs_of(spark, sf)))
+    # every twelfth line of a document is its heading
+    b = b.withColumn("kind", F.when(F.col("reading_order") % 12 == 0, "heading").otherwise("paragraph"))
+    return chunks.build_chunks(b)
+
+
+@query()
+def chunk_pack(spark, sf):
+    c = _chunks(spark, sf)
+    return c.select("chunk_id", "doc_id", "chunk_no", "page_start", "page_end", F.size("block_ids").alias("n_blocks"), F.size("heading_path").alias("depth"), "token_count", "lang", "script")
+
+
+@query("SELECT substring(sha256(doc_id || '|' || string_agg(block_id, ',' ORDER BY reading_order)), 1, 32) AS chunk_id, doc_id, page FROM (SELECT *, substring(doc_id, 1, 12) || ':' || page || ':' || lpad(CAST(reading_order AS VARCHAR), 5, '0') AS block_id FROM blocks) GROUP BY doc_id, page".join((f"WITH {sql.BLOCKS} ", "")))
+def chunk_ids(spark, sf):
+    b = blocks.document_blocks(docs_of(spark, sf))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("reading_order", "block_id"))), lambda x: x["block_id"])
+    return b.groupBy("doc_id", "page").agg(ids.alias("ids")).select(chunks.chunk_id(F.col("doc_id"), F.col("ids")).alias("chunk_id"), "doc_id", "page")
+
+
+@query()
+def chunk_stats(spark, sf):
+    return _chunks(spark, sf).groupBy("script").agg(F.count("*").alias("n"), F.min("token_count").alias("least"), F.max("token_count").alias("most"), F.round(F.avg("token_count"), 3).alias("mean"))
+
+
+# --- evaluation: a dense query is answerable if its label is even; equal labels are relevant
+
+_JUDGED = f"""WITH {sql.dense()}, first AS (SELECT d.query_id, min(rank) AS first_rank FROM (SELECT query_id, row_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS INTEGER) AS rank FROM dense WHERE row_id <> query_id) d
+      JOIN u a ON a.vec_id = d.query_id JOIN u b ON b.vec_id = d.row_id WHERE a.label = b.label GROUP BY 1),
+    top AS ({_TOP_OTHER}),
+    judged AS (SELECT vec_id AS q_id, CAST(label AS VARCHAR) AS lang, label % 2 = 0 AS answerable, coalesce(top_score < 0.75, true) AS abstained, first_rank,
+      CAST(coalesce(first_rank <= 1, false) AS DOUBLE) AS recall_1, CAST(coalesce(first_rank <= 5, false) AS DOUBLE) AS recall_5, CAST(coalesce(first_rank <= 10, false) AS DOUBLE) AS recall_10,
+      CASE WHEN first_rank <= 10 THEN 1.0 / first_rank ELSE 0.0 END AS rr_10
+      FROM u LEFT JOIN first ON first.query_id = vec_id LEFT JOIN top ON top.query_id = vec_id WHERE vec_id < {sql.N_QUERIES})"""
+
+
+def _judged(spark, sf):
+    labels = _vectors(spark, sf).select("row_id", "label")
+    hits = retrieval.top_k(_dense(spark, sf).where("row_id <> query_id").drop("rank"), 20).withColumn("gate_score", F.col("score"))
+    few = F.broadcast(labels.where(F.col("row_id") < sql.N_QUERIES).select(F.col("row_id").alias("query_id"), F.col("label").alias("q_label")))
+    pairs = hits.join(few, "query_id").join(labels, "row_id")
+    relevant = pairs.where("label = q_label").select(F.col("query_id").alias("q_id"), "rank")
+    qs = labels.where(F.col("row_id") < sql.N_QUERIES).select(F.col("row_id").alias("query_id"), "label")
+    gated = qs.join(retrieval.gate(qs, hits, 0.75), "query_id")
+    questions = gated.select(F.col("query_id").alias("q_id"), F.col("label").cast("string").alias("lang"), (F.col("label") % 2 == 0).alias("answerable"), "abstained")
+    return evaluate.per_question(questions, relevant)
+
+
+@query(f"{_JUDGED} SELECT q_id, recall_1, recall_5, recall_10 FROM judged")
+def recall_at_k(spark, sf):
+    return _judged(spark, sf).select("q_id", "recall_1", "recall_5", "recall_10")
+
+
+@query(f"{_JUDGED} SELECT round(coalesce(avg(rr_10) FILTER (answerable), 0), 6) AS mrr_10, count(*) FILTER (answerable) AS n FROM judged")
+def mrr(spark, sf):
+    return _judged(spark, sf).agg(F.round(evaluate.mean(F.when(F.col("answerable"), F.col("rr_10"))), 6).alias("mrr_10"), F.count(F.when(F.col("answerable"), 1)).alias("n"))
+
+
+@query(
+    f"""{_JUDGED} SELECT lang, count(*) AS n, {', '.join(f'round(coalesce(avg({c}) FILTER (answerable), 0), 6) AS {c}' for c in ('recall_1', 'recall_5', 'recall_10', 'rr_10'))},
+    CAST(count(*) FILTER (abstained) AS BIGINT) AS n_abstained, CAST(count(*) FILTER (abstained AND NOT answerable) AS BIGINT) AS n_right,
+    round(avg(CASE WHEN NOT answerable THEN 1.0 ELSE 0.0 END) FILTER (abstained), 6) AS abstain_precision FROM judged GROUP BY CUBE (lang)"""
+)
+def per_lang_metrics(spark, sf):
+    return evaluate.metrics(_judged(spark, sf))
+
+
+@query(f"{_JUDGED} SELECT answerable, abstained, count(*) AS n FROM judged GROUP BY 1, 2")
+def confusion(spark, sf):
+    return evaluate.confusion(_judged(spark, sf))
+
+
+@query(f"{_JUDGED} SELECT round(CAST(count(*) FILTER (abstained AND NOT answerable) AS DOUBLE) / nullif(count(*) FILTER (abstained), 0), 6) AS precision, round(CAST(count(*) FILTER (abstained AND NOT answerable) AS DOUBLE) / nullif(count(*) FILTER (NOT answerable), 0), 6) AS recall FROM judged")
+def abstain_scores(spark, sf):
+    return evaluate.abstain_scores(_judged(spark, sf))
+
+
+@query(f"{_JUDGED}, m AS (SELECT avg(recall_1) AS r1, avg(recall_5) AS r5, avg(recall_10) AS r10 FROM judged WHERE answerable) SELECT 1 AS k, round(r1, 6) AS recall FROM m UNION ALL SELECT 5, round(r5, 6) FROM m UNION ALL SELECT 10, round(r10, 6) FROM m")
+def recall_curve(spark, sf):
+    return evaluate.recall_curve(_judged(spark, sf))
+
+
+@query(f"{_JUDGED} SELECT CASE WHEN first_rank IS NULL OR first_rank > 20 THEN 'never' WHEN first_rank = 1 THEN '1' WHEN first_rank <= 5 THEN '2-5' WHEN first_rank <= 10 THEN '6-10' ELSE '11-20' END AS bucket, count(*) AS n FROM judged WHERE answerable GROUP BY 1")
+def rank_distribution(spark, sf):
+    return evaluate.rank_distribution(_judged(spark, sf))
+
+
+@query()
+def random_floor(spark, sf):
+    v = _vectors(spark, sf)
+    qs = v.where(F.col("row_id") < sql.N_QUERIES).select(F.col("row_id").alias("query_id"))
+    return retrieval.random_hits(qs, v, 20, 7).select("query_id", "row_id", "score", "rank")
+
+
+@query(
+    f"""{_JUDGED}, base AS (SELECT avg(recall_5) AS b5, avg(rr_10) AS bm FROM judged WHERE answerable),
+    arms AS (SELECT 'all' AS arm, avg(recall_5) AS recall_5, avg(rr_10) AS mrr_10, 0 AS degraded FROM judged UNION ALL SELECT 'lost', avg(recall_1), avg(rr_10), 3 FROM judged)
+    SELECT arm, CASE WHEN degraded = 0 THEN round(recall_5, 6) END AS recall_5, CASE WHEN degraded = 0 THEN round(recall_5 - b5, 6) END AS d_recall_5, CASE WHEN degraded = 0 THEN round(mrr_10, 6) END AS mrr_10, CASE WHEN degraded = 0 THEN round(mrr_10 - bm, 6) END AS d_mrr_10, degraded FROM arms CROSS JOIN base"""
+)
+def sweep_delta(spark, sf):
+    j = _judged(spark, sf)
+    arms = j.agg(F.lit("all").alias("arm"), F.avg("recall_5").alias("recall_5"), F.avg("rr_10").alias("mrr_10"), F.lit(0).alias("degraded"))
+    lost = j.agg(F.lit("lost").alias("arm"), F.avg("recall_1").alias("recall_5"), F.avg("rr_10").alias("mrr_10"), F.lit(3).alias("degraded"))
+    base = j.where("answerable").agg(F.avg("recall_5").alias("recall_5"), F.avg("rr_10").alias("mrr_10"))
+    return evaluate.sweep(arms.unionByName(lost), base)
+
+
+# --- answers
+
+
+def _context(spark, sf):
+    hits = retrieval.lexical_hits(_bench_queries(spark, sf), _doc_rows(spark, sf), 5)
+    rows = _doc_rows(spark, sf).select("row_id", F.col("row_id").cast("string").alias("doc_id"), F.substring("text", 1, 400).alias("text"), F.lit(1).alias("page_start"), (F.col("row_id") % 2 + 1).cast("int").alias("page_end"), F.array(F.lit("Part"), F.lit("")).alias("heading_path"))
+    return hits, rows, answer.context_blocks(hits, rows)
+
+
+@query(
+    f"""WITH {sql.bm25(5)} SELECT query_id, rank AS context_no, row_id, CAST(row_id AS VARCHAR) AS doc_id,
+    '[' || rank || '] ' || substring(CAST(row_id AS VARCHAR), 1, 8) || ' / ' || CASE WHEN row_id % 2 = 0 THEN 'p.1' ELSE 'pp.1-2' END || ' | Part' || chr(10) || substring(text, 1, 400) AS block FROM lexical JOIN documents ON doc_id = row_id"""
+)
+def context_blocks(spark, sf):
+    return _context(spark, sf)[2]
+
+
+@query()
+def fit_context(spark, sf):
+    _, _, b = _context(spark, sf)
+    return answer.fit_context(_bench_queries(spark, sf), b, 600).select("query_id", "n_context", "n_dropped", "prompt_tokens", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+@query()
+def answer_batch(spark, sf):
+    hits, rows, _ = _context(spark, sf)
+    qs = _bench_queries(spark, sf)
+    # BM25 has no cosine: the gate takes each query's own score as passing
+    gated = qs.select("query_id", F.lit(False).alias("abstained"))
+    return answer.answers(qs, gated, hits, rows)
+
+
+def _cited(spark, sf):
+    """User turns with markers after the first and third word."""
+    words = F.split(F.regexp_replace("text", r"[`~\[\]\x{0}]", ""), " ")
+    text = F.concat(F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.lit(" ["), (F.col("turn") + 1).cast("string"), F.lit("] "), F.array_join(F.slice(words, 2, 2), " "), F.lit(" [2, "), (F.col("conv_id") % 9).cast("string"), F.lit("]."))
+    return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", text.alias("text"))
+
+
+_CITED = r"""cited AS (SELECT conv_id, turn, w[1] || ' [' || (turn + 1) || '] ' || array_to_string(w[2:3], ' ') || ' [2, ' || (conv_id % 9) || '].' AS text FROM (SELECT conv_id, turn, string_split(regexp_replace(text, '[`~\[\]\x{0}]', '', 'g'), ' ') AS w FROM conversations WHERE role = 'user'))"""
+
+
+@query(f"WITH {_CITED} SELECT conv_id, turn, array_to_string(flatten(list_transform(regexp_extract_all(text, '{sql.MARKERS}'), lambda m: regexp_extract_all(m, '\\d+'))), ',') AS numbers FROM cited")
+def citation_markers(spark, sf):
+    rows = _cited(spark, sf)
+    return rows.select("conv_id", "turn", F.array_join(citations.find_markers(F.col("text")).cast("array<string>"), ",").alias("numbers"))
+
+
+@query()
+def citation_verify(spark, sf):
+    rows = _cited(spark, sf).withColumn("v", citations.verify(F.col("text"), F.lit(5)))
+    return rows.select("conv_id", "turn", F.col("v.text").alias("clean"), F.array_join(F.col("v.used").cast("array<string>"), ",").alias("used"))
+
+
+@query(
+    """WITH c AS (SELECT conv_id, turn, turn + 1 AS a, conv_id % 9 AS b FROM conversations WHERE role = 'user')
+    SELECT conv_id, turn, round((CASE WHEN a BETWEEN 1 AND 5 THEN 1 ELSE 0 END + 1 + CASE WHEN b BETWEEN 1 AND 5 AND b <> 2 THEN 1 ELSE 0 END) / 3.0, 6) AS groundedness FROM c"""
+)
+def groundedness(spark, sf):
+    rows = _cited(spark, sf).withColumn("v", citations.verify(F.col("text"), F.lit(5)))
+    return rows.select("conv_id", "turn", F.round(citations.groundedness(F.col("v.emitted"), F.col("v.grounded")), 6).alias("groundedness"))
+
+
+# --- traces: events stand in, event_type as stage and value as duration
+
+
+def _traces(spark, sf):
+    e = table(spark, sf, "events").withColumn("started_at", F.col("ts").cast("timestamp"))
+    return e.select(
+        F.col("event_id").cast("string").alias("trace_id"), "started_at", F.col("value").alias("total_ms"),
+        F.array(F.struct(F.col("event_type").alias("stage"), F.col("value").alias("duration_ms"))).alias("stages"),
+        F.array(F.struct(F.concat(F.lit("m"), F.col("user_id") % 3).alias("model"), F.lit("GPU").alias("requested"), F.when(F.col("event_id") % 4 == 0, "CPU").otherwise("GPU").alias("device"))).alias("devices"),
+    )
+
+
+@query("SELECT event_type AS stage, round(avg(value), 6) AS mean_ms, count(*) AS n FROM events GROUP BY 1")
+def stage_means(spark, sf):
+    return traces.stage_means(_traces(spark, sf))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 4) AS total_ms FROM events GROUP BY 1")
+def daily_traces(spark, sf):
+    t = _traces(spark, sf)
+    return t.groupBy(F.date_format("started_at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("total_ms"), 4).alias("total_ms"))
+
+
+@query("SELECT 'm' || (user_id % 3) AS model, count(*) AS n, CAST(count(*) FILTER (event_id % 4 = 0) AS BIGINT) AS n_fell_back FROM events GROUP BY 1")
+def device_fallback(spark, sf):
+    return traces.fallbacks(_traces(spark, sf))
