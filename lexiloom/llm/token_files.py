@@ -8,9 +8,10 @@ doc_ids, ids per document, control bytes, data bytes. Blocks are rows of Parquet
 a second small table holds the ranks. Decoding looks the lengths of four ranks up by
 control byte in a 256-row table and gathers bytes with numpy.
 
-Plan. Documents are range-partitioned by doc_id, sorted within partitions and encoded
-once; ids are staged as small integers, counted, then coded block by block. Global
-offsets come from per-partition totals, whose number is that of the partitions.
+Plan. Documents are encoded where they are read; their ids, as small integers, go to
+ranges of doc_id (bounds from quantiles of that column alone), are sorted there, staged,
+counted and coded block by block. Global offsets come from per-partition totals, whose
+number is that of the partitions.
 
 Tokens come from the tokenizers library. A text is cut as the tokenizer's own
 pre-tokenizer cuts it, and equal pieces are encoded once per worker; texts with
@@ -105,13 +106,12 @@ class Encoder:
             for w, e in zip(rest, self.tok.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
                 self.cache[w] = np.array(e.ids, np.uint32).tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """texts: UTF-8."""
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
-        cut: list[list[bytes] | None] = []
-        for t in texts:
-            data = (t or "").encode()
-            cut.append(PIECES.findall(data) if self.simple(data) else None)
+        texts = [t or b"" for t in texts]
+        cut = [PIECES.findall(t) if self.simple(t) else None for t in texts]
         # one look-up a piece: dictionary misses in memory are most of the cost
         got = [None if c is None else list(map(self.cache.get, c)) for c in cut]
         lost = [[] if g is None else [i for i, v in enumerate(g) if v is None] for g in got]
@@ -120,7 +120,7 @@ class Encoder:
         for c, g, at in zip(cut, got, lost, strict=True):
             for i in at:
                 g[i] = self.cache[c[i]]
-        return [self.whole(t) if g is None else np.frombuffer(b"".join(g), np.uint32) for t, g in zip(texts, got, strict=True)]
+        return [self.whole(t.decode()) if g is None else np.frombuffer(b"".join(g), np.uint32) for t, g in zip(texts, got, strict=True)]
 
 
 def _byte_decoder() -> set[str]:
@@ -141,32 +141,44 @@ def pack_ids(ids: np.ndarray, wide: bool) -> bytes:
     return ids.astype("<u4" if wide else "<u2").tobytes()
 
 
-def _tokenise(path: str, end_id: int, wide: bool) -> Callable:
+def _tokenise(path: str, end_id: int, wide: bool, bounds: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at = worker_encoder(path), {}
+        encoder = worker_encoder(path)
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 b = batch.slice(i, 64)
-                ids = [np.append(x, np.uint32(end_id)) for x in encoder.encode(b.column("text").to_pylist())]
-                part = b.column("part").to_pylist()
-                pos = []
-                for p in part:
-                    pos.append(at.get(p, 0))
-                    at[p] = pos[-1] + 1
+                ids = [np.append(x, np.uint32(end_id)) for x in encoder.encode(b.column("text").cast(pa.binary()).to_pylist())]
+                part = np.searchsorted(bounds, b.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("part"), pa.array(pos, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([pack_ids(x, wide) for x in ids], pa.binary())],
-                    names=["doc_id", "part", "pos", "n_tokens", "ids"],
+                    [b.column("doc_id"), b.column("h"), pa.array(part, pa.int32()), pa.array([len(x) for x in ids], pa.int64()), pa.array([pack_ids(x, wide) for x in ids], pa.binary())],
+                    names=["doc_id", "h", "part", "n_tokens", "ids"],
                 )
 
     return run
 
 
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Positions from 0 along each part; parts come sorted and whole."""
+    at: dict[int, int] = {}
+    for b in batches:
+        part = b.column("part").to_numpy(zero_copy_only=False)
+        pos = np.empty(len(part), np.int64)
+        for p in np.unique(part).tolist():
+            own = np.flatnonzero(part == p)
+            pos[own] = at.get(p, 0) + np.arange(len(own))
+            at[p] = at.get(p, 0) + len(own)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("part"), pa.array(pos), b.column("n_tokens"), b.column("ids")], names=["doc_id", "part", "pos", "n_tokens", "ids"])
+
+
 def token_ids(docs: DataFrame, vocabulary: str, end_id: int = END_ID, wide: bool = False) -> DataFrame:
     """Staged ids of every row, in ascending (part, pos)."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
-    rows = rows.select("doc_id", "text", F.spark_partition_id().alias("part"))
-    return staged(rows.mapInArrow(_tokenise(vocabulary, end_id, wide), IDS_SCHEMA), "token_ids")
+    cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 100 * n)).first()[0] or []
+    bounds = np.unique(np.array(cuts if n > 1 else [], np.int64))
+    coded = rows.mapInArrow(_tokenise(vocabulary, end_id, wide, bounds), "doc_id long, h long, part int, n_tokens long, ids binary")
+    ranged = coded.repartitionById(n, "part").sortWithinPartitions("doc_id", "h")
+    return staged(ranged.select("doc_id", "part", "n_tokens", "ids").mapInArrow(_number, IDS_SCHEMA), "token_ids")
 
 
 def _count(wide: bool) -> Callable:
