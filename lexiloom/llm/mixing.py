@@ -7,9 +7,9 @@ children together cannot take stays with the parent's siblings. Each leaf then t
 seeded epochs and the token-prefix of one more: its documents in the order of a hash of seed,
 epoch and document, as long as their running total stays within the budget.
 
-Running totals never gather a leaf in one task: hash order is cut into buckets of about
-BUCKET_ROWS documents, bucket totals are summed along the leaf, and single documents are
-ordered only in the one bucket where the budget ends.
+Running totals never gather a leaf in one task: the hash order of n documents is cut into
+sqrt(n) buckets, bucket totals are summed along the leaf, and single documents are ordered
+only in the one bucket where the budget ends.
 
 Leaves come to the driver (one row each, MAX_LEAVES at most, beyond which an error asks for
 coarser sources); documents never do.
@@ -22,6 +22,7 @@ named domain, n_tokens or epoch are replaced.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -31,7 +32,6 @@ from pyspark.sql.window import Window
 from .common import staged
 
 LEVELS = ("domain", "lang", "source")
-BUCKET_ROWS = 5_000
 MAX_LEAVES = 200_000
 N_DOMAINS = 4
 SEED = 11
@@ -116,7 +116,7 @@ def plan_leaves(rows: DataFrame, target: Target) -> list[tuple]:
         full, rest = divmod(budget, r.t) if r.t else (1, 0)
         if full >= target.max_epochs:
             full, rest = target.max_epochs, 0
-        out.append((r.l_domain, r.l_lang, r.l_source, int(full), int(rest), max(1, -(-r.n // BUCKET_ROWS))))
+        out.append((r.l_domain, r.l_lang, r.l_source, int(full), int(rest), max(1, math.isqrt(r.n))))
     return out
 
 
