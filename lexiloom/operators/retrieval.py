@@ -129,11 +129,12 @@ def fuse(arms: list[tuple[DataFrame, float]], k: int, rrf_k: int = 60) -> DataFr
         return arms[0][0].where(F.col("rank") <= k)
     rows = None
     for n, (hits, weight) in enumerate(arms):
-        one = hits.select("query_id", "row_id", "rank", "gate_score", "degraded", F.lit(float(weight)).alias("w"), F.lit(n).alias("arm_no"))
+        # Arms are partitioned alike, but a union of branches that adaptive execution coalesces
+        # apart does not stay so although Spark 4.1 plans on it: a computed key makes the
+        # grouping below exchange rows itself.
+        key = F.abs(F.col("query_id")) * F.signum("query_id").cast("long")
+        one = hits.select(key.alias("query_id"), "row_id", "rank", "gate_score", "degraded", F.lit(float(weight)).alias("w"), F.lit(n).alias("arm_no"))
         rows = one if rows is None else rows.unionByName(one)
-    # arms are partitioned alike, and a union's claim to stay so does not survive adaptive
-    # coalescing of its branches: an explicit exchange keeps groups whole
-    rows = rows.repartition("query_id")
     summed = rows.groupBy("query_id", "row_id").agg(
         F.round(F.sum(F.col("w") / (rrf_k + F.col("rank"))), 9).alias("score"),
         F.min(F.struct("arm_no", "rank")).alias("seen"),
