@@ -4,19 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
+
+_NAMES = {"string": T.StringType, "long": T.LongType, "bigint": T.LongType, "int": T.IntegerType, "tinyint": T.ByteType, "double": T.DoubleType, "float": T.FloatType, "boolean": T.BooleanType, "binary": T.BinaryType, "timestamp": T.TimestampType}
+
+
+def _parts(s: str) -> list[str]:
+    """Split at commas outside angle brackets."""
+    out, depth = [""], 0
+    for c in s:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
+
+
+def type_of(s: str) -> T.DataType:
+    name, _, inner = s.strip().partition("<")
+    inner = inner[:-1]
+    if name == "array":
+        return T.ArrayType(type_of(inner))
+    if name == "map":
+        return T.MapType(*map(type_of, _parts(inner)))
+    if name == "struct":
+        return T.StructType([T.StructField(k, type_of(v)) for k, _, v in (p.partition(":") for p in _parts(inner))])
+    return _NAMES[name]()
+
+
+def struct(s: str) -> T.StructType:
+    """A schema from `name type, ...`; unlike fromDDL it needs no session, so modules may hold schemas."""
+    return T.StructType([T.StructField(k, type_of(v)) for k, _, v in (p.partition(" ") for p in _parts(s))])
+
 
 BBOX = "struct<x0:double,y0:double,x1:double,y1:double>"
-DOCUMENT = StructType.fromDDL("doc_id string, filename string, mime string, n_pages long, has_text_layer boolean, pipeline_version string")
-BLOCK = StructType.fromDDL(f"block_id string, doc_id string, page int, bbox {BBOX}, kind string, reading_order int, script string, text string, ocr_confidence double")
-CHUNK = StructType.fromDDL(f"chunk_id string, doc_id string, page_start int, page_end int, block_ids array<string>, bbox_union {BBOX}, heading_path array<string>, text string, token_count int, lang string, script string")
-HITS = StructType.fromDDL("query_id long, chunk_id string, row_id long, score double, rank int, arm string, gate_score double, degraded int")
-ANSWER = StructType.fromDDL("trace_id string, text string, citations array<int>, abstained boolean")
-TRACE = StructType.fromDDL(
+DOCUMENT = struct("doc_id string, filename string, mime string, n_pages long, has_text_layer boolean, pipeline_version string")
+BLOCK = struct(f"block_id string, doc_id string, page int, bbox {BBOX}, kind string, reading_order int, script string, text string, ocr_confidence double")
+CHUNK = struct(f"chunk_id string, doc_id string, page_start int, page_end int, block_ids array<string>, bbox_union {BBOX}, heading_path array<string>, text string, token_count int, lang string, script string")
+HITS = struct("query_id long, chunk_id string, row_id long, score double, rank int, arm string, gate_score double, degraded int")
+ANSWER = struct("trace_id string, text string, citations array<int>, abstained boolean")
+TRACE = struct(
     "trace_id string, started_at timestamp, query string, lang string, config_hash string, tier tinyint, abstained boolean, top_score double, n_retrieved int, n_citations int, "
     "prompt_tokens int, completion_tokens int, ttft_ms double, total_ms double, stages array<struct<stage:string,duration_ms:double>>, devices array<struct<model:string,requested:string,device:string>>"
 )
-GOLD = StructType.fromDDL("q_id long, q string, lang string, doc_id string, gold_pages array<int>, note string, alt_sources map<string,array<int>>")
+GOLD = struct("q_id long, q string, lang string, doc_id string, gold_pages array<int>, note string, alt_sources map<string,array<int>>")
 
 KINDS = ("heading", "paragraph", "table", "caption", "list")
 SCRIPTS = ("latn", "cyrl", "arab", "deva", "taml", "thai", "hans", "hant", "jpan", "kore", "unknown")
@@ -51,6 +83,6 @@ def violations(df: DataFrame, rules: dict[str, Column | str]) -> DataFrame:
     return df.withColumn("broken", F.array_compact(F.array(*broken))).where(F.size("broken") > 0)
 
 
-def conform(df: DataFrame, schema: StructType) -> DataFrame:
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Only the schema's columns, in its order; other columns are ignored."""
     return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])

@@ -17,12 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def pdf_files(spark: SparkSession, *targets: str) -> DataFrame:
     """(doc_id, path, filename, length, status, content) of all *.pdf below the targets.
 
-    doc_id is the content's hash; of equal files the first path stays. status tells empty
-    and foreign files apart instead of failing the job.
+    doc_id is the content's hash; of equal files the first path stays. status tells blank
+    and foreign files apart instead of failing the job; files of no bytes at all are not listed
+    by Spark's scan.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(list(targets))
     head = F.regexp_replace(F.decode(F.substring(F.col("content"), 1, 64), "ISO-8859-1"), r"^\s+", "")
-    status = F.when(F.col("length") == 0, "corrupt").when(head.startswith(PDF_MAGIC), "ok").otherwise("unsupported")
+    status = F.when(head == "", "corrupt").when(head.startswith(PDF_MAGIC), "ok").otherwise("unsupported")
     rows = files.select(F.sha2("content", 256).alias("doc_id"), "path", F.element_at(F.split("path", "/"), -1).alias("filename"), "length", status.alias("status"))
     first = rows.groupBy("doc_id").agg(F.min_by(F.struct("path", "filename", "length", "status"), "path").alias("f"))
     return first.select("doc_id", "f.*").orderBy("path")
