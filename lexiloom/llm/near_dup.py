@@ -199,18 +199,24 @@ def _sides(lists: pa.ListArray) -> list[dict[str, np.ndarray]]:
     signatures = members.field("signature")
     packed = np.frombuffer(b"".join(signatures.to_pylist()), np.uint64).reshape(len(members), -1)
     columns = {c: members.field(c).to_numpy(zero_copy_only=False) for c in ("id", "comp", "size", "part")}
+    columns["bands"] = members.field("bands").flatten().to_numpy(zero_copy_only=False).reshape(len(members), -1)
     return [{c: v[a:b] for c, v in columns.items()} | {"signature": packed[a:b]} for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Between two blocks of one bucket: (id, component block) with a hopeful pair across components.
 
-    The document of the smaller component is held against the other's block.
+    The document of the smaller component is held against the other's block. A pair counts in
+    the first band that it shares.
     """
+    seen: set[tuple[int, int, int]] = set()
     for batch in batches:
-        for x, y in zip(_sides(batch.column("l")), _sides(batch.column("r")), strict=True):
+        for no, x, y in zip(batch.column("no").to_pylist(), _sides(batch.column("l")), _sides(batch.column("r")), strict=True):
             hit = estimate(x["signature"][:, None], y["signature"][None]) >= HOPELESS
             hit &= x["comp"][:, None] != y["comp"][None, :]
+            k, j = np.nonzero(hit)
+            if no and len(k):
+                hit[k, j] = ~(x["bands"][k, :no] == y["bands"][j, :no]).any(1)
             if not hit.any():
                 continue
             smaller = (x["size"][:, None] < y["size"]) | ((x["size"][:, None] == y["size"]) & (x["comp"][:, None] < y["comp"]))
@@ -221,8 +227,12 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for at in np.unique(k * len(names) + group.ravel()[j]).tolist():
                     comp, part = names[at % len(names)].tolist()
                     found.add((int(small["id"][at // len(names)]), comp, part))
-            ids, comps, parts = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(comps, pa.int64()), pa.array(parts, pa.int64())], names=["id", "comp", "part"])
+            if len(seen) > 500_000:
+                seen.clear()
+            if found := found - seen:
+                seen |= found
+                ids, comps, parts = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(comps, pa.int64()), pa.array(parts, pa.int64())], names=["id", "comp", "part"])
 
 
 def _against_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,15 +288,15 @@ def links_across(in_bucket: DataFrame, comp: DataFrame, rows: DataFrame, classes
         alone = {"comp": F.coalesce("comp", "id"), "size": F.coalesce("size", F.lit(1)), "part": F.coalesce("part", F.lit(0))}
         return df.join(placed, "id", "left").withColumns(alone)
 
-    wide = own(in_bucket.where("n > 2").select("band", "id", "least", "n"))
+    wide = own(in_bucket.where("n > 2"))
     split = wide.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    open_rows = wide.join(split, "band").where("id <> least").join(classes.select("id", "signature"), "id")
+    open_rows = wide.join(split, "band").where("id <> least").join(classes.select("id", "signature", "bands"), "id")
     k = F.ceil(F.col("n") / BLOCK).cast("int")
     blocks = open_rows.withColumn("block", F.pmod(F.xxhash64("id"), k).cast("int"))
-    blocks = staged(blocks.groupBy("band", "block").agg(F.max(k).alias("k"), F.collect_list(F.struct("id", "comp", "size", "part", "signature")).alias("m")), "blocks")
+    blocks = staged(blocks.groupBy("band", "block").agg(F.max(k).alias("k"), F.first("no").alias("no"), F.collect_list(F.struct("id", "comp", "size", "part", "signature", "bands")).alias("m")), "blocks")
     right = blocks.select("band", F.col("block").alias("other"), F.col("m").alias("r"))
-    left = blocks.select("band", F.explode(F.expr("sequence(block, k - 1)")).alias("other"), F.col("m").alias("l"))
-    tries = staged(left.join(right, ["band", "other"]).select("l", "r").mapInArrow(_across, "id long, comp long, part long").distinct(), "tries")
+    left = blocks.select("band", F.explode(F.expr("sequence(block, k - 1)")).alias("other"), "no", F.col("m").alias("l"))
+    tries = staged(left.join(right, ["band", "other"]).select("no", "l", "r").mapInArrow(_across, "id long, comp long, part long").distinct(), "tries")
     if tries.isEmpty():
         return tries.select(F.col("id").alias("u"), F.col("comp").alias("v"))
     # the documents of the blocks to be tried: of components, and single ones
@@ -344,10 +354,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     chosen = filled.join(named.withColumnRenamed("id", "doc_id"), ["set_key", "doc_id"])
     signed = chosen.groupBy("set_key", F.col("doc_id").alias("id")).agg(F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     signed = staged(signed, "classes")
-    signatures = classes = signed.select("id", "set_key", "signature")
-    at = signed.select("id", F.explode("bands").alias("band"))
+    signatures = classes = signed.select("id", "set_key", "signature", "bands")
+    at = signed.select("id", F.posexplode("bands").alias("no", "band"))
     buckets = at.groupBy("band").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    in_bucket = staged(at.join(buckets, "band").select("band", "id", "least", "n"), "buckets")
+    in_bucket = staged(at.join(buckets, "band").select("band", "no", "id", "least", "n"), "buckets")
     stars = in_bucket.where("id <> least").select(F.col("least").alias("u"), F.col("id").alias("v")).distinct()
     x = signatures.select(F.col("id").alias("u"), F.col("signature").alias("x"))
     y = signatures.select(F.col("id").alias("v"), F.col("signature").alias("y"))
