@@ -65,6 +65,25 @@ def is_abstain(text: Column) -> Column:
     return plain(text) == plain(F.lit(ABSTAIN))
 
 
+def tier3_prompt(question: Column, enabled: bool = False) -> Column:
+    """A prompt without documents, for users who asked for it."""
+    if enabled is not True:
+        raise PermissionError("answers without documents are off by default; pass enabled=True after the user has opted in")
+    return F.concat(F.lit(f"{SYSTEM_TIER3}\n\nQuestion: "), question, F.lit("\nAnswer:"))
+
+
+def online_source(query: str, k: int) -> list:
+    """Tier 2 is not available: nothing leaves the cluster."""
+    raise NotImplementedError("online sources are disabled")
+
+
+def citation_rows(blocks: DataFrame, answered: DataFrame, chunks: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(query_id, number, doc_id, provenance, snippet) of each verified citation; answered(query_id, used)."""
+    rows = answered.select("query_id", F.explode("used").alias("context_no")).join(blocks.select("query_id", "context_no", "row_id"), ["query_id", "context_no"]).join(chunks, "row_id")
+    rows = rows.join(names, "doc_id", "left") if names is not None else rows.withColumn("filename", F.lit(None).cast("string"))
+    return rows.select("query_id", F.col("context_no").alias("number"), "doc_id", provenance_column().alias("provenance"), tx.snippet(F.col("text")).alias("snippet"))
+
+
 def tier3_answer(raw: Column, enabled: bool = False, after_abstain: bool = False) -> Column:
     """Text without documents behind it: disclaimer first, all markers off. Off by default."""
     if enabled is not True:

@@ -70,3 +70,12 @@ def baseline(spark: SparkSession, path: str) -> dict:
     from .files import exists, read_text
 
     return json.loads(read_text(spark, path)).get("metrics", {}) if exists(spark, path) else {}
+
+
+def describe(blocks: DataFrame, first_pages: int = 10, least_chars: int = 50) -> DataFrame:
+    """(doc_id, n_pages, mean_chars, text_layer) over the first pages of each document."""
+    early = blocks.where(F.col("page") <= first_pages)
+    pages = blocks.groupBy("doc_id").agg(F.max("page").alias("n_pages"))
+    chars = early.groupBy("doc_id").agg(F.sum(F.length("text")).alias("chars"))
+    mean = F.coalesce("chars", F.lit(0)) / F.least("n_pages", F.lit(first_pages))
+    return pages.join(chars, "doc_id", "left").select("doc_id", "n_pages", F.round(mean, 3).alias("mean_chars"), (mean >= least_chars).alias("text_layer"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import exists, read_text, write_text
+
 
 def write_run(rows: DataFrame, root: str, label: str, when: datetime | None = None) -> str:
     """Append rows of an evaluation or bench run; the id is its UTC time."""
@@ -24,3 +27,22 @@ def latest_run(runs: DataFrame, label: str) -> DataFrame:
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of one table only, either way: empty when a written table equals its source."""
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+
+
+MANIFEST_VERSION = 1
+
+
+def merge_manifest(spark: SparkSession, path: str, entries: list[dict]) -> dict:
+    """Model entries by (name, precision); later ones replace, others stay."""
+    old = read_manifest(spark, path)["models"] if exists(spark, path) else []
+    merged = {(e["name"], e.get("precision")): e for e in [*old, *entries]}
+    out = {"schema_version": MANIFEST_VERSION, "models": [merged[k] for k in sorted(merged, key=str)]}
+    write_text(spark, path, json.dumps(out, sort_keys=True))
+    return out
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    data = json.loads(read_text(spark, path))
+    if data.get("schema_version") != MANIFEST_VERSION:
+        raise ValueError(f"{path}: schema_version {data.get('schema_version')!r}")
+    return data

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lexiloom.config import ChunkConfig, Config, ConfigError, RerankConfig, RetrieveConfig, from_dict, hash_object
 from lexiloom.functions.text import estimate_tokens
-from lexiloom.operators import answer, blocks, cache, chunks, evaluate, index, retrieval, seams, traces
+from lexiloom.operators import answer, blocks, cache, chunks, evaluate, imaging, index, retrieval, seams, traces
+from lexiloom.plans import compose
 from lexiloom.schema import RULES, TRACE, conform, violations
 from lexiloom.sources import files, readers, sinks
 from lexiloom.streaming import ingest
@@ -298,3 +299,42 @@ def test_seams():
     assert seams.ctc_decode([0, 1, 1, 0, 1, 2], [0.1, 0.9, 0.8, 0.1, 0.7, 0.5], ["", "a", "b"]) == ("aab", pytest.approx(0.7))
     with pytest.raises(seams.Unavailable):
         seams.read_pages(None, None, "x int")
+
+
+def test_compose(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"{t}\nsecond line {k}") for k, t in enumerate(CORPUS)], "doc_id long, text string")
+    path, _ = compose.ingest(docs, f"file://{tmp_path}/ix")
+    assert compose.only_index(spark, f"file://{tmp_path}/ix") == path
+    rows = index.load_index(spark, path)
+    gold = spark.createDataFrame([(1, "boolean algebra George Boole", "en", "1", [1], "", {}), (2, "it", "en", "9", [], "", {})], "q_id long, q string, lang string, doc_id string, gold_pages array<int>, note string, alt_sources map<string,array<int>>")
+    got, skipped = compose.evaluate_arms(gold, rows)
+    table = {r.arm: r for r in got.collect()}
+    assert set(table) == {"dense", "hybrid", "rewrite", "hybrid+rewrite"} and all(r.recall_5 == 1.0 and r.degraded == 0 for r in table.values())
+    assert set(skipped) == {"rerank", "rerank+hybrid", "rerank+rewrite", "rerank+hybrid+rewrite"}
+    out = {r.query_id: r for r in compose.ask(gold.select(F.col("q_id").alias("query_id"), F.col("q").alias("text")), rows).collect()}
+    assert not out[1].abstained and out[2].abstained
+    assert compose.golden_pool(gold).count() >= 2
+    assert readers.describe(blocks.document_blocks(docs)).where("text_layer").count() == 5
+
+
+def test_manifest(spark, tmp_path):
+    at = f"file://{tmp_path}/m.json"
+    sinks.merge_manifest(spark, at, [{"name": "a", "precision": "int8", "v": 1}, {"name": "b"}])
+    got = sinks.merge_manifest(spark, at, [{"name": "a", "precision": "int8", "v": 2}, {"name": "a", "precision": "int4"}])
+    assert [(m["name"], m.get("v")) for m in got["models"]] == [("a", None), ("a", 2), ("b", None)] and sinks.read_manifest(spark, at) == got
+
+
+def test_imaging():
+    import numpy as np
+
+    g = np.arange(16, dtype=np.uint8).reshape(4, 4)
+    assert imaging.to_rgb(g).shape == (4, 4, 3) and imaging.crop(g, (3.2, -1, 9, 0.5)).tolist() == [[3]]
+    assert (imaging.resize(g, 4, 4) == g).all() and imaging.resize(np.full((2, 2), 7, np.uint8), 5, 3).tolist() == [[7] * 3] * 5
+    assert imaging.unclip((0, 0, 10, 10), 2.0) == (-5.0, -5.0, 15.0, 15.0)
+    s = np.zeros((6, 8))
+    s[0, 0] = s[1, 1] = s[2, 2] = 0.9
+    s[4, 6] = 0.8
+    assert imaging.regions(s, 0.5) == [((0, 0, 3, 3), pytest.approx(0.9)), ((6, 4, 7, 5), pytest.approx(0.8))]
+    assert imaging.charset(["a"], 3) == ["", "a", " "]
+    with pytest.raises(ValueError):
+        imaging.charset(["a"], 9)
