@@ -31,6 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,10 +46,46 @@ BLOCK_SCHEMA = "part int, pos long, doc_ids array<long>, n_tokens array<long>, c
 RANKS_SCHEMA = "id int, rank int, n long"
 OUT_SCHEMA = "doc_id long, part int, pos long, n_tokens long, ids_crc32 long"
 
-# The byte-level pre-tokenizer's cut, for texts whose characters beyond ASCII are all letters.
-PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\x80-\xff]+| ?[0-9]+| ?[^\s0-9A-Za-z\x80-\xff]+|\s+(?!\S)|\s+")
-WORD = re.compile(rb" [A-Za-z\x80-\xff]+")
 ODD_SPACE = re.compile(rb"[\x1c-\x1f]")
+WORD = re.compile(rb" [A-Za-z\x80-\xff]+")
+# Byte classes of the pre-tokenizer's cut, for texts whose characters beyond ASCII are all letters.
+SPACE_CLASS, LETTER, DIGIT, OTHER = range(4)
+CLASS = np.full(256, OTHER, np.uint8)
+CLASS[[9, 10, 11, 12, 13, 32]] = SPACE_CLASS
+CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = LETTER
+CLASS[48:58] = DIGIT
+BATCH_BYTES = 2_000_000
+
+
+def cut_points(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Starts of the pieces of texts that lie one after another in data; texts: where each begins.
+
+    A piece is a run of letters, of digits or of other signs, with one space before it; a run of
+    white space, short of the space that goes to the next piece; or an English contraction.
+    """
+    n = len(data)
+    first = np.zeros(n + 3, bool)
+    first[texts[texts < n]] = True
+    first[n:] = True
+    kind = CLASS[data]
+    space = kind == SPACE_CLASS
+    run = first[:n].copy()
+    run[1:] |= kind[1:] != kind[:-1]
+    start = run & space
+    solid = np.flatnonzero(run & ~space)
+    after = solid[(solid > 0) & ~first[solid] & space[solid - 1]]
+    start[after - 1] = True
+    start[solid] = True
+    start[after[data[after - 1] == 32]] = False
+    if len(mark := np.flatnonzero(start & (data == 39))):
+        ahead = np.concatenate((data, np.zeros(3, np.uint8)))
+        one, two = ahead[mark + 1], ahead[mark + 2]
+        short = ~first[mark + 1] & np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long = ~first[mark + 1] & ~first[mark + 2] & (((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108))
+        ends = np.concatenate((mark[short] + 2, mark[long] + 3))
+        start[mark[short | long] + 1] = False
+        start[ends[ends < n]] = True
+    return np.flatnonzero(start)
 
 
 def vocabulary_path() -> str:
@@ -58,7 +95,11 @@ def vocabulary_path() -> str:
 
 
 class Encoder:
-    """Texts to arrays of ids; pieces seen before come from a bounded cache."""
+    """Texts to arrays of ids; pieces seen before come from a bounded cache.
+
+    The pieces of a batch are cut and told apart by array operations, so that Python sees each
+    distinct piece of a batch once. Texts on which the cut could differ are encoded whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -76,7 +117,7 @@ class Encoder:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def simple(self, data: bytes) -> bool:
-        """Whether PIECES cuts these bytes as the tokenizer would."""
+        """Whether cut_points cuts these bytes as the tokenizer would."""
         if ODD_SPACE.search(data) or self.specials and self.specials.search(data):
             return False
         if data.isascii():
@@ -89,7 +130,7 @@ class Encoder:
         return True
 
     def learn(self, new: list[bytes]) -> None:
-        """Encode pieces: words in one go, split by byte widths; others alone."""
+        """Encode pieces: words in runs, told apart by byte widths; others alone."""
         words, rest = [], []
         for w in new:
             (words if WORD.fullmatch(w) else rest).append(w)
@@ -100,27 +141,40 @@ class Encoder:
             ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(w) for w in some])) + 1
             starts = np.concatenate(([0], ends[:-1]))
             raw = ids.tobytes()
-            for w, a, b in zip(some, (4 * starts).tolist(), (4 * ends).tolist(), strict=True):
-                self.cache[w] = raw[a:b]
+            self.cache.update(zip(some, [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)], strict=True))
         if rest:
             for w, e in zip(rest, self.tok.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
                 self.cache[w] = np.array(e.ids, np.uint32).tobytes()
 
+    def together(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of texts that are simple and not empty."""
+        data = b"".join(texts)
+        begin = np.cumsum([0, *map(len, texts)])[:-1]
+        at = cut_points(np.frombuffer(data, np.uint8), begin)
+        offsets = np.append(at, len(data)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        _, bounds, held = pieces.dictionary.buffers()
+        bounds, held = np.frombuffer(bounds, np.int32)[: len(pieces.dictionary) + 1].tolist(), held.to_pybytes()
+        distinct, which = [held[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], pieces.indices.to_numpy()
+        if new := [w for w in distinct if w not in self.cache]:
+            self.learn(new)
+        coded = list(map(self.cache.__getitem__, distinct))
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        ids, first = np.frombuffer(b"".join(coded), np.uint32), np.cumsum(sizes) - sizes
+        n = sizes[which]
+        ends = np.cumsum(n)
+        ids = ids[np.arange(ends[-1]) + np.repeat(first[which] - (ends - n), n)]
+        return np.split(ids, (ends - n)[np.searchsorted(at, begin[1:])])
+
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """texts: UTF-8."""
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
         texts = [t or b"" for t in texts]
-        cut = [PIECES.findall(t) if self.simple(t) else None for t in texts]
-        # one look-up a piece: dictionary misses in memory are most of the cost
-        got = [None if c is None else list(map(self.cache.get, c)) for c in cut]
-        lost = [[] if g is None else [i for i, v in enumerate(g) if v is None] for g in got]
-        if new := {c[i] for c, at in zip(cut, lost, strict=True) for i in at}:
-            self.learn(list(new))
-        for c, g, at in zip(cut, got, lost, strict=True):
-            for i in at:
-                g[i] = self.cache[c[i]]
-        return [self.whole(t.decode()) if g is None else np.frombuffer(b"".join(g), np.uint32) for t, g in zip(texts, got, strict=True)]
+        alike = [bool(t) and self.simple(t) for t in texts]
+        some = [t for t, a in zip(texts, alike, strict=True) if a]
+        done = iter(self.together(some) if some else ())
+        return [next(done) if a else self.whole(t.decode()) for t, a in zip(texts, alike, strict=True)]
 
 
 def _byte_decoder() -> set[str]:
@@ -145,8 +199,13 @@ def _tokenise(path: str, end_id: int, wide: bool, bounds: np.ndarray) -> Callabl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path)
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                b = batch.slice(i, 64)
+            sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+            i = 0
+            while i < batch.num_rows:
+                # as many rows as BATCH_BYTES hold, one at least
+                k = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + BATCH_BYTES)))
+                b = batch.slice(i, k - i)
+                i = k
                 ids = [np.append(x, np.uint32(end_id)) for x in encoder.encode(b.column("text").cast(pa.binary()).to_pylist())]
                 part = np.searchsorted(bounds, b.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
                 yield pa.RecordBatch.from_arrays(
