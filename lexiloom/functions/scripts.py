@@ -50,9 +50,17 @@ def count(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
 
 
+def held(text: Column, ranges: tuple[tuple[int, int], ...]) -> Column:
+    """Characters within ranges: what is shorter once their runs are gone. One match a run, not one a character."""
+    text = F.coalesce(text, F.lit(""))
+    return (F.length(text) - F.length(F.regexp_replace(text, char_class(ranges) + "+", ""))).cast("long")
+
+
 def histogram(text: Column) -> Column:
-    """struct of characters per raw bucket."""
-    return F.struct(*[count(text, char_class(r)).alias(b) for b, r in BUCKETS.items()])
+    """struct of characters per raw bucket. Plain ASCII holds Latin only."""
+    plain = F.octet_length(text) == F.length(text)
+    rest = {b: F.when(plain, F.lit(0).cast("long")).otherwise(held(text, r)) for b, r in BUCKETS.items() if b != "latn"}
+    return F.struct(held(text, BUCKETS["latn"]).alias("latn"), *[c.alias(b) for b, c in rest.items()])
 
 
 def detect(text: Column, hist: Column | None = None) -> Column:

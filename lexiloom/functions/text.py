@@ -71,9 +71,10 @@ def bigrams(text: Column) -> Column:
 
 
 def tokens(text: Column, script: Column) -> Column:
-    words = F.transform(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda t: fold(F.btrim(t, F.lit(EDGE_PUNCTUATION))))
-    words = F.filter(words, lambda t: t != "")
-    pairs = F.transform(bigrams(F.coalesce(text, F.lit(""))), fold)
+    # folded as a whole: compiled code, where functions on array elements are interpreted
+    folded = fold(F.coalesce(text, F.lit("")))
+    words = F.filter(F.transform(F.split(folded, SPACE + "+"), lambda t: F.btrim(t, F.lit(EDGE_PUNCTUATION))), lambda t: t != "")
+    pairs = bigrams(folded)
     return F.when(script.isin(*NON_SEGMENTING_SCRIPTS), pairs).otherwise(words)
 
 

@@ -7,9 +7,10 @@ independent and go to tasks by doc_id.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,16 +114,24 @@ _PLACES = "doc_id string, chunk_no int, block_id string, place int, heading_path
 
 
 def placements(blocks: DataFrame, cfg: ChunkConfig) -> DataFrame:
-    """Which blocks go into which chunk, in order. blocks needs a column cost."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["reading_order", "page", "block_id"])
-        pieces = [Piece(i, t, int(c), k == "heading") for i, t, c, k in zip(frame.block_id, frame.text, frame.cost, frame.kind, strict=True)]
-        rows = [(frame.doc_id.iloc[0], n, p.id, k, list(g.path)) for n, g in enumerate(chunk_pieces(pieces, cfg)) for k, p in enumerate(g.pieces)]
-        return pd.DataFrame(rows, columns=["doc_id", "chunk_no", "block_id", "place", "heading_path"])
-
-    slim = blocks.select("doc_id", "block_id", "page", "reading_order", "kind", "cost", F.when(F.col("kind") == "heading", F.col("text")).otherwise("").alias("text"))
-    return slim.groupBy("doc_id").applyInPandas(run, _PLACES)
+    """Which blocks go into which chunk, in order. blocks needs a column cost.
+
+    Documents are gathered by the JVM and folded many to a batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("doc_id", pa.string()), ("chunk_no", pa.int32()), ("block_id", pa.string()), ("place", pa.int32()), ("heading_path", pa.list_(pa.string()))])
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                rows = []
+                for doc in batch.slice(i, 64).to_pylist():
+                    pieces = [Piece(b["block_id"], b["text"], b["cost"], b["heading"]) for b in doc["b"]]
+                    rows += [(doc["doc_id"], n, p.id, k, g.path) for n, g in enumerate(chunk_pieces(pieces, cfg)) for k, p in enumerate(g.pieces)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], f.type) for f in kinds], schema=kinds)
+
+    heading = F.col("kind") == "heading"
+    block = F.struct("reading_order", "page", "block_id", heading.alias("heading"), "cost", F.when(heading, F.col("text")).otherwise("").alias("text"))
+    return blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(block)).alias("b")).mapInArrow(run, _PLACES)
 
 
 def chunk_id(doc_id, block_ids):
