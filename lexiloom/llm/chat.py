@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 START, END = "<|im_start|>", "<|im_end|>"
 CONTROL = (START, END, "<|endoftext|>", "<|system|>", "<|user|>", "<|assistant|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _CONTROL = re.compile("|".join(map(re.escape, sorted(CONTROL, key=len, reverse=True))))
@@ -157,6 +159,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def format_records(records: DataFrame) -> DataFrame:
     """records: id long, record string (JSON). See FORMATTED for the result."""
+    small_batches(records.sparkSession)
     return records.select(F.col("id").cast("long").alias("id"), "record").mapInArrow(_format, FORMATTED)
 
 

@@ -73,6 +73,7 @@ def add_columns(df: DataFrame, fields: str, make: Callable[[], Callable[[list],
     per new column. Columns of df with the name of a new one are replaced. Batches are cut
     into `step` rows, so that memory is bounded by those rows' texts.
     """
+    small_batches(df.sparkSession)
     names = [f.strip().split(" ")[0] for f in fields.split(",")]
     kept = df.drop(*[n for n in names if n != text])
     probe = df.sparkSession.createDataFrame([], fields).schema
@@ -94,6 +95,22 @@ def add_columns(df: DataFrame, fields: str, make: Callable[[], Callable[[list],
     return kept.mapInArrow(run, StructType([*kept.schema.fields, *probe.fields]))
 
 
-def worker_store() -> types.ModuleType:
-    """What a Python worker keeps between tasks."""
-    return sys.modules.setdefault("_lexiloom_worker", types.ModuleType("_lexiloom_worker"))
+def worker_store(operator: str) -> types.ModuleType:
+    """What a Python worker keeps between tasks of one operator; another operator's things go."""
+    store = sys.modules.setdefault("_lexiloom_worker", types.ModuleType("_lexiloom_worker"))
+    if getattr(store, "operator", None) != operator:
+        store.__dict__.clear()
+        store.operator = operator
+    return store
+
+
+#: Texts differ in size by orders of magnitude: Arrow batches are bounded by bytes as well as rows.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("2000", 2000), "spark.sql.execution.arrow.maxBytesPerBatch": ("16777216", 16777216)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch limits to BATCHES where they are higher."""
+    for key, (value, most) in BATCHES.items():
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or int(now) > most:
+            spark.conf.set(key, value)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import staged, worker_store
+from .common import small_batches, staged, worker_store
 
 WINDOW = 13
 BLOCK_BYTES = 32_000_000
@@ -131,7 +131,7 @@ def _search(items: list[tuple[str, str]], schema: StructType, place: int, found:
     types_ = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = worker_store()
+        store = worker_store("benchmark")
         if getattr(store, "benchmark_key", None) != key:
             store.benchmark, store.benchmark_key = Searcher(items), key
         for batch in batches:
@@ -151,6 +151,7 @@ def _search(items: list[tuple[str, str]], schema: StructType, place: int, found:
 def search(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, runs of hit words and the items that occur."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.drop("n_words", "runs", "items")
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import small_batches, staged
 
 #: Hosts whose winning paths may be broadcast; more are joined by shuffle.
 BROADCAST_HOSTS = 100_000
@@ -233,6 +233,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and the path used, for every page."""
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     paths = staged(host_paths(rows), "host_paths")
     small = paths.count() <= BROADCAST_HOSTS

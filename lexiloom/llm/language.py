@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import add_columns, staged, worker_store
+from .common import add_columns, small_batches, staged, worker_store
 
 DOCS_PER_LANG = 1500
 EM_ROUNDS = 3
@@ -215,7 +215,7 @@ def _expected(path: str, langs: list[str], prob: np.ndarray) -> Callable:
 
 
 def worker_lattice(path: str) -> Lattice:
-    store = worker_store()
+    store = worker_store("language")
     if getattr(store, "lattice_path", None) != path:
         store.lattice, store.lattice_path = Lattice(read_pieces(path)), path
     return store.lattice
@@ -227,6 +227,7 @@ def _with_tail(p: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, path: str | None = None, docs_per_lang: int = DOCS_PER_LANG, rounds: int = EM_ROUNDS) -> tuple[str, list[str], np.ndarray]:
     """(vocabulary path, languages, probabilities) from rows that are not held out."""
+    small_batches(docs.sparkSession)
     path = path or vocabulary_path()
     ids = docs.where(F.col("lang").isNotNull()).where(~held_out(F.col("doc_id")))
     # the sample is bounded per language; ranks need ids alone, not texts
@@ -251,7 +252,7 @@ def _identify(path: str, langs: list[str], prob: np.ndarray) -> Callable:
     key = (path, tuple(langs), float(prob.sum()), hash(prob.tobytes()))
 
     def make() -> Callable:
-        store = worker_store()
+        store = worker_store("language")
         if getattr(store, "language_key", None) != key:
             store.language_key, store.words, store.logs = key, {}, np.zeros((1 << 16, len(langs)))
         lattice = worker_lattice(path)

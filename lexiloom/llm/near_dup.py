@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, staged
+from .common import discard, small_batches, staged
 
 BAND_ROWS = 6
 N_BANDS = 40
@@ -345,6 +345,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = staged(rows.mapInArrow(_signed, SIGN_SCHEMA), "signed")
     # equal sets: one class, carried by its smallest doc_id

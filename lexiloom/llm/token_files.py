@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh_path, staged, worker_store
+from .common import fresh_path, small_batches, staged, worker_store
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 600_000
 IDS_SCHEMA = "doc_id long, part int, pos long, n_tokens long, ids binary"
 BLOCK_SCHEMA = "part int, pos long, doc_ids array<long>, n_tokens array<long>, control binary, data binary"
 RANKS_SCHEMA = "id int, rank int, n long"
@@ -185,7 +185,7 @@ def _byte_decoder() -> set[str]:
 
 def worker_encoder(path: str) -> Encoder:
     """One encoder per Python worker, kept between tasks."""
-    store = worker_store()
+    store = worker_store("token files")
     if getattr(store, "encoder_path", None) != path:
         store.encoder, store.encoder_path = Encoder(path), path
     return store.encoder
@@ -231,6 +231,7 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def token_ids(docs: DataFrame, vocabulary: str, end_id: int = END_ID, wide: bool = False) -> DataFrame:
     """Staged ids of every row, in ascending (part, pos)."""
+    small_batches(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 100 * n)).first()[0] or []
