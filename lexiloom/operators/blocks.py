@@ -105,7 +105,9 @@ def normalise_blocks(blocks: DataFrame, composed: bool = False) -> DataFrame:
     """Script from the composed text, then the text on one line; empty blocks go."""
     raw = F.col("text") if composed else text.nfc(F.col("text"))
     rows = blocks.withColumn("text", raw).withColumn("script", scripts.detect(F.col("text")))
-    return rows.withColumn("text", text.normalise(F.col("text"), F.col("script"))).where("text <> ''")
+    # a generator, not a filter: a filter would be pushed down and normalise every text twice
+    full = F.filter(F.array(text.normalise(F.col("text"), F.col("script"))), lambda t: t != "")
+    return rows.select(*[c for c in rows.columns if c != "text"], F.explode(full).alias("text"))
 
 
 def text_layer_gate(blocks: DataFrame, documents: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..config import ChunkConfig
 from ..functions import text as tx
 from ..functions.scripts import SCRIPT_LANG
-from ..schema import CHUNK
+from ..schema import BBOX, CHUNK
 
 _NUMBER = re.compile(tx.HEADING_NUMBER)
 
@@ -110,28 +110,60 @@ def chunk_pieces(pieces: list[Piece], cfg: ChunkConfig) -> list[Group]:
     return done + ([short] if short else [])
 
 
-_PLACES = "doc_id string, chunk_no int, block_id string, place int, heading_path array<string>"
-
-
-def placements(blocks: DataFrame, cfg: ChunkConfig) -> DataFrame:
-    """Which blocks go into which chunk, in order. blocks needs a column cost.
-
-    Documents are gathered by the JVM and folded many to a batch.
+_BOX = pa.struct([(c, pa.float64()) for c in ("x0", "y0", "x1", "y1")])
+_MADE = pa.schema(
+    [("doc_id", pa.string()), ("chunk_no", pa.int32()), ("page_start", pa.int32()), ("page_end", pa.int32()), ("block_ids", pa.list_(pa.string())), ("bbox_union", _BOX)]
+    + [("heading_path", pa.list_(pa.string())), ("text", pa.string()), ("token_count", pa.int32()), ("script", pa.string())]
+)
+_MADE_DDL = f"doc_id string, chunk_no int, page_start int, page_end int, block_ids array<string>, bbox_union {BBOX}, heading_path array<string>, text string, token_count int, script string"
+
+
+def main_script(blocks: list[dict]) -> str:
+    """Script of most tokens, unknown ones left out; ties go to the code that sorts last."""
+    weight: dict[str, int] = {}
+    for b in blocks:
+        if b["script"] != "unknown":
+            weight[b["script"]] = weight.get(b["script"], 0) + b["cost"]
+    return max(((n, s) for s, n in weight.items()), default=(0, "unknown"))[1]
+
+
+def chunk_row(doc_id: str, number: int, group: Group, blocks: dict[str, dict]) -> dict:
+    own = [blocks[p.id] for p in group.pieces]
+    boxes = [b["bbox"] for b in own if b["bbox"] is not None]
+    union = {c: (min if c[1] == "0" else max)(b[c] for b in boxes) for c in ("x0", "y0", "x1", "y1")} if boxes else None
+    pages = [b["page"] for b in own]
+    return {
+        "doc_id": doc_id,
+        "chunk_no": number,
+        "page_start": min(pages),
+        "page_end": max(pages),
+        "block_ids": [p.id for p in group.pieces],
+        "bbox_union": union,
+        "heading_path": list(group.path),
+        "text": "\n\n".join(b["text"] for b in own),
+        "token_count": group.cost,
+        "script": main_script(own),
+    }
+
+
+def gathered_chunks(blocks: DataFrame, cfg: ChunkConfig) -> DataFrame:
+    """Chunks without ids. blocks needs a column cost.
+
+    The JVM gathers each document's blocks (one shuffle); Python folds many documents a batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("doc_id", pa.string()), ("chunk_no", pa.int32()), ("block_id", pa.string()), ("place", pa.int32()), ("heading_path", pa.list_(pa.string()))])
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 rows = []
                 for doc in batch.slice(i, 64).to_pylist():
-                    pieces = [Piece(b["block_id"], b["text"], b["cost"], b["heading"]) for b in doc["b"]]
-                    rows += [(doc["doc_id"], n, p.id, k, g.path) for n, g in enumerate(chunk_pieces(pieces, cfg)) for k, p in enumerate(g.pieces)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], f.type) for f in kinds], schema=kinds)
+                    pieces = [Piece(b["block_id"], b["text"], b["cost"], b["kind"] == "heading") for b in doc["b"]]
+                    known = {b["block_id"]: b for b in doc["b"]}
+                    rows += [chunk_row(doc["doc_id"], n, g, known) for n, g in enumerate(chunk_pieces(pieces, cfg))]
+                yield pa.RecordBatch.from_pylist(rows, schema=_MADE)
 
-    heading = F.col("kind") == "heading"
-    block = F.struct("reading_order", "page", "block_id", heading.alias("heading"), "cost", F.when(heading, F.col("text")).otherwise("").alias("text"))
-    return blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(block)).alias("b")).mapInArrow(run, _PLACES)
+    block = F.struct("reading_order", "page", "block_id", "kind", "cost", "script", "text", "bbox")
+    return blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(block)).alias("b")).mapInArrow(run, _MADE_DDL)
 
 
 def chunk_id(doc_id, block_ids):
@@ -142,21 +174,8 @@ def build_chunks(blocks: DataFrame, cfg: ChunkConfig = ChunkConfig()) -> DataFra
     """Chunk rows of normalised blocks, in CHUNK's columns plus chunk_no."""
     rows = blocks.withColumn("cost", tx.count_tokens(F.col("text"), F.col("script")))
     if "bbox" not in rows.columns:
-        rows = rows.withColumn("bbox", F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>"))
-    placed = placements(rows, cfg).join(rows.select("doc_id", "block_id", "page", "bbox", "script", "text", "cost"), ["doc_id", "block_id"])
-    weight = placed.where("script <> 'unknown'").groupBy("doc_id", "chunk_no", "script").agg(F.sum("cost").alias("w"))
-    script = weight.groupBy("doc_id", "chunk_no").agg(F.max_by("script", F.struct("w", "script")).alias("script"))
-    ordered = F.array_sort(F.collect_list(F.struct("place", "block_id", "text")))
-    made = placed.groupBy("doc_id", "chunk_no").agg(
-        F.min("page").alias("page_start"),
-        F.max("page").alias("page_end"),
-        ordered.alias("o"),
-        F.struct(F.min("bbox.x0").alias("x0"), F.min("bbox.y0").alias("y0"), F.max("bbox.x1").alias("x1"), F.max("bbox.y1").alias("y1")).alias("bbox_union"),
-        F.first("heading_path").alias("heading_path"),
-        F.sum("cost").cast("int").alias("token_count"),
-    )
-    made = made.join(script, ["doc_id", "chunk_no"], "left").withColumn("script", F.coalesce("script", F.lit("unknown")))
-    made = made.withColumn("block_ids", F.transform("o", lambda x: x["block_id"])).withColumn("text", F.array_join(F.transform("o", lambda x: x["text"]), "\n\n"))
+        rows = rows.withColumn("bbox", F.lit(None).cast(BBOX))
+    made = gathered_chunks(rows, cfg)
     lang = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SCRIPT_LANG.items() for x in kv]), F.col("script")), F.lit("und"))
     made = made.withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("block_ids"))).withColumn("lang", lang)
     return made.select(*CHUNK.fieldNames(), "chunk_no")
