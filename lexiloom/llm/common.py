@@ -95,6 +95,19 @@ def add_columns(df: DataFrame, fields: str, make: Callable[[], Callable[[list],
     return kept.mapInArrow(run, StructType([*kept.schema.fields, *probe.fields]))
 
 
+def hash_order(*columns) -> Column:
+    """A seeded order of rows: 63 bits of a hash."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 1)
+
+
+def order_limit(wanted: int, total: int) -> int:
+    """A hash_order value that at least `wanted` of `total` rows lie below, and not many more.
+
+    Rows are cut down to it before they are ranked, so no task ranks more than a bounded sample.
+    """
+    return min(2**63 - 1, int((1.3 * wanted + 200) / max(total, 1) * 2**63))
+
+
 def worker_store(operator: str) -> types.ModuleType:
     """What a Python worker keeps between tasks of one operator; another operator's things go."""
     store = sys.modules.setdefault("_lexiloom_worker", types.ModuleType("_lexiloom_worker"))

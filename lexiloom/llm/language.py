@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import add_columns, small_batches, staged, worker_store
+from .common import add_columns, hash_order, order_limit, small_batches, staged, worker_store
 
 DOCS_PER_LANG = 1500
 EM_ROUNDS = 3
@@ -231,10 +231,12 @@ def train(docs: DataFrame, path: str | None = None, docs_per_lang: int = DOCS_PE
     path = path or vocabulary_path()
     ids = docs.where(F.col("lang").isNotNull()).where(~held_out(F.col("doc_id")))
     # the sample is bounded per language; ranks need ids alone, not texts
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
-    some = ids.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_per_lang).select("doc_id", "lang").distinct()
-    n_langs = some.select("lang").distinct().count()
-    few = n_langs * docs_per_lang <= 200_000
+    counts = {r.lang: r["count"] for r in ids.groupBy("lang").count().collect()}
+    limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, order_limit(docs_per_lang, n))]) if counts else F.create_map().cast("map<string,bigint>")
+    near = ids.select("doc_id", "lang", hash_order("doc_id", F.lit(1)).alias("o")).where(F.col("o") <= F.element_at(limits, F.col("lang")))
+    order = Window.partitionBy("lang").orderBy("o", "doc_id")
+    some = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_per_lang).select("doc_id", "lang").distinct()
+    few = len(counts) * docs_per_lang <= 200_000
     rows = ids.select("doc_id", "lang", "text").join(F.broadcast(some) if few else some, ["doc_id", "lang"], "left_semi")
     words = staged(rows.select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     langs = sorted(r.lang for r in words.select("lang").distinct().collect())

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns
+from .common import add_columns, hash_order, order_limit
 
 MAX_TRAIN = 20_000
 MAX_BINS = 32
@@ -201,7 +201,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Gam:
     """Fit on at most max_rows labelled rows that are not held out."""
     usable = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out(F.col("doc_id")))
     # a bounded sample: the smallest hashes; its broadcast is bounded by max_rows
-    some = usable.orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id", "quality").limit(max_rows)
+    order = hash_order("doc_id", F.lit(8))
+    some = usable.where(order <= order_limit(max_rows, usable.count())).orderBy(order, "doc_id", "quality").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
     got = with_figures(rows).select("quality", "figures").collect()
     got.sort(key=lambda r: (r.quality, list(r.figures)))
