@@ -116,7 +116,7 @@ def set_key(hashes: np.ndarray) -> bytes:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a, b = parameters()
-    known: dict[bytes, tuple[bytes, list[int]]] = {}
+    known: dict[bytes, tuple[bytes, np.ndarray]] = {}
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             rows = batch.slice(i, 256)
@@ -125,10 +125,10 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hashes = shingle_hashes(text)
                 key = set_key(hashes)
                 if key not in known:
-                    if len(known) > 20_000:
+                    if len(known) > 5_000:
                         known.clear()
                     best = minima(hashes, a, b)
-                    known[key] = pack_signature(best), band_keys(best).tolist()
+                    known[key] = pack_signature(best), band_keys(best)
                 sizes.append(len(hashes))
                 keys.append(key)
                 signatures.append(known[key][0])

@@ -40,7 +40,7 @@ from .common import fresh_path, small_batches, staged, worker_store
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
-CACHE_PIECES = 600_000
+CACHE_PIECES = 200_000
 IDS_SCHEMA = "doc_id long, part int, pos long, n_tokens long, ids binary"
 BLOCK_SCHEMA = "part int, pos long, doc_ids array<long>, n_tokens array<long>, control binary, data binary"
 RANKS_SCHEMA = "id int, rank int, n long"
@@ -95,7 +95,10 @@ def vocabulary_path() -> str:
 
 
 class Encoder:
-    """Texts to arrays of ids; pieces seen before come from a bounded cache.
+    """Texts to arrays of ids; pieces seen before come from a bounded cache of two generations.
+
+    A full cache becomes the older generation, from which pieces that come again are taken
+    over; the others go when the next one is full.
 
     The pieces of a batch are cut and told apart by array operations, so that Python sees each
     distinct piece of a batch once. Texts on which the cut could differ are encoded whole.
@@ -106,6 +109,7 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.letters: dict[str, bool] = {}
         specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.specials = re.compile(b"|".join(re.escape(s.encode()) for s in specials)) if specials else None
@@ -157,7 +161,8 @@ class Encoder:
         bounds, held = np.frombuffer(bounds, np.int32)[: len(pieces.dictionary) + 1].tolist(), held.to_pybytes()
         distinct, which = [held[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], pieces.indices.to_numpy()
         if new := [w for w in distinct if w not in self.cache]:
-            self.learn(new)
+            self.cache.update((w, v) for w in new if (v := self.older.get(w)) is not None)
+            self.learn([w for w in new if w not in self.cache])
         coded = list(map(self.cache.__getitem__, distinct))
         sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
         ids, first = np.frombuffer(b"".join(coded), np.uint32), np.cumsum(sizes) - sizes
@@ -169,7 +174,7 @@ class Encoder:
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """texts: UTF-8."""
         if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
+            self.cache, self.older = {}, self.cache
         texts = [t or b"" for t in texts]
         alike = [bool(t) and self.simple(t) for t in texts]
         some = [t for t, a in zip(texts, alike, strict=True) if a]
