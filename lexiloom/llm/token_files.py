@@ -40,7 +40,7 @@ from .common import fresh_path, small_batches, staged, worker_store
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
-CACHE_PIECES = 200_000
+CACHE_PIECES = 500_000
 IDS_SCHEMA = "doc_id long, part int, pos long, n_tokens long, ids binary"
 BLOCK_SCHEMA = "part int, pos long, doc_ids array<long>, n_tokens array<long>, control binary, data binary"
 RANKS_SCHEMA = "id int, rank int, n long"
