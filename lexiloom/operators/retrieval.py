@@ -19,8 +19,10 @@ from ..functions.scripts import detect
 
 # Fixed values
 K1, B = 1.5, 0.75
-#: Queries of one pass over the vectors; a larger set takes several passes.
+#: Queries of one block; a larger set takes several.
 QUERIES_PER_PASS = 4096
+#: Partitions that the blocks of queries and of rows are dealt over, and the bytes of one Arrow batch of them.
+QUERY_PARTS, ROW_PARTS, BATCH_BYTES = 12, 4, 16_777_216
 DANGLING = "it its this that these those they them their he she his her him one ones former latter same above below".split()
 
 
@@ -40,46 +42,76 @@ def cosine(v: Column, q: Column) -> Column:
     return F.when(norm > 0, dot(v, q) / norm).otherwise(0.0)
 
 
-def _scan(ids: np.ndarray, q: np.ndarray, k: int) -> Callable:
+def _packed(rows: DataFrame, id_col: str, most: int) -> DataFrame:
+    """Rows as blocks (ids, m) of at most most rows in the order of their ids, vectors of unit length."""
+    wide = "vector" in rows.columns
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for i in range(0, len(f), 8192):
-                part = f.iloc[i : i + 8192]
-                v = np.stack(part.vector.to_numpy()).astype(np.float64)
+            for i in range(0, len(f), most):
+                part = f.iloc[i : i + most].sort_values(id_col)
+                v = np.stack(part.vector.to_numpy()).astype(np.float64) if wide else np.empty((len(part), 0))
                 n = np.linalg.norm(v, axis=1, keepdims=True)
                 v = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
-                s = np.round(q @ v.T, 6) + 0.0
-                rows = part.row_id.to_numpy()
-                take = min(k, len(rows))
-                for j, scores in enumerate(s):
-                    # all that tie with the k-th stay, so that row_id decides later
-                    least = np.partition(scores, len(scores) - take)[len(scores) - take]
-                    at = np.flatnonzero(scores >= least)
-                    at = at[np.lexsort((rows[at], -scores[at]))[:take]]
-                    yield pd.DataFrame({"query_id": ids[j], "row_id": rows[at], "score": scores[at]})
+                yield pd.DataFrame({"ids": [part[id_col].to_numpy(np.int64).tobytes()], "m": [v.tobytes()]})
+
+    return rows.select(id_col, *["vector"] * wide).mapInPandas(run, "ids binary, m binary")
+
+
+def _best(score: Callable, k: int, scale: int) -> Callable:
+    """Whole scores of pairs of blocks to k rows a query; what a task has seen of a query is merged."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        for f in frames:
+            for q_ids, q_m, r_ids, r_m in f[["q_ids", "q_m", "r_ids", "r_m"]].itertuples(index=False):
+                ids, rows = np.frombuffer(q_ids, np.int64), np.frombuffer(r_ids, np.int64)
+                q, v = np.frombuffer(q_m).reshape(len(ids), -1), np.frombuffer(r_m).reshape(len(rows), -1)
+                n, take, found = len(rows), min(k, len(rows)), []
+                for i in range(0, len(ids), 256):
+                    # rows are in the order of their ids: the place breaks ties
+                    key = score(ids[i : i + 256], q[i : i + 256], rows, v) * n + np.arange(n - 1, -1, -1)
+                    found.append(np.partition(key, n - take, axis=1)[:, n - take :])
+                key = np.concatenate(found)
+                points, at = key // n, rows[n - 1 - key % n]
+                if q_ids in kept:
+                    points, at = np.hstack([kept[q_ids][0], points]), np.hstack([kept[q_ids][1], at])
+                    order = np.lexsort((at, -points), axis=1)[:, :k]
+                    points, at = np.take_along_axis(points, order, 1), np.take_along_axis(at, order, 1)
+                kept[q_ids] = points, at
+        for q_ids, (points, at) in kept.items():
+            ids = np.frombuffer(q_ids, np.int64)
+            for i in range(0, len(ids), 512):
+                x = points[i : i + 512]
+                yield pd.DataFrame({"query_id": np.repeat(ids[i : i + 512], x.shape[1]), "row_id": at[i : i + 512].ravel(), "score": x.ravel() / scale + 0.0})
 
     return run
 
 
+def _search(queries: DataFrame, rows: DataFrame, score: Callable, k: int, scale: int) -> DataFrame:
+    """Best k rows of each query, each block of queries against each block of rows on the workers."""
+    conf, key = queries.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not (now := conf.get(key, None) or "").isdigit() or int(now) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    q = _packed(queries, "query_id", QUERIES_PER_PASS).toDF("q_ids", "q_m").repartition(QUERY_PARTS)
+    r = _packed(rows, "row_id", 8192).toDF("r_ids", "r_m").repartition(ROW_PARTS)
+    pairs = r.hint("shuffle_replicate_nl").crossJoin(q)  # never broadcast: that passes through the driver
+    return top_k(pairs.mapInPandas(_best(score, k, scale), "query_id long, row_id long, score double"), k)
+
+
+def _cosines(ids: np.ndarray, q: np.ndarray, rows: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.rint(q @ v.T * 1e6).astype(np.int64)
+
+
 def dense_hits(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame:
     """Exact top k by cosine. queries(query_id, vector), vectors(row_id, vector).
 
-    The query matrix goes to the workers, QUERIES_PER_PASS rows at a time, and each batch of
-    vectors is one matrix product that keeps k rows a query; vectors are never moved.
+    Both sides are packed into blocks, and each pair of blocks is one matrix product that keeps
+    k rows a query. Neither side passes through the driver.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    got = [(r.query_id, r.vector) for r in queries.select("query_id", "vector").orderBy("query_id").toLocalIterator()]
-    out = None
-    for i in range(0, max(len(got), 1), QUERIES_PER_PASS):
-        part = got[i : i + QUERIES_PER_PASS]
-        ids = np.array([x for x, _ in part], np.int64)
-        q = np.array([v for _, v in part], np.float64).reshape(len(part), -1)
-        n = np.linalg.norm(q, axis=1, keepdims=True)
-        q = np.divide(q, n, out=np.zeros_like(q), where=n > 0)
-        hits = vectors.select("row_id", "vector").mapInPandas(_scan(ids, q, k), "query_id long, row_id long, score double")
-        out = hits if out is None else out.unionByName(hits)
-    ranked = top_k(out, k)
+    ranked = _search(queries, vectors, _cosines, k, 10**6)
     return ranked.withColumns({"arm": F.lit("dense"), "gate_score": F.max("score").over(Window.partitionBy("query_id")), "degraded": F.lit(0)})
 
 
@@ -192,11 +224,33 @@ def gate(queries: DataFrame, hits: DataFrame, tau: float = 0.45) -> DataFrame:
     return queries.select("query_id").join(top, "query_id", "left").withColumn("abstained", F.coalesce(F.col("top_score") < tau, F.lit(True)))
 
 
+def _hashed(seed: int) -> Callable:
+    """pmod(xxhash64(seed, query_id, row_id), 1000003), as Spark has it."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turn(x, n):
+        return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+    def mixed(h):
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        return h ^ (h >> np.uint64(32))
+
+    def of_long(x, h):
+        return mixed(turn((h + p5 + np.uint64(8)) ^ (turn(x * p2, 31) * p1), 27) * p1 + p4)
+
+    def score(ids: np.ndarray, q: np.ndarray, rows: np.ndarray, v: np.ndarray) -> np.ndarray:
+        one = np.array([seed], np.int32).astype(np.uint32).astype(np.uint64)
+        first = mixed(turn((np.array([42], np.uint64) + p5 + np.uint64(4)) ^ (one * p1), 23) * p2 + p3)
+        h = of_long(rows.astype(np.uint64), of_long(ids.astype(np.uint64), first)[:, None])
+        return h.view(np.int64) % 1_000_003
+
+    return score
+
+
 def random_hits(queries: DataFrame, rows: DataFrame, k: int, seed: int) -> DataFrame:
     """A seeded floor: k rows a query by a hash, the same however rows are partitioned."""
-    pairs = F.broadcast(queries.select("query_id")).crossJoin(rows.select("row_id"))
-    score = F.pmod(F.xxhash64(F.lit(seed), "query_id", "row_id"), F.lit(1_000_003)) / F.lit(1_000_003)
-    return top_k(pairs.withColumn("score", score), k)
+    return _search(queries.select("query_id"), rows.select("row_id"), _hashed(seed), k, 1_000_003)
 
 
 def blocked_pairs(queries: DataFrame, rows: DataFrame) -> DataFrame:

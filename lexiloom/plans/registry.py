@@ -1,12 +1,14 @@
 """All registered queries of the retrieval engine, with their DuckDB equivalents.
 
 Corpus: documents (lines are blocks). Lexical queries: benchmark passages. Dense index:
-embeddings, the first N_QUERIES of which are queries; equal labels are relevant.
+embeddings, each of which is a query in the queries named *_all and in random_floor, the first
+N_QUERIES in those whose SQL says so; equal labels are relevant.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -220,9 +222,14 @@ def _vectors(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"), "label")
 
 
-def _dense(spark, sf, k=20):
+def _asked(v, first):
+    """The vectors that are queries: the first ones, or all where first is None."""
+    return v if first is None else v.where(F.col("row_id") < first)
+
+
+def _dense(spark, sf, k=20, first=sql.N_QUERIES):
     v = _vectors(spark, sf)
-    return retrieval.dense_hits(v.where(F.col("row_id") < sql.N_QUERIES).withColumnRenamed("row_id", "query_id"), v, k)
+    return retrieval.dense_hits(_asked(v, first).withColumnRenamed("row_id", "query_id"), v, k)
 
 
 @query("WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT vec_id, round(CASE WHEN list_dot_product(e, e) > 0 THEN e[1] / sqrt(list_dot_product(e, e)) ELSE 0 END, 6) AS first_value, len(e) AS dim FROM v")
@@ -232,8 +239,8 @@ def l2_normalize(spark, sf):
 
 
 @query(f"WITH {sql.dense()} SELECT query_id, row_id, score, rank FROM dense")
-def dense_topk(spark, sf):
-    return _dense(spark, sf).select("query_id", "row_id", "score", "rank")
+def dense_topk(spark, sf, first=sql.N_QUERIES):
+    return _dense(spark, sf, first=first).select("query_id", "row_id", "score", "rank")
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (len(embedding) <> 64) AS bad_width, count(*) - count(DISTINCT vec_id) AS repeated FROM embeddings")
@@ -247,9 +254,9 @@ _TOP_OTHER = "SELECT query_id, max(score) AS top_score FROM dense WHERE row_id <
 
 
 @query(f"WITH {sql.dense()} SELECT query_id, top_score, coalesce(top_score < 0.45, true) AS abstained FROM (SELECT vec_id AS query_id FROM embeddings WHERE vec_id < {sql.N_QUERIES}) LEFT JOIN ({_TOP_OTHER}) USING (query_id)")
-def abstain_gate(spark, sf):
-    hits = _dense(spark, sf).where("row_id <> query_id").withColumn("gate_score", F.col("score"))
-    qs = _vectors(spark, sf).where(F.col("row_id") < sql.N_QUERIES).select(F.col("row_id").alias("query_id"))
+def abstain_gate(spark, sf, first=sql.N_QUERIES):
+    hits = _dense(spark, sf, first=first).where("row_id <> query_id").withColumn("gate_score", F.col("score"))
+    qs = _asked(_vectors(spark, sf), first).select(F.col("row_id").alias("query_id"))
     return retrieval.gate(qs, hits)
 
 
@@ -268,14 +275,14 @@ def _fused_sql(w1: float, w2: float, k: int = 20) -> str:
 
 
 @query(_fused_sql(1.0, 1.0))
-def rrf_fuse(spark, sf):
-    d = _dense(spark, sf)
+def rrf_fuse(spark, sf, first=sql.N_QUERIES):
+    d = _dense(spark, sf, first=first)
     return retrieval.fuse([(d, 1.0), (_second_arm(d), 1.0)], 20).select("query_id", "row_id", "score", "rank")
 
 
 @query(_fused_sql(3.0, 1.0, 10))
-def rrf_weighted(spark, sf):
-    d = _dense(spark, sf)
+def rrf_weighted(spark, sf, first=sql.N_QUERIES):
+    d = _dense(spark, sf, first=first)
     return retrieval.fuse([(d, 3.0), (_second_arm(d), 1.0)], 10).select("query_id", "row_id", "score", "rank")
 
 
@@ -359,26 +366,26 @@ _JUDGED = f"""WITH {sql.dense()}, first AS (SELECT d.query_id, min(rank) AS firs
       FROM u LEFT JOIN first ON first.query_id = vec_id LEFT JOIN top ON top.query_id = vec_id WHERE vec_id < {sql.N_QUERIES})"""
 
 
-def _judged(spark, sf):
+def _judged(spark, sf, first=sql.N_QUERIES):
     labels = _vectors(spark, sf).select("row_id", "label")
-    hits = retrieval.top_k(_dense(spark, sf).where("row_id <> query_id").drop("rank"), 20).withColumn("gate_score", F.col("score"))
-    few = F.broadcast(labels.where(F.col("row_id") < sql.N_QUERIES).select(F.col("row_id").alias("query_id"), F.col("label").alias("q_label")))
-    pairs = hits.join(few, "query_id").join(labels, "row_id")
+    hits = retrieval.top_k(_dense(spark, sf, first=first).where("row_id <> query_id").drop("rank"), 20).withColumn("gate_score", F.col("score"))
+    own = labels.select(F.col("row_id").alias("query_id"), F.col("label").alias("q_label"))
+    pairs = hits.join(own, "query_id").join(labels, "row_id")
     relevant = pairs.where("label = q_label").select(F.col("query_id").alias("q_id"), "rank")
-    qs = labels.where(F.col("row_id") < sql.N_QUERIES).select(F.col("row_id").alias("query_id"), "label")
+    qs = _asked(labels, first).select(F.col("row_id").alias("query_id"), "label")
     gated = qs.join(retrieval.gate(qs, hits, 0.75), "query_id")
     questions = gated.select(F.col("query_id").alias("q_id"), F.col("label").cast("string").alias("lang"), (F.col("label") % 2 == 0).alias("answerable"), "abstained")
     return evaluate.per_question(questions, relevant)
 
 
 @query(f"{_JUDGED} SELECT q_id, recall_1, recall_5, recall_10 FROM judged")
-def recall_at_k(spark, sf):
-    return _judged(spark, sf).select("q_id", "recall_1", "recall_5", "recall_10")
+def recall_at_k(spark, sf, first=sql.N_QUERIES):
+    return _judged(spark, sf, first).select("q_id", "recall_1", "recall_5", "recall_10")
 
 
 @query(f"{_JUDGED} SELECT round(coalesce(avg(rr_10) FILTER (answerable), 0), 6) AS mrr_10, count(*) FILTER (answerable) AS n FROM judged")
-def mrr(spark, sf):
-    return _judged(spark, sf).agg(F.round(evaluate.mean(F.when(F.col("answerable"), F.col("rr_10"))), 6).alias("mrr_10"), F.count(F.when(F.col("answerable"), 1)).alias("n"))
+def mrr(spark, sf, first=sql.N_QUERIES):
+    return _judged(spark, sf, first).agg(F.round(evaluate.mean(F.when(F.col("answerable"), F.col("rr_10"))), 6).alias("mrr_10"), F.count(F.when(F.col("answerable"), 1)).alias("n"))
 
 
 @query(
@@ -386,34 +393,34 @@ def mrr(spark, sf):
     CAST(count(*) FILTER (abstained) AS BIGINT) AS n_abstained, CAST(count(*) FILTER (abstained AND NOT answerable) AS BIGINT) AS n_right,
     round(avg(CASE WHEN NOT answerable THEN 1.0 ELSE 0.0 END) FILTER (abstained), 6) AS abstain_precision FROM judged GROUP BY CUBE (lang)"""
 )
-def per_lang_metrics(spark, sf):
-    return evaluate.metrics(_judged(spark, sf))
+def per_lang_metrics(spark, sf, first=sql.N_QUERIES):
+    return evaluate.metrics(_judged(spark, sf, first))
 
 
 @query(f"{_JUDGED} SELECT answerable, abstained, count(*) AS n FROM judged GROUP BY 1, 2")
-def confusion(spark, sf):
-    return evaluate.confusion(_judged(spark, sf))
+def confusion(spark, sf, first=sql.N_QUERIES):
+    return evaluate.confusion(_judged(spark, sf, first))
 
 
 @query(f"{_JUDGED} SELECT round(CAST(count(*) FILTER (abstained AND NOT answerable) AS DOUBLE) / nullif(count(*) FILTER (abstained), 0), 6) AS precision, round(CAST(count(*) FILTER (abstained AND NOT answerable) AS DOUBLE) / nullif(count(*) FILTER (NOT answerable), 0), 6) AS recall FROM judged")
-def abstain_scores(spark, sf):
-    return evaluate.abstain_scores(_judged(spark, sf))
+def abstain_scores(spark, sf, first=sql.N_QUERIES):
+    return evaluate.abstain_scores(_judged(spark, sf, first))
 
 
 @query(f"{_JUDGED}, m AS (SELECT avg(recall_1) AS r1, avg(recall_5) AS r5, avg(recall_10) AS r10 FROM judged WHERE answerable) SELECT 1 AS k, round(r1, 6) AS recall FROM m UNION ALL SELECT 5, round(r5, 6) FROM m UNION ALL SELECT 10, round(r10, 6) FROM m")
-def recall_curve(spark, sf):
-    return evaluate.recall_curve(_judged(spark, sf))
+def recall_curve(spark, sf, first=sql.N_QUERIES):
+    return evaluate.recall_curve(_judged(spark, sf, first))
 
 
 @query(f"{_JUDGED} SELECT CASE WHEN first_rank IS NULL OR first_rank > 20 THEN 'never' WHEN first_rank = 1 THEN '1' WHEN first_rank <= 5 THEN '2-5' WHEN first_rank <= 10 THEN '6-10' ELSE '11-20' END AS bucket, count(*) AS n FROM judged WHERE answerable GROUP BY 1")
-def rank_distribution(spark, sf):
-    return evaluate.rank_distribution(_judged(spark, sf))
+def rank_distribution(spark, sf, first=sql.N_QUERIES):
+    return evaluate.rank_distribution(_judged(spark, sf, first))
 
 
 @query()
 def random_floor(spark, sf):
     v = _vectors(spark, sf)
-    qs = v.where(F.col("row_id") < sql.N_QUERIES).select(F.col("row_id").alias("query_id"))
+    qs = v.select(F.col("row_id").alias("query_id"))
     return retrieval.random_hits(qs, v, 20, 7).select("query_id", "row_id", "score", "rank")
 
 
@@ -422,14 +429,24 @@ def random_floor(spark, sf):
     arms AS (SELECT 'all' AS arm, avg(recall_5) AS recall_5, avg(rr_10) AS mrr_10, 0 AS degraded FROM judged UNION ALL SELECT 'lost', avg(recall_1), avg(rr_10), 3 FROM judged)
     SELECT arm, CASE WHEN degraded = 0 THEN round(recall_5, 6) END AS recall_5, CASE WHEN degraded = 0 THEN round(recall_5 - b5, 6) END AS d_recall_5, CASE WHEN degraded = 0 THEN round(mrr_10, 6) END AS mrr_10, CASE WHEN degraded = 0 THEN round(mrr_10 - bm, 6) END AS d_mrr_10, degraded FROM arms CROSS JOIN base"""
 )
-def sweep_delta(spark, sf):
-    j = _judged(spark, sf)
+def sweep_delta(spark, sf, first=sql.N_QUERIES):
+    j = _judged(spark, sf, first)
     arms = j.agg(F.lit("all").alias("arm"), F.avg("recall_5").alias("recall_5"), F.avg("rr_10").alias("mrr_10"), F.lit(0).alias("degraded"))
     lost = j.agg(F.lit("lost").alias("arm"), F.avg("recall_1").alias("recall_5"), F.avg("rr_10").alias("mrr_10"), F.lit(3).alias("degraded"))
     base = j.where("answerable").agg(F.avg("recall_5").alias("recall_5"), F.avg("rr_10").alias("mrr_10"))
     return evaluate.sweep(arms.unionByName(lost), base)
 
 
+def _every(oracle: str) -> str:
+    """The SQL without its limit on queries."""
+    return oracle.replace(f" WHERE a.vec_id < {sql.N_QUERIES}", "").replace(f" WHERE vec_id < {sql.N_QUERIES}", "")
+
+
+for _name in "dense_topk abstain_gate rrf_fuse rrf_weighted recall_at_k mrr per_lang_metrics confusion abstain_scores recall_curve rank_distribution sweep_delta".split():
+    QUERIES[f"{_name}_all"] = partial(QUERIES[_name], first=None)
+    ORACLE[f"{_name}_all"] = _every(ORACLE[_name])
+
+
 # --- answers
 
 
