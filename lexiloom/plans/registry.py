@@ -450,9 +450,11 @@ for _name in "dense_topk abstain_gate rrf_fuse rrf_weighted recall_at_k mrr per_
 # --- answers
 
 
-def _context(spark, sf):
+def _context(spark, sf, chars=None):
+    """Hits, rows and blocks; texts are whole unless the SQL of a query states their first characters."""
+    text = F.col("text") if chars is None else F.substring("text", 1, chars)
     hits = retrieval.lexical_hits(_bench_queries(spark, sf), _doc_rows(spark, sf), 5)
-    rows = _doc_rows(spark, sf).select("row_id", F.col("row_id").cast("string").alias("doc_id"), F.substring("text", 1, 400).alias("text"), F.lit(1).alias("page_start"), (F.col("row_id") % 2 + 1).cast("int").alias("page_end"), F.array(F.lit("Part"), F.lit("")).alias("heading_path"))
+    rows = _doc_rows(spark, sf).select("row_id", F.col("row_id").cast("string").alias("doc_id"), text.alias("text"), F.lit(1).alias("page_start"), (F.col("row_id") % 2 + 1).cast("int").alias("page_end"), F.array(F.lit("Part"), F.lit("")).alias("heading_path"))
     return hits, rows, answer.context_blocks(hits, rows)
 
 
@@ -461,6 +463,11 @@ def _context(spark, sf):
     '[' || rank || '] ' || substring(CAST(row_id AS VARCHAR), 1, 8) || ' / ' || CASE WHEN row_id % 2 = 0 THEN 'p.1' ELSE 'pp.1-2' END || ' | Part' || chr(10) || substring(text, 1, 400) AS block FROM lexical JOIN documents ON doc_id = row_id"""
 )
 def context_blocks(spark, sf):
+    return _context(spark, sf, 400)[2]
+
+
+@query(ORACLE["context_blocks"].replace("substring(text, 1, 400)", "text"))
+def context_blocks_all(spark, sf):
     return _context(spark, sf)[2]
 
 
@@ -470,6 +477,13 @@ def fit_context(spark, sf):
     return answer.fit_context(_bench_queries(spark, sf), b, 600).select("query_id", "n_context", "n_dropped", "prompt_tokens", F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
+@query()
+def fit_context_all(spark, sf):
+    """Under the operator's own budget, that of answers."""
+    _, _, b = _context(spark, sf)
+    return answer.fit_context(_bench_queries(spark, sf), b).select("query_id", "n_context", "n_dropped", "prompt_tokens", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
 @query()
 def answer_batch(spark, sf):
     hits, rows, _ = _context(spark, sf)

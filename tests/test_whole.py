@@ -1,9 +1,12 @@
 """Queries do the whole of their job: all queries, texts and arms."""
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from lexiloom.operators import retrieval
+from lexiloom.functions.text import estimate_tokens
+from lexiloom.operators import answer, retrieval
 from lexiloom.plans import registry
 
 
@@ -33,3 +36,21 @@ def test_random_hits_are_sparks_hash(spark):
     score = F.pmod(F.xxhash64(F.lit(7), "query_id", "row_id"), F.lit(1_000_003)) / F.lit(1_000_003)
     want = retrieval.top_k(q.crossJoin(rows).withColumn("score", score), 20)
     assert sorted(map(tuple, retrieval.random_hits(q, rows, 20, 7).select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_context_has_whole_texts(spark, tmp_path):
+    tail = " ".join(f"filler{k}" for k in range(100)) + " zebra crossing."
+    docs = [(1, tail), (2, "a short text about zebra"), (3, "nothing of it")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "zebra crossing")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    blocks = {r.row_id: r.block for r in registry.QUERIES["context_blocks_all"](spark, str(tmp_path)).collect()}
+    assert set(blocks) == {1, 2} and all(blocks[k].split("\n", 1)[1] == t for k, t in docs[:2])
+    context = "\n\n".join(blocks[k] for k in (1, 2))
+    prompt = f"{answer.SYSTEM}\n\nContext:\n{context}\n\nQuestion: zebra crossing\n(Answer in English.)\nAnswer:"
+    tokens = spark.createDataFrame([(prompt,)], "p string").select(estimate_tokens(F.col("p"))).first()[0]
+    got = registry.QUERIES["fit_context_all"](spark, str(tmp_path)).first()
+    assert (got.n_context, got.n_dropped, got.prompt_sha256, got.prompt_tokens) == (2, 0, hashlib.sha256(prompt.encode()).hexdigest(), tokens)
+    tight = registry.QUERIES["fit_context"](spark, str(tmp_path)).first()
+    assert tight.n_context + tight.n_dropped == 2 and tight.prompt_tokens > 400
+    out = registry.QUERIES["answer_batch"](spark, str(tmp_path)).first()
+    assert "zebra crossing." in out.answer and out.citations == [1, 2] and out.prompt_tokens == tokens
