@@ -494,7 +494,15 @@ def answer_batch(spark, sf):
 
 
 def _cited(spark, sf):
-    """User turns with markers after the first and third word."""
+    """User turns, whole and as they are, with markers after the first and third word."""
+    words = F.split(F.coalesce("text", F.lit("")), " ", -1)
+    first, second = F.concat(F.lit("["), (F.col("turn") + 1).cast("string"), F.lit("]")), F.concat(F.lit("[2, "), (F.col("conv_id") % 9).cast("string"), F.lit("]"))
+    text = F.array_join(F.concat(F.slice(words, 1, 1), F.array(first), F.slice(words, 2, 2), F.array(second), F.slice(words, F.lit(4), F.size(words))), " ")
+    return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", text.alias("text"))
+
+
+def _cited_heads(spark, sf):
+    """What _CITED states: three words of each user turn without code and brackets, with markers."""
     words = F.split(F.regexp_replace("text", r"[`~\[\]\x{0}]", ""), " ")
     text = F.concat(F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.lit(" ["), (F.col("turn") + 1).cast("string"), F.lit("] "), F.array_join(F.slice(words, 2, 2), " "), F.lit(" [2, "), (F.col("conv_id") % 9).cast("string"), F.lit("]."))
     return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", text.alias("text"))
@@ -505,7 +513,15 @@ _CITED = r"""cited AS (SELECT conv_id, turn, w[1] || ' [' || (turn + 1) || '] '
 
 @query(f"WITH {_CITED} SELECT conv_id, turn, array_to_string(flatten(list_transform(regexp_extract_all(text, '{sql.MARKERS}'), lambda m: regexp_extract_all(m, '\\d+'))), ',') AS numbers FROM cited")
 def citation_markers(spark, sf):
-    rows = _cited(spark, sf)
+    return _markers(_cited_heads(spark, sf))
+
+
+@query()
+def citation_markers_all(spark, sf):
+    return _markers(_cited(spark, sf))
+
+
+def _markers(rows):
     return rows.select("conv_id", "turn", F.array_join(citations.find_markers(F.col("text")).cast("array<string>"), ",").alias("numbers"))
 
 
@@ -520,7 +536,16 @@ def citation_verify(spark, sf):
     SELECT conv_id, turn, round((CASE WHEN a BETWEEN 1 AND 5 THEN 1 ELSE 0 END + 1 + CASE WHEN b BETWEEN 1 AND 5 AND b <> 2 THEN 1 ELSE 0 END) / 3.0, 6) AS groundedness FROM c"""
 )
 def groundedness(spark, sf):
-    rows = _cited(spark, sf).withColumn("v", citations.verify(F.col("text"), F.lit(5)))
+    return _grounded(_cited_heads(spark, sf))
+
+
+@query()
+def groundedness_all(spark, sf):
+    return _grounded(_cited(spark, sf))
+
+
+def _grounded(rows):
+    rows = rows.withColumn("v", citations.verify(F.col("text"), F.lit(5)))
     return rows.select("conv_id", "turn", F.round(citations.groundedness(F.col("v.emitted"), F.col("v.grounded")), 6).alias("groundedness"))
 
 

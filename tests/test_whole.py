@@ -1,6 +1,7 @@
 """Queries do the whole of their job: all queries, texts and arms."""
 
 import hashlib
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -54,3 +55,59 @@ def test_context_has_whole_texts(spark, tmp_path):
     assert tight.n_context + tight.n_dropped == 2 and tight.prompt_tokens > 400
     out = registry.QUERIES["answer_batch"](spark, str(tmp_path)).first()
     assert "zebra crossing." in out.answer and out.citations == [1, 2] and out.prompt_tokens == tokens
+
+
+def outside_code(text):
+    """Brute force: text with code blanked, by back-tick runs and fenced lines."""
+    out, i, n = [], 0, len(text)
+    while i < n:
+        if text[i] not in "`~":
+            out.append(text[i])
+            i += 1
+            continue
+        j = i
+        while j < n and text[j] == text[i]:
+            j += 1
+        run, end = j - i, None
+        if run >= 3 and not text[:i].rpartition("\n")[2].strip():
+            end, at = n, text.find("\n", j)
+            while at != -1:
+                line = text[at + 1 :].split("\n", 1)[0]
+                if set(line.strip(" \t")) == {text[i]} and len(line.strip(" \t")) >= run:
+                    end = at + 1 + len(line)
+                    break
+                at = text.find("\n", at + 1)
+        elif text[i] == "`":
+            at = j
+            while at < n and end is None:
+                if text[at] == "`":
+                    k = at
+                    while k < n and text[k] == "`":
+                        k += 1
+                    end, at = k if k - at == run else None, k
+                else:
+                    at += 1
+        out.append(text[i:j] if end is None else "\n")
+        i = end or j
+    return "".join(out)
+
+
+def test_citations_see_whole_turns(spark, sf_dir, tmp_path):
+    made = ["one two three four [3] five [9], six [1, 7].", "a `x [4]` b [5] ``c ` [1]`` d [6]", "say\n```\n[2]\n```\nthen [4] ~ ` [8]", "one", "", "a  b [ 5 , 6 ] [x] [] c [5]"]
+    spark.createDataFrame([(k, k % 3, "user", t) for k, t in enumerate(made)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for at in (str(tmp_path), sf_dir):
+        turns = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{at}/conversations.parquet").where("role = 'user'").collect()}
+        got = {n: {(r.conv_id, r.turn): r for r in registry.QUERIES[n](spark, at).collect()} for n in ("citation_markers_all", "citation_verify", "groundedness_all")}
+        assert all(set(g) == set(turns) for g in got.values())
+        for (c, t), text in turns.items():
+            w = text.split(" ")
+            cited = " ".join([*w[:1], f"[{t + 1}]", *w[1:3], f"[2, {c % 9}]", *w[3:]])
+            marks = [[int(x) for x in re.findall(r"\d+", m)] for m in re.findall(r"\[[ \t]*\d+(?:[ \t]*,[ \t]*\d+)*[ \t]*\]", outside_code(cited))]
+            every, kept = [x for m in marks for x in m], [x for m in marks for x in dict.fromkeys(m) if 1 <= x <= 5]
+            assert got["citation_markers_all"][c, t].numbers == ",".join(map(str, every))
+            one = got["citation_verify"][c, t]
+            assert one.used == ",".join(map(str, sorted(set(kept))))
+            assert [int(x) for x in re.findall(r"\[(\d+)\]", outside_code(one.clean))] == kept
+            if not re.search(r"[\[`~\0]", text):
+                assert re.sub(r"\[\d+\]|\s", "", one.clean) == re.sub(r"\s", "", text)
+            assert got["groundedness_all"][c, t].groundedness == round(len(kept) / len(every), 6)
