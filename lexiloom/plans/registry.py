@@ -7,6 +7,7 @@ N_QUERIES in those whose SQL says so; equal labels are relevant.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from functools import partial
 
@@ -14,11 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..config import Config
 from ..functions import citations, scripts, text as tx
 from ..operators import answer, blocks, chunks, evaluate, index, retrieval, traces
-from ..operators.seams import overlap_score
+from ..operators.seams import HashingEmbedder, embed, overlap_score
 from ..sources.readers import table
-from . import sql
+from . import compose, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -307,6 +309,39 @@ def hybrid_topk(spark, sf):
     return retrieval.fuse([(lexical, 1.0), (other, 1.0)], 20).select("query_id", "row_id", "score", "rank")
 
 
+#: Reads all words of a text.
+_WHOLE = HashingEmbedder(max_len=sys.maxsize)
+
+
+def _embedded(spark, sf):
+    return _doc_rows(spark, sf).withColumn("vector", embed(F.col("text"), _WHOLE, _WHOLE.passage_prefix))
+
+
+def _two_arms(spark, sf):
+    """Dense and lexical top 20 of the passages, each over all documents."""
+    qs = _bench_queries(spark, sf)
+    dense = retrieval.dense_hits(qs.select("query_id", embed(F.col("text"), _WHOLE, _WHOLE.query_prefix).alias("vector")), _embedded(spark, sf))
+    return dense, retrieval.lexical_hits(qs, _doc_rows(spark, sf))
+
+
+@query()
+def hybrid_topk_arms(spark, sf):
+    hits = compose.retrieve(_bench_queries(spark, sf), _embedded(spark, sf), Config().with_arms({"hybrid"}), _WHOLE)
+    return hits.select("query_id", "row_id", "score", "rank", "gate_score")
+
+
+@query()
+def rrf_fuse_arms(spark, sf):
+    dense, lexical = _two_arms(spark, sf)
+    return retrieval.fuse([(dense, 1.0), (lexical, 1.0)], 20).select("query_id", "row_id", "score", "rank")
+
+
+@query()
+def rrf_weighted_arms(spark, sf):
+    dense, lexical = _two_arms(spark, sf)
+    return retrieval.fuse([(dense, 3.0), (lexical, 1.0)], 10).select("query_id", "row_id", "score", "rank")
+
+
 @query(
     f"""WITH {sql.bm25()}, {_WORDS_ARM}, r AS (SELECT l.query_id, l.row_id, l.rank, o.hits / (SELECT count(*) FROM q WHERE q.query_id = l.query_id) AS s FROM lexical l JOIN overlap o USING (query_id, row_id))
     SELECT query_id, row_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank <= 10 DESC, CASE WHEN rank <= 10 THEN round(s, 9) END DESC NULLS LAST, rank) AS INTEGER) AS rank FROM r"""

@@ -3,11 +3,12 @@
 import hashlib
 import re
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import estimate_tokens
-from lexiloom.operators import answer, retrieval
+from lexiloom.operators import answer, retrieval, seams
 from lexiloom.plans import registry
 
 
@@ -111,3 +112,27 @@ def test_citations_see_whole_turns(spark, sf_dir, tmp_path):
             if not re.search(r"[\[`~\0]", text):
                 assert re.sub(r"\[\d+\]|\s", "", one.clean) == re.sub(r"\s", "", text)
             assert got["groundedness_all"][c, t].groundedness == round(len(kept) / len(every), 6)
+
+
+def test_two_arms(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").toPandas()
+    qs = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").toPandas()
+    e = seams.HashingEmbedder(max_len=10**9)
+    d, q = (e.embed(list(x)).astype(float) for x in (docs.text, qs.text))
+    d, q = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (d, q))
+    points, ids = np.round(q @ d.T, 6), docs.doc_id.to_numpy()
+    dense = {i: list(ids[np.lexsort((ids, -s))[:20]]) for i, s in zip(qs.item_id, points, strict=True)}
+    lexical = {i: [] for i in qs.item_id}
+    for r in duckdb.connect().execute(registry.ORACLE["bm25_topk"].replace("FROM documents", f"FROM '{sf_dir}/documents.parquet'").replace("FROM benchmark", f"FROM '{sf_dir}/benchmark.parquet'") + " ORDER BY query_id, rank").fetchall():
+        lexical[r[0]].append(r[1])
+    assert any(set(dense[i]) - set(lexical[i]) for i in dense) and any(set(lexical[i]) - set(dense[i]) for i in dense)
+    for name, weights, k in (("hybrid_topk_arms", (1, 1), 20), ("rrf_fuse_arms", (1, 1), 20), ("rrf_weighted_arms", (3, 1), 10)):
+        got = registry.QUERIES[name](spark, sf_dir).toPandas().sort_values(["query_id", "rank"])
+        for i in dense:
+            score, seen = {}, {}
+            for n, arm in enumerate((dense[i], lexical[i])):
+                for rank, x in enumerate(arm, 1):
+                    score[x] = score.get(x, 0) + weights[n] / (60 + rank)
+                    seen.setdefault(x, (n, rank))
+            want = sorted(score, key=lambda x: (-round(score[x], 9), seen[x], x))[:k]
+            assert list(got[got.query_id == i].row_id) == want
