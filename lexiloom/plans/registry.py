@@ -120,6 +120,12 @@ def tokenize(spark, sf):
     return rows.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.slice("t", 1, 20), " ").alias("head"))
 
 
+@query(ORACLE["tokenize"].replace("array_to_string(words[1:20], ' ') AS head", "array_to_string(words, ' ') AS tokens"))
+def tokenize_all(spark, sf):
+    rows = docs_of(spark, sf).select("doc_id", tx.tokens(F.col("text"), scripts.detect(F.col("text"))).alias("t"))
+    return rows.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join("t", " ").alias("tokens"))
+
+
 @query(f"SELECT conv_id, turn, CASE WHEN length(t) <= {tx.SNIPPET_CHARS} THEN t ELSE rtrim(substring(t, 1, {tx.SNIPPET_CHARS})) || '…' END AS snippet FROM (SELECT conv_id, turn, {sql.collapse('text')} AS t FROM conversations)")
 def snippets(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", tx.snippet(F.col("text")).alias("snippet"))
@@ -130,9 +136,18 @@ _FOUND = r"regexp_extract(head, '^\s*(\d+(?:[.\-]\d+)*)\s*[.):]?\s+\S', 1)"
 
 @query(f"WITH h AS (SELECT doc_id, CAST(doc_id % 12 AS VARCHAR) || CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN '.2' ELSE '.2-7' END || CASE WHEN doc_id % 5 = 0 THEN 'x ' ELSE ') ' END || substring(text, 1, 20) AS head FROM documents) SELECT doc_id, CAST(CASE WHEN {_FOUND} = '' THEN 1 ELSE len(string_split_regex({_FOUND}, '[.\\-]')) END AS INTEGER) AS level FROM h")
 def heading_level(spark, sf):
+    return _levels(spark, sf, F.substring("text", 1, 20))
+
+
+@query(ORACLE["heading_level"].replace("substring(text, 1, 20)", "text"))
+def heading_level_all(spark, sf):
+    return _levels(spark, sf, F.col("text"))
+
+
+def _levels(spark, sf, text):
     d = F.col("doc_id")
     number = F.concat((d % 12).cast("string"), F.when(d % 3 == 0, "").when(d % 3 == 1, ".2").otherwise(".2-7"), F.when(d % 5 == 0, "x ").otherwise(") "))
-    return docs_of(spark, sf).select("doc_id", tx.heading_level(F.concat(number, F.substring("text", 1, 20))).alias("level"))
+    return docs_of(spark, sf).select("doc_id", tx.heading_level(F.concat(number, text)).alias("level"))
 
 
 @query(f"SELECT item_id, CASE WHEN {sql.detect('text')} = 'latn' THEN '(Answer in English.)' ELSE '' END AS reminder FROM benchmark")

@@ -136,3 +136,11 @@ def test_two_arms(spark, sf_dir):
                     seen.setdefault(x, (n, rank))
             want = sorted(score, key=lambda x: (-round(score[x], 9), seen[x], x))[:k]
             assert list(got[got.query_id == i].row_id) == want
+
+
+def test_all_tokens_and_whole_headings(spark, tmp_path):
+    docs = [(1, " ".join(f"w{k}" for k in range(30))), (2, " " * 25 + "late words")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in registry.QUERIES["tokenize_all"](spark, str(tmp_path)).collect()}
+    assert got[1].n == 30 and got[1].tokens == docs[0][1] and got[2].tokens == "late words"
+    assert {r.doc_id: r.level for r in registry.QUERIES["heading_level_all"](spark, str(tmp_path)).collect()} == {1: 2, 2: 3}
