@@ -1,63 +1,22 @@
-"""Shared folder, staged tables and the reading of inputs."""
+"""What the corpus operators share: staged tables, Python columns, hash orders, workers."""
 
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only a local session without that setting gets a folder of its own.
-    """
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return f"{named.rstrip('/')}/lexiloom"
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = f"file://{tempfile.mkdtemp(prefix='lexiloom-')}"
-    return _own[app]
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{uuid.uuid4().hex}/{name}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df once into the shared folder and read it back: lineage ends here.
+from ..sources.readers import table as table
+from ..sources.staging import discard as discard
+from ..sources.staging import fresh_path as fresh_path
+from ..sources.staging import shared_dir as shared_dir
+from ..sources.staging import staged as staged
 
-    A lost executor costs its running tasks only; the files stay.
-    """
-    spark = df.sparkSession
-    df.write.parquet(path := fresh_path(spark, name), compression="zstd")
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a staged table that no later plan reads."""
-    if path := getattr(df, "_staged_path", None):
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def lower_ascii(text: Column) -> Column:
@@ -122,7 +81,10 @@ BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("2000", 2000), "spar
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch limits to BATCHES where they are higher."""
+    """Lower the session's Arrow batch limits to BATCHES where they are higher.
+
+    They stay lowered: plans are lazy, and a limit counts when a plan is run.
+    """
     for key, (value, most) in BATCHES.items():
         now = spark.conf.get(key, None)
         if now is None or not now.isdigit() or int(now) > most:

@@ -11,8 +11,10 @@ is bounded; a larger benchmark takes one pass over the documents for each block,
 united row by row.
 
 Defined cases: null texts have no words and no hits; items without words have no window; items
-with equal ids count once, a null item_id counts as the id ''; empty tables give no hits; very
-long texts are searched whole; other columns stay.
+with equal ids count once, items without an id are one item of the id ''; windows that overlap
+or repeat hit a word once; repeated rows are searched one by one; empty tables give no hits; very
+long texts are searched whole; columns named n_words, runs, items, full, n_hit, n_items,
+items_sha256 or contaminated are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ WINDOW = 13
 BLOCK_BYTES = 32_000_000
 #: A document is contaminated if one word of SHARE or more are hit.
 SHARE = 20
-FOUND = "n_words long, runs array<struct<a:bigint,b:bigint>>, items array<string>"
+FOUND = "n_words long, runs array<struct<a:bigint,b:bigint>>, items array<string>, full boolean"
+N_FOUND = 4
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -99,12 +102,13 @@ class Searcher:
                 if seen[name] not in owners:
                     owners.append(seen[name])
         self.machines = [Machine(m, w, len(self.vocabulary) + 1) for m, w in sorted(by_length.items())]
+        self.window = window
 
-    def find(self, text: str | None) -> tuple[int, list[tuple[int, int]], list[str]]:
-        """(words, hit runs [a, b), ids of items with an occurring window)."""
+    def find(self, text: str | None) -> tuple[int, list[tuple[int, int]], list[str], bool]:
+        """(words, hit runs [a, b), ids of items with an occurring window, whether a full-length one occurs)."""
         words = words_of(text)
         ids = [*map(self.vocabulary.get, words, [0] * len(words))]
-        spans, items = [], set()
+        spans, items, full = [], set(), False
         for machine in self.machines:
             for start, owners in machine.search(ids):
                 if spans and spans[-1][0] <= start <= spans[-1][1]:
@@ -112,7 +116,8 @@ class Searcher:
                 else:
                     spans.append([start, start + machine.m])
                 items.update(owners)
-        return len(words), united(spans), sorted(self.names[i] for i in items)
+                full |= machine.m == self.window
+        return len(words), united(spans), sorted(self.names[i] for i in items), full
 
 
 def united(spans: list) -> list[tuple[int, int]]:
@@ -139,20 +144,20 @@ def _search(items: list[tuple[str, str]], schema: StructType, place: int, found:
                 b = batch.slice(i, 128)
                 got = [store.benchmark.find(t) for t in b.column(place).to_pylist()]
                 if found is not None:
-                    runs, names = b.column(found + 1).to_pylist(), b.column(found + 2).to_pylist()
-                    got = [(n, united([*r, *((x["a"], x["b"]) for x in old)]), sorted({*s, *olds})) for (n, r, s), old, olds in zip(got, runs, names, strict=True)]
-                kept = b.columns[: -3 if found is not None else None]
-                new = [[n for n, _, _ in got], [[{"a": a, "b": z} for a, z in r] for _, r, _ in got], [s for _, _, s in got]]
+                    before = zip(*(b.column(found + k).to_pylist() for k in (1, 2, 3)), strict=True)
+                    got = [(n, united([*r, *((x["a"], x["b"]) for x in old)]), sorted({*s, *olds}), f or had) for (n, r, s, f), (old, olds, had) in zip(got, before, strict=True)]
+                kept = b.columns[: -N_FOUND if found is not None else None]
+                new = [[n for n, *_ in got], [[{"a": a, "b": z} for a, z in r] for _, r, *_ in got], [s for _, _, s, _ in got], [f for *_, f in got]]
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, types_.field(len(kept) + k).type) for k, x in enumerate(new))], schema=types_)
 
     return run
 
 
 def search(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with n_words, runs of hit words and the items that occur."""
+    """docs with n_words, runs of hit words, the items that occur, and whether a full window does."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.drop("n_words", "runs", "items")
+    rows = docs.drop("n_words", "runs", "items", "full")
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
@@ -165,7 +170,7 @@ def search(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES
         rows = rows.mapInArrow(_search(block, schema, place, found), schema)
         if n_blocks > 1:
             rows = staged(rows, f"searched_{k}")
-        found = len(schema) - 3
+        found = len(schema) - N_FOUND
     return rows
 
 

@@ -7,20 +7,27 @@
 3. Within a band bucket every member is paired with the bucket's smallest id. Pairs
    whose collision-corrected similarity, estimated from the bit counts, is not hopeless
    are confirmed on full shingle sets. The links give components.
-4. A bucket whose members all lie in one component is done. In the others, documents are
-   estimated against those of other components block by block. A document with a hopeful
-   partner is confirmed on full sets against the block of that partner's component; the
-   first link found is enough, for the block is connected already. So no candidate is
+4. A bucket whose members all lie in one component is done. In the others, the documents
+   outside the bucket's largest component are estimated against all of other components,
+   block by block; the largest component is never held against itself. A document with a
+   hopeful partner is confirmed on full sets against the block of that partner's component;
+   the first link found is enough, for the block is connected already. So no candidate is
    dropped, no bucket or component is ever one task, and a large group of near copies
    yields rows in proportion to its members, not to their square.
 
+Joins by band take hot bands from a short list, whose length is checked before it is
+broadcast; only the others are dealt by band.
+
 At a similarity of 0.8, a pair shares no band with probability (1 - 0.8^6)^40 = 5e-6, and
-the estimate (240 samples of 4 bits, deviation 0.03) lies below 0.65 with about 1e-6.
+the estimate (240 samples of 4 bits, deviation 0.03) lies below 0.65 with about 1e-6. Full
+sets are those of 64-bit hashes of the shingles: two different shingles of a pair of
+documents are taken for one with less than 1e-13 for documents of 1000 words.
 
 Defined cases: null, empty or blank texts have an empty set, are linked with nothing and
 kept; one word is its own single shingle; rows with equal doc_id are one document only if
-their sets are equal, otherwise their links are joined; empty tables give empty results;
-other columns are ignored.
+their sets are equal, otherwise their links are joined; a row without doc_id is in no group:
+its component is null and it is kept; very long texts are read whole, their minima in slices;
+empty tables give empty results; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +47,10 @@ B_BITS = 4
 SIMILARITY = 80  # per cent
 HOPELESS = 0.65
 BLOCK = 128
+#: Documents of a block of a bucket's largest component.
+MAIN_BLOCK = 512
+#: A band with more documents is hot; the limit is raised until at most BROADCAST_KEYS bands are.
+HOT, BROADCAST_KEYS = 1000, 100_000
 SEED = 20_240_601
 
 #: Ids whose set may be picked out by a broadcast (8 bytes each); more are picked out by a join.
@@ -278,6 +289,15 @@ def confirm(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
     return staged(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_confirmed, "u long, v long"), "star_links")
 
 
+def by_band(rows: DataFrame, bands: DataFrame, weight: str, name: str) -> DataFrame:
+    """rows with the columns of bands (one row a band). No hot band is ever dealt to one task."""
+    bands, hot = staged(bands, name), HOT
+    while bands.where(F.col(weight) > hot).count() > BROADCAST_KEYS:
+        hot *= 4
+    few, rest = bands.where(F.col(weight) > hot), bands.where(F.col(weight) <= hot)
+    return rows.join(F.broadcast(few), "band").unionByName(rows.join(rest, "band"))
+
+
 def links_across(in_bucket: DataFrame, comp: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Links between components that share a bucket and that the stars did not join."""
     sizes = comp.groupBy("comp").agg(F.count("*").alias("size"))
@@ -289,13 +309,20 @@ def links_across(in_bucket: DataFrame, comp: DataFrame, rows: DataFrame, classes
         return df.join(placed, "id", "left").withColumns(alone)
 
     wide = own(in_bucket.where("n > 2"))
-    split = wide.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    open_rows = wide.join(split, "band").where("id <> least").join(classes.select("id", "signature", "bands"), "id")
-    k = F.ceil(F.col("n") / BLOCK).cast("int")
-    blocks = open_rows.withColumn("block", F.pmod(F.xxhash64("id"), k).cast("int"))
-    blocks = staged(blocks.groupBy("band", "block").agg(F.max(k).alias("k"), F.first("no").alias("no"), F.collect_list(F.struct("id", "comp", "size", "part", "signature", "bands")).alias("m")), "blocks")
+    shares = wide.groupBy("band", "comp").agg(F.count("*").alias("m"))
+    split = shares.groupBy("band").agg(F.count("*").alias("comps"), F.sum("m").alias("n_all"), F.max(F.struct("m", "comp")).alias("top")).where("comps > 1")
+    split = split.select("band", "n_all", F.col("top.comp").alias("main"), F.col("top.m").alias("n_main"))
+    open_rows = by_band(wide.drop("n"), split, "n_all", "split").where("id <> least").join(classes.select("id", "signature", "bands"), "id")
+    # a bucket's largest component in blocks -1, -2, ..., the others in blocks 0, 1, ...
+    k_main, k_rest = F.ceil(F.col("n_main") / MAIN_BLOCK).cast("int"), F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK).cast("int")
+    block = F.when(F.col("comp") == F.col("main"), -1 - F.pmod(F.xxhash64("id"), k_main)).otherwise(F.pmod(F.xxhash64("id"), k_rest)).cast("int")
+    member = F.struct("id", "comp", "size", "part", "signature", "bands")
+    blocks = open_rows.withColumns({"block": block, "k_main": k_main, "k_rest": k_rest})
+    blocks = blocks.groupBy("band", "block").agg(F.max("k_main").alias("k_main"), F.max("k_rest").alias("k_rest"), F.first("no").alias("no"), F.collect_list(member).alias("m"))
+    blocks = staged(blocks, "blocks")
     right = blocks.select("band", F.col("block").alias("other"), F.col("m").alias("r"))
-    left = blocks.select("band", F.explode(F.expr("sequence(block, k - 1)")).alias("other"), "no", F.col("m").alias("l"))
+    others = F.expr("concat(sequence(-k_main, -1), sequence(block, k_rest - 1))")
+    left = blocks.where("block >= 0").select("band", F.explode(others).alias("other"), "no", F.col("m").alias("l"))
     tries = staged(left.join(right, ["band", "other"]).select("no", "l", "r").mapInArrow(_across, "id long, comp long, part long").distinct(), "tries")
     if tries.isEmpty():
         return tries.select(F.col("id").alias("u"), F.col("comp").alias("v"))
@@ -343,6 +370,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(roots.distinct())
 
 
+def drop_copies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs without the rows whose group has a smaller key; key is a long column."""
+    groups = near_groups(docs.select(F.col(key).alias("doc_id"), "text"))
+    gone = staged(groups.where("NOT kept").select(F.col("doc_id").alias(key)).distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, key, "left_anti").select(docs.columns)
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     small_batches(docs.sparkSession)
@@ -358,7 +392,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     signatures = classes = signed.select("id", "set_key", "signature", "bands")
     at = signed.select("id", F.posexplode("bands").alias("no", "band"))
     buckets = at.groupBy("band").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    in_bucket = staged(at.join(buckets, "band").select("band", "no", "id", "least", "n"), "buckets")
+    in_bucket = staged(by_band(at, buckets, "n", "hot_bands").select("band", "no", "id", "least", "n"), "buckets")
     stars = in_bucket.where("id <> least").select(F.col("least").alias("u"), F.col("id").alias("v")).distinct()
     x = signatures.select(F.col("id").alias("u"), F.col("signature").alias("x"))
     y = signatures.select(F.col("id").alias("v"), F.col("signature").alias("y"))
