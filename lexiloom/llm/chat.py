@@ -3,8 +3,9 @@
 A record is JSON. The fingerprint of its layout is a hash of its sorted nested field paths
 (arrays as []); a declarative mapping registered under that fingerprint says where turns,
 roles and texts are. So prompt/response, instruction/input/output and message-list layouts
-all become canonical turns (role, text). Records with an unknown layout have status
-`unknown` and no turns.
+all become canonical turns (role, text). Fields that only describe a record, such as its id
+or source, do not count for the fingerprint. Records with an unknown layout have status
+`unknown` and no turns; they stay in every result.
 
 Template. Every turn is `<|im_start|>role\\ntext<|im_end|>\\n`. Control strings inside roles and
 texts, the template's own and those of other common templates, get a backslash after their
@@ -12,9 +13,11 @@ first character, and backslashes are doubled, so formatting can be undone exactl
 mask is a list of [start, end) spans of code points: the texts of assistant turns.
 
 Defined cases: null roles and texts are empty; turns are ordered by turn number, then role and
-text, nulls first; a conversation without turns gives no row; repeated rows are repeated turns;
-a null conv_id is one conversation. A conversation is one string, hence one row of one task;
-conversations are otherwise independent.
+text, nulls first, so that ties have one order; a conversation without turns gives no row;
+repeated rows are repeated turns; a null conv_id is one conversation; texts of any length are
+formatted whole; an empty table gives an empty result; other columns, whatever their names, are
+ignored. A conversation is one string, hence one row of one task; conversations are otherwise
+independent.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
@@ -36,7 +39,7 @@ CONTROL = (START, END, "<|endoftext|>", "<|system|>", "<|user|>", "<|assistant|>
 _CONTROL = re.compile("|".join(map(re.escape, sorted(CONTROL, key=len, reverse=True))))
 _ESCAPED = re.compile(r"\\(.)", re.S)
 FORMATTED = "id long, layout string, status string, formatted string, loss array<struct<a:bigint,b:bigint>>"
-DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, layout string"
+DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, layout string, status string"
 
 
 @dataclass(frozen=True)
@@ -61,8 +64,13 @@ def field_paths(value: object, at: str = "") -> set[str]:
     return {at}
 
 
+#: Top-level fields that describe a record and hold none of its turns.
+ASIDE = {"id", "source", "lang", "language", "license", "meta", "metadata", "score", "timestamp", "url"}
+
+
 def fingerprint(paths: set[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+    kept = sorted(p for p in paths if re.split(r"[.\[]", p, maxsplit=1)[0] not in ASIDE)
+    return hashlib.sha256("\n".join(kept).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
 OTHER_NAMES = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
@@ -163,39 +171,58 @@ def format_records(records: DataFrame) -> DataFrame:
     return records.select(F.col("id").cast("long").alias("id"), "record").mapInArrow(_format, FORMATTED)
 
 
-def message_records(turns: DataFrame) -> DataFrame:
-    """Rows by turn (conv_id, turn, role, text) as one message-list record a conversation."""
+def records(turns: DataFrame) -> DataFrame:
+    """Rows by turn (conv_id, turn, role, text) as one JSON record a conversation.
+
+    Its layout follows from its roles, as in corpora from several places: one exchange is a
+    prompt and a response, with or without a system text; longer talks of user and assistant are
+    from/value lists; all others are role/content lists.
+    """
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
-    rows = F.sort_array(F.collect_list(F.struct("turn", role.alias("role"), text.alias("content"))))
-    messages = F.transform(rows, lambda r: F.struct(r["role"].alias("role"), r["content"].alias("content")))
-    return turns.groupBy(F.col("conv_id").cast("long").alias("id")).agg(F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    rows = turns.groupBy(F.col("conv_id").cast("long").alias("id")).agg(F.sort_array(F.collect_list(F.struct("turn", role.alias("role"), text.alias("text")))).alias("t"))
+    t, roles = F.col("t"), F.transform("t", lambda r: r["role"])
+
+    def of(k: int) -> Column:
+        return t[k]["text"]
+
+    def same(*names: str) -> Column:
+        return roles == F.array(*map(F.lit, names))
+
+    renamed = F.transform(t, lambda r: F.struct(F.when(r["role"] == "user", "human").otherwise("gpt").alias("from"), r["text"].alias("value")))
+    messages = F.transform(t, lambda r: F.struct(r["role"], r["text"].alias("content")))
+    record = (
+        F.when(same("user", "assistant"), F.to_json(F.struct(of(0).alias("prompt"), of(1).alias("response"))))
+        .when(same("system", "user", "assistant"), F.to_json(F.struct(of(0).alias("system"), of(1).alias("prompt"), of(2).alias("response"))))
+        .when(F.forall(roles, lambda r: r.isin("user", "assistant")), F.to_json(F.struct(renamed.alias("conversations"))))
+        .otherwise(F.to_json(F.struct(messages.alias("messages"))))
+    )
+    return rows.select("id", record.alias("record"))
+
+
+def _hex(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [f.split(" ")[0] for f in DIGESTS.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
     for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            turns = parse(r["formatted"])
-            loss = "".join(unescape(r["formatted"][x["a"] : x["b"]]) for x in r["loss"])
-            rows.append(
-                {
-                    "conv_id": r["id"],
-                    "n_turns": len(turns),
-                    "turns_sha256": hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode("utf-8", "surrogatepass")).hexdigest(),
-                    "loss_chars": len(loss),
-                    "loss_sha256": hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(),
-                    "formatted_chars": len(r["formatted"]),
-                    "layout": r["layout"],
-                }
-            )
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
-        names = [f.split(" ")[0] for f in DIGESTS.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
+        for i in range(0, batch.num_rows, 256):
+            rows = []
+            for r in batch.slice(i, 256).to_pylist():
+                row = dict.fromkeys(names) | {"conv_id": r["id"], "layout": r["layout"], "status": r["status"]}
+                if r["status"] == "ok":
+                    text = r["formatted"]
+                    turns = parse(text)
+                    loss = "".join(unescape(text[x["a"] : x["b"]]) for x in r["loss"])
+                    row |= {"n_turns": len(turns), "turns_sha256": _hex("".join(f"{a}\n{b}\n" for a, b in turns)), "loss_chars": len(loss), "loss_sha256": _hex(loss), "formatted_chars": len(text)}
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """Turns and loss text read back from formatted strings."""
-    return formatted.where("status = 'ok'").mapInArrow(_digest, DIGESTS)
+    """Turns and loss text read back from formatted strings; nulls where the layout is unknown."""
+    return formatted.mapInArrow(_digest, DIGESTS)
 
 
 def with_probe(turns: DataFrame) -> DataFrame:
