@@ -11,13 +11,14 @@ word counts of at most DOCS_PER_LANG documents per language, those with the smal
 of their doc_id. Expected counts are summed in Spark; the driver gets one figure per piece
 and language.
 
-Words are runs of letters of the lower-cased text, with the vocabulary's word mark in front;
+Words are runs of letters (Unicode categories L*) of the lower-cased text, with the vocabulary's word mark in front;
 stretches of over 48 characters are cut there. Characters without a piece of their own count
 as FOREIGN in every language.
 
 Defined cases: null texts, texts without letters, and all texts where nothing could be
-learned are `und` with score 0; ties go to the alphabetically first language; whole texts
-are read; other columns stay as they are.
+learned are `und` with score 0; ties go to the alphabetically first language, with a score of
+one over the number of languages that tie; repeated rows are rated one by one; whole texts are
+read, however long; columns named lang_pred or score are replaced, others stay as they are.
 """
 
 from __future__ import annotations
@@ -42,7 +43,9 @@ CHAR_SCALE = 16.0
 LONGEST = 48
 CACHE_WORDS = 1_000_000
 MARK = "▁"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Word characters that are numbers but no letters, such as fractions and circled digits.
+_NUMBERS = "".join(c for c in map(chr, range(0xA0, 0x110000)) if c.isnumeric() and not c.isalpha())
+LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 
 
 def vocabulary_path() -> str:
