@@ -12,7 +12,10 @@ smallest hash of their doc_id; only their figures come to the driver, not their
 Defined cases: null, empty and blank texts have the figures of no words and are scored like
 any other; labels that are null or neither 0 nor 1 are not learned from; a doc_id with
 several labels counts once per label; with no labels of one kind the score is the share of
-label 1 (0.5 without labels).
+label 1 (0.5 without labels). Equal texts have equal scores, so ties and repeated rows need
+no rule; a doc_id that several documents have lends its label to each; texts of any length are
+read whole; an empty table gives an empty result; columns named score or predicted are
+replaced, others stay.
 """
 
 from __future__ import annotations
