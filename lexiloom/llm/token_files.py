@@ -19,7 +19,8 @@ characters on which that cut could differ are encoded whole.
 
 Defined cases: a null text is empty and yields the end id alone; documents follow
 ascending doc_id, nulls first, ties by the text's hash; repeated rows are all kept; an
-empty table writes no block; other columns are ignored.
+empty table writes no block; a text of any length is one document of one block; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -234,6 +235,13 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("part"), pa.array(pos), b.column("n_tokens"), b.column("ids")], names=["doc_id", "part", "pos", "n_tokens", "ids"])
 
 
+def needs_wide(vocabulary: str, end_id: int = END_ID) -> bool:
+    """Whether the vocabulary has ids beyond two bytes."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(vocabulary).get_vocab(with_added_tokens=True).values(), default=0) > 0xFFFF or end_id > 0xFFFF
+
+
 def token_ids(docs: DataFrame, vocabulary: str, end_id: int = END_ID, wide: bool = False) -> DataFrame:
     """Staged ids of every row, in ascending (part, pos)."""
     small_batches(docs.sparkSession)
@@ -314,10 +322,11 @@ def _blocks(rank_of: np.ndarray, wide: bool, block_ids: int) -> Callable:
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, wide: bool = False, block_ids: int = BLOCK_IDS) -> str:
-    """Encode docs into path/blocks and path/ranks. wide: for vocabularies over 65536."""
-    spark = docs.sparkSession
-    tokens = token_ids(docs, vocabulary or vocabulary_path(), end_id, wide)
+def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> str:
+    """Encode docs into path/blocks and path/ranks. Ids move as two bytes where the vocabulary allows it, else as four."""
+    spark, vocabulary = docs.sparkSession, vocabulary or vocabulary_path()
+    wide = needs_wide(vocabulary, end_id)
+    tokens = token_ids(docs, vocabulary, end_id, wide)
     ranks = ranked_ids(tokens, wide)
     spark.createDataFrame(ranks, RANKS_SCHEMA).coalesce(1).write.parquet(f"{path}/ranks")
     rank_of = np.zeros(max((r[0] for r in ranks), default=0) + 1, np.uint32)
