@@ -54,6 +54,27 @@ def add_columns(df: DataFrame, fields: str, make: Callable[[], Callable[[list],
     return kept.mapInArrow(run, StructType([*kept.schema.fields, *probe.fields]))
 
 
+#: Rows of a table with one row a group that may be broadcast; a group of more than HOT rows is hot.
+BROADCAST_GROUPS, HOT = 100_000, 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, small: bool = False) -> DataFrame:
+    """rows with the columns of their group, for rows whose group is in groups (one row a group).
+
+    Groups of more than HOT rows (by the column weight) are broadcast, the limit raised until at
+    most BROADCAST_GROUPS are, and only rows of other groups are dealt by key. With small=True a
+    table of at most BROADCAST_GROUPS groups is broadcast as it is.
+    """
+    if small and groups.count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(groups), keys)
+    hot = HOT
+    while groups.where(F.col(weight) > hot).count() > BROADCAST_GROUPS:
+        hot *= 4
+    few, rest = groups.where(F.col(weight) > hot), groups.where(F.col(weight) <= hot)
+    others = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(few), keys).unionByName(others.join(rest, keys))
+
+
 def hash_order(*columns) -> Column:
     """A seeded order of rows: 63 bits of a hash."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 1)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, small_batches, staged
+from .common import discard, join_groups, small_batches, staged
 
 BAND_ROWS = 6
 N_BANDS = 40
@@ -49,8 +49,6 @@ HOPELESS = 0.65
 BLOCK = 128
 #: Documents of a block of a bucket's largest component.
 MAIN_BLOCK = 512
-#: A band with more documents is hot; the limit is raised until at most BROADCAST_KEYS bands are.
-HOT, BROADCAST_KEYS = 1000, 100_000
 SEED = 20_240_601
 
 #: Ids whose set may be picked out by a broadcast (8 bytes each); more are picked out by a join.
@@ -289,15 +287,6 @@ def confirm(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
     return staged(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_confirmed, "u long, v long"), "star_links")
 
 
-def by_band(rows: DataFrame, bands: DataFrame, weight: str, name: str) -> DataFrame:
-    """rows with the columns of bands (one row a band). No hot band is ever dealt to one task."""
-    bands, hot = staged(bands, name), HOT
-    while bands.where(F.col(weight) > hot).count() > BROADCAST_KEYS:
-        hot *= 4
-    few, rest = bands.where(F.col(weight) > hot), bands.where(F.col(weight) <= hot)
-    return rows.join(F.broadcast(few), "band").unionByName(rows.join(rest, "band"))
-
-
 def links_across(in_bucket: DataFrame, comp: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Links between components that share a bucket and that the stars did not join."""
     sizes = comp.groupBy("comp").agg(F.count("*").alias("size"))
@@ -312,7 +301,7 @@ def links_across(in_bucket: DataFrame, comp: DataFrame, rows: DataFrame, classes
     shares = wide.groupBy("band", "comp").agg(F.count("*").alias("m"))
     split = shares.groupBy("band").agg(F.count("*").alias("comps"), F.sum("m").alias("n_all"), F.max(F.struct("m", "comp")).alias("top")).where("comps > 1")
     split = split.select("band", "n_all", F.col("top.comp").alias("main"), F.col("top.m").alias("n_main"))
-    open_rows = by_band(wide.drop("n"), split, "n_all", "split").where("id <> least").join(classes.select("id", "signature", "bands"), "id")
+    open_rows = join_groups(wide.drop("n"), staged(split, "split"), ["band"], "n_all").where("id <> least").join(classes.select("id", "signature", "bands"), "id")
     # a bucket's largest component in blocks -1, -2, ..., the others in blocks 0, 1, ...
     k_main, k_rest = F.ceil(F.col("n_main") / MAIN_BLOCK).cast("int"), F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK).cast("int")
     block = F.when(F.col("comp") == F.col("main"), -1 - F.pmod(F.xxhash64("id"), k_main)).otherwise(F.pmod(F.xxhash64("id"), k_rest)).cast("int")
@@ -392,7 +381,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     signatures = classes = signed.select("id", "set_key", "signature", "bands")
     at = signed.select("id", F.posexplode("bands").alias("no", "band"))
     buckets = at.groupBy("band").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    in_bucket = staged(by_band(at, buckets, "n", "hot_bands").select("band", "no", "id", "least", "n"), "buckets")
+    in_bucket = staged(join_groups(at, staged(buckets, "shared_bands"), ["band"], "n").select("band", "no", "id", "least", "n"), "buckets")
     stars = in_bucket.where("id <> least").select(F.col("least").alias("u"), F.col("id").alias("v")).distinct()
     x = signatures.select(F.col("id").alias("u"), F.col("signature").alias("x"))
     y = signatures.select(F.col("id").alias("v"), F.col("signature").alias("y"))

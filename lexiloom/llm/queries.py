@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ def op1_marginal_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_chat_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.with_probe(table(spark, sf_dir, "conversations"))
-    return chat.digests(chat.format_records(chat.message_records(turns)))
+    return chat.digests(chat.format_records(chat.records(turns)))
 
 
 def op3_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +73,70 @@ QUERIES = {
     "op10_bbit_minhash": op10_bbit_minhash,
 }
 
+# --- SQL
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _escaped_length(t: str) -> str:
+    control = "|".join(re.escape(c).replace("<", r"\x{3C}").replace(">", r"\x{3E}") for c in sorted(chat.CONTROL, key=len, reverse=True))
+    return f"(length({t}) + length({t}) - length(replace({t}, '\\', '')) + len(regexp_extract_all({t}, {_quoted(control)})))"
+
+
+def _chat_sql() -> str:
+    return rf"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+            coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss, string_agg(role, ',' ORDER BY turn, role, text) AS roles,
+            CAST(sum({len(chat.START) + len(chat.END) + 2} + {_escaped_length('role')} + length(role) - length(replace(role, chr(10), '')) + {_escaped_length('text')}) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars,
+            CASE WHEN roles = 'user,assistant' THEN 'prompt_response' WHEN roles = 'system,user,assistant' THEN 'system_prompt_response'
+                 WHEN regexp_full_match(roles, '(user|assistant)(,(user|assistant))*') THEN 'conversations' ELSE 'messages' END AS layout, 'ok' AS status FROM c"""
+
+
+_HITS_SQL = rf"""WITH pattern AS (SELECT '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+' AS p),
+    d AS (SELECT doc_id, regexp_extract_all({_LOWER}, p) AS w FROM documents, pattern),
+    b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, regexp_extract_all({_LOWER}, p) AS w FROM benchmark, pattern),
+    bw AS (SELECT item_id, least({decontaminate.WINDOW}, len(w)) AS m, w, unnest(range(1, len(w) - least({decontaminate.WINDOW}, len(w)) + 2)) AS i FROM b WHERE len(w) > 0),
+    bg AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM bw),
+    dw AS (SELECT doc_id, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM bg) WHERE len(w) >= m),
+    h AS (SELECT dw.doc_id, dw.i, dw.m, bg.item_id FROM dw JOIN bg ON bg.m = dw.m AND bg.g = array_to_string(dw.w[dw.i:dw.i + dw.m - 1], ' ')),
+    p AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM h) GROUP BY doc_id),
+    n AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS items FROM h GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+        coalesce(n_hit, 0) > 0 AND {decontaminate.SHARE} * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN p USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
+def _mix_sql(target: mixing.Target = mixing.Target()) -> str:
+    domain = " ".join(f"WHEN regexp_matches(source, {_quoted(p)}) THEN {_quoted(n)}" for n, p in target.domains)
+    parts = []
+    for k, level in enumerate(mixing.LEVELS):
+        up, own = ", ".join(mixing.LEVELS[:k]), ", ".join(mixing.LEVELS[: k + 1])
+        weight = " ".join(f"WHEN {_quoted(n)} THEN {w}" for n, w in target.weights.get(level, {}).items())
+        weight = f"CASE {level} {weight} ELSE 1.0 END" if weight else "1.0"
+        budget = f"JOIN g{k - 1} USING ({up})" if k else f"CROSS JOIN (SELECT sum(t) * least({target.share}, {target.max_epochs}) AS budget FROM leaves)"
+        along = f"({f'PARTITION BY {up} ' if up else ''}ORDER BY CASE WHEN w > 0 THEN cap / w ELSE 'inf'::DOUBLE END, {level}"
+        parts.append(f"""c{k} AS (SELECT {own}, CAST(sum(t) * {target.max_epochs} AS DOUBLE) AS cap, CAST({weight} AS DOUBLE) AS w FROM leaves GROUP BY {own}),
+        s{k} AS (SELECT *, greatest(budget - coalesce(sum(cap) OVER {along} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS left_, sum(w) OVER {along} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM c{k} {budget}),
+        r{k} AS (SELECT *, CASE WHEN ws > 0 THEN left_ / ws ELSE 0 END AS rate FROM s{k}),
+        g{k} AS (SELECT {own}, CASE WHEN rate * w >= cap THEN cap ELSE coalesce(min(CASE WHEN rate * w < cap THEN {{'a': CASE WHEN w > 0 THEN cap / w ELSE 'inf'::DOUBLE END, 'b': {level}, 'rate': rate}} END) OVER {f'(PARTITION BY {up})' if up else '()'}.rate, 0) * w END AS budget FROM r{k})""")
+    return rf"""WITH d AS (SELECT doc_id, text, lang, source, CASE {domain} ELSE 'other' END AS domain, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
+        leaves AS (SELECT domain, lang, source, sum(n_tokens) AS t FROM d GROUP BY ALL), {', '.join(parts)},
+        b AS (SELECT domain, lang, source, t, CAST(floor(budget + 1e-6) AS BIGINT) AS budget FROM leaves JOIN g{len(mixing.LEVELS) - 1} USING (domain, lang, source)),
+        p AS (SELECT domain, lang, source, CASE WHEN t = 0 THEN 1 ELSE least(budget // t, {target.max_epochs}) END AS epochs, CASE WHEN t = 0 OR budget // t >= {target.max_epochs} THEN 0 ELSE budget % t END AS rest FROM b),
+        o AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY CAST('0x' || substring(md5(concat_ws('|', '{target.seed}', CAST(epochs AS BIGINT), doc_id, text)), 1, 15) AS BIGINT), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM d JOIN p USING (domain, lang, source)),
+        k AS (SELECT *, CAST(epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS times FROM o)
+        SELECT doc_id, domain, lang, source, n_tokens, CAST(unnest(range(0, times)) AS INTEGER) AS epoch FROM k"""
+
+
 ORACLE = {
+    "op2_chat_fingerprints": _chat_sql(),
+    "op3_wu_manber": _HITS_SQL,
+    "op4_tree_budgets": _mix_sql(),
     "op7_stream_dedup": """
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)
