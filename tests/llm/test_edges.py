@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +41,12 @@ def test_language(spark, docs, empty):
     assert len(got) == len(ROWS) - 1
     assert got[2, None].lang_pred == "und" and got[2, None].score == 0.0 and got[3, ""].lang_pred == "und"
     assert all(0 <= r.score <= 1 for r in got.values())
+    signs = spark.createDataFrame([(1, "½ ①② 12 - Ⅷ"), (2, "½ the")], "doc_id long, text string")
+    got = {r.doc_id: r for r in language.identify(signs, model).collect()}
+    assert (got[1].lang_pred, got[1].score) == ("und", 0.0) and got[2].lang_pred in ("de", "en")
+    flat = (model[0], ["b", "c", "a"], np.full((len(model[2]), 3), 1e-3))
+    tie = language.identify(signs, (flat[0], sorted(flat[1]), flat[2])).where("doc_id = 2").first()
+    assert tie.lang_pred == "a" and abs(tie.score - 1 / 3) < 1e-9
     assert language.identify(empty, language.train(empty)).count() == 0
     assert {r.lang_pred for r in language.identify(docs, language.train(empty)).collect()} == {"und"}
 
@@ -121,8 +128,31 @@ def test_html(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for part in ("<div>", "<a ", "<a x='", "<a x='>'", "<li>", "<td>", "<", "<!--", '<p class="a">', "<p><div><span></p>"):
+        page = html_text.Page(part * (1_000_000 // len(part)) + "deep")
+        k, _ = page.best()
+        assert page.find(page.path(k)) == k and len(page.text(k)) <= 1_500_000
+    assert time.perf_counter() - began < 30
+
+
+def test_names_in_and_outside_the_article():
+    def text(source):
+        page = html_text.Page(source)
+        return page.text(page.best()[0])
+
+    assert text("<body class='no-sidebar'><header>H</header><article><h1>T</h1><div class=body><p>" + "long " * 90 + "</p></div></article>").startswith("T\nlong")
+    assert text("<article><div class='header'>Head</div><p class='share-price'>Price<p class='notice'>Note<div class='comment-list'>c</div></article><p class='notice'>out") == "Head\nPrice\nNote"
+    assert text("<div id=w><div class=lead>lead text</div><div class=rest>rest of the text</div></div><div class=site-header>x</div>") == "lead text\nrest of the text"
+    assert text("<article><section class=a>first</section><section class=b>" + "second " * 40 + "</section></article>").startswith("first\nsecond")
+    assert text("<main><p hidden>x</p><div hidden>y</div><p title='hidden'>z</p></main>") == "z"
+
+
 def test_chat(spark):
     turns = spark.createDataFrame([(1, 2, "assistant", "b", 1), (1, 1, "user", None, 1), (1, 1, None, "x", 1), (None, None, "user", "y", 1), (1, 2, "assistant", "b", 1), (2, 0, "assistant", "z" * 300_000, 1)], "conv_id long, turn long, role string, text string, record int")
-    got = {r.conv_id: r for r in chat.digests(chat.format_records(chat.message_records(turns))).collect()}
+    got = {r.conv_id: r for r in chat.digests(chat.format_records(chat.records(turns))).collect()}
     assert set(got) == {1, 2, None} and got[1].n_turns == 4 and got[1].loss_chars == 2 and got[2].loss_chars == 300_000
-    assert chat.digests(chat.format_records(chat.message_records(turns.limit(0)))).count() == 0
+    assert chat.digests(chat.format_records(chat.records(turns.limit(0)))).count() == 0

@@ -86,40 +86,103 @@ def test_forced_collisions_are_told_apart(spark, tmp_path):
         spark.createDataFrame(rows[20 * k : 20 * k + 20], "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/d")
     low = lambda t: (t or "").translate(str.maketrans("ABG", "abg"))
     want = {i: (max(j for j, u in rows if low(u) == low(t)), sum(low(u) == low(t) for _, u in rows)) for i, t in rows}
-    for digest in (exact_dedup.sha256, lambda norm: (F.length(norm) % 2).cast("string")):
-        got = exact_dedup.exact_dedup(spark, f"file://{tmp_path}/d", digest, files_per_batch=1).collect()
+    for digest, limit in ((exact_dedup.sha256, 10**6), (exact_dedup.sha256, 0), (lambda norm: (F.length(norm) % 2).cast("string"), 0)):
+        got = exact_dedup.exact_dedup(spark, f"file://{tmp_path}/d", digest, files_per_batch=1, limit=limit).collect()
         assert {x.doc_id: (x.keep_id, x.group_size) for x in got} == want
         assert all(x.kept == (x.doc_id == x.keep_id) for x in got)
 
 
-def test_split_gives_shortage_to_siblings():
-    assert mixing.split(100, [(1, 10), (1, 1000), (2, 1000)]) == [10, 30, 60]
-    assert mixing.split(100, [(1, 10), (1, 20)]) == [10, 20]
-    assert mixing.split(10, [(0, 5), (1, 100)]) == [0, 10]
+def test_near_pairs_at_the_limit_are_found(spark):
+    """Pairs whose similarity is 0.80 to 0.82: the recall that banding and estimates leave."""
+    r, rows, want = random.Random(11), [], {}
+    for k in range(600):
+        n = r.randint(100, 400)
+        base = [f"p{k}w{i}" for i in range(n + 1)]
+        other = list(base)
+        # changed words at the end take one shingle each and bring one each
+        for cut in range(n // 9 + 2, 0, -1):
+            other = base[: n + 1 - cut] + [f"p{k}x{i}" for i in range(cut)]
+            if 100 * (n - cut) >= 80 * (n + cut):
+                break
+        assert 0.8 <= (n - cut) / (n + cut) < 0.83
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        want[2 * k + 1] = 2 * k
+    got = {x.doc_id: x.component_id for x in near_dup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = sum(got[i] == c for i, c in want.items()) / len(want)
+    print("recall at 0.80 to 0.83:", recall)
+    assert recall >= 0.998
+    assert all(got[i] == i for i in want.values())
+
+
+def test_rows_without_an_id_are_in_no_group(spark):
+    rows = [(1, "a b c d"), (None, "a b c d"), (None, "x y z"), (2, "a b c d")]
+    got = sorted(((x.doc_id, x.component_id, x.kept) for x in near_dup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == [(1, 1, True), (2, 1, False), (None, None, True), (None, None, True)]
+
+
+def fill(budget, children):
+    """Brute force: give out by weight, round after round, to those that are not full."""
+    got, open_ = [0.0] * len(children), [k for k, (w, _) in enumerate(children) if w > 0]
+    while open_ and budget > 1e-9:
+        total = sum(children[k][0] for k in open_)
+        given = [(k, min(budget * children[k][0] / total, children[k][1] - got[k])) for k in open_]
+        for k, x in given:
+            got[k] += x
+        budget -= sum(x for _, x in given)
+        open_ = [k for k in open_ if got[k] < children[k][1] - 1e-9]
+    return got
+
+
+def test_shortage_goes_to_siblings(spark):
+    r = random.Random(8)
+    cases = [(100, [(1, 10), (1, 1000), (2, 1000)]), (100, [(1, 10), (1, 20)]), (10, [(0, 5), (1, 100)]), (0, [(1, 5)])]
+    cases += [(r.uniform(0, 300), [(r.choice([0, 0.5, 1, 3]), r.choice([0, 10, 40, 90])) for _ in range(r.randint(1, 7))]) for _ in range(40)]
+    rows = [(c, str(k), float(cap), float(w), float(budget)) for c, (budget, children) in enumerate(cases) for k, (w, cap) in enumerate(children)]
+    got = {}
+    for x in mixing.shares(spark.createDataFrame(rows, "c int, name string, cap double, weight double, budget double"), ["c"]).collect():
+        got[x.c, int(x.name)] = x.share
+    assert [got[0, k] for k in range(3)] == [10, 30, 60] and [got[2, k] for k in range(2)] == [0, 10]
+    for c, (budget, children) in enumerate(cases):
+        assert np.allclose([got[c, k] for k in range(len(children))], fill(budget, children)), cases[c]
+
+
+def brute_mix(rows, target):
+    import hashlib
+    import re
+
+    words, domain = re.compile(r"[^\x20\x09-\x0D]+"), {}
+    for _, _, _, source in rows:
+        domain[source] = next((n for n, p in target.domains if re.search(p, source)), "other")
+    leaves = {}
+    for i, t, lang, source in rows:
+        leaves.setdefault((domain[source], lang, source), []).append((i, t or "", len(words.findall(t or ""))))
+    size = {k: sum(x[2] for x in v) for k, v in leaves.items()}
+    budget = {(): target.share * sum(size.values())}
+    for n, level in enumerate(mixing.LEVELS):
+        below = {}
+        for k in leaves:
+            below.setdefault(k[:n], set()).add(k[: n + 1])
+        for parent, names in below.items():
+            names = sorted(names)
+            caps = [target.max_epochs * sum(t for k, t in size.items() if k[: n + 1] == x) for x in names]
+            budget |= dict(zip(names, fill(budget[parent], [(target.weights.get(level, {}).get(x[n], 1.0), c) for x, c in zip(names, caps, strict=True)]), strict=True))
+    out = []
+    for k, own in leaves.items():
+        full, rest = divmod(int(budget[k] + 1e-6), size[k]) if size[k] else (1, 0)
+        if full >= target.max_epochs:
+            full, rest = target.max_epochs, 0
+        at = 0
+        for i, _, n in sorted(own, key=lambda x: hashlib.md5("|".join((str(target.seed), str(full), str(x[0]), x[1])).encode()).hexdigest()[:15]):
+            at += n
+            out += [(i, e) for e in range(full + (rest > 0 and at <= rest))]
+    return sorted(out)
 
 
 def test_mix_is_brute_force(spark, sf_dir):
-    target = mixing.Target(share=0.7, max_epochs=2)
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
-    rows = mixing.leaf_rows(docs, target).withColumn("full_order", F.lit(0)).collect()
-    plan = {p[:3]: p[3:] for p in mixing.plan_leaves(mixing.leaf_rows(docs, target), target)}
-    order = {}
-    for full in {p[0] for p in plan.values()}:
-        order[full] = {r.doc_id: r.o for r in docs.select("doc_id", F.xxhash64(F.lit(target.seed), F.lit(full), "doc_id", "text").alias("o")).collect()}
-    want = []
-    for leaf, (full, rest, _) in plan.items():
-        own = [r for r in rows if (r.l_domain, r.l_lang, r.l_source) == leaf]
-        want += [(r.doc_id, e) for r in own for e in range(full)]
-        # hash buckets follow the unsigned upper bits
-        at = 0
-        for r in sorted(own, key=lambda r: ((order[full][r.doc_id] % 2**64) >> 33, order[full][r.doc_id])):
-            at += r.n_tokens
-            if rest and at <= rest:
-                want.append((r.doc_id, full))
-    got = [(r.doc_id, r.epoch) for r in mixing.mix(docs, target).collect()]
-    tokens = {r.doc_id: r.n_tokens for r in rows}
-    assert abs(sum(tokens[d] for d, _ in got) - sum(tokens[d] for d, _ in want)) <= 0.01 * sum(tokens.values())
-    assert set(want) - set(got) == set() or len(set(want) ^ set(got)) <= len(plan)
+    rows = [tuple(r) for r in docs.collect()]
+    for target in (mixing.Target(), mixing.Target(share=0.7, seed=3), mixing.Target(share=1.7, max_epochs=2), mixing.Target(share=0.9, max_epochs=1, weights={"domain": {"web": 0.0}, "source": {"src7": 9.0}})):
+        assert sorted((r.doc_id, r.epoch) for r in mixing.mix(docs, target).collect()) == brute_mix(rows, target)
 
 
 def test_shards_are_near_equal_and_gapless(spark, sf_dir):
@@ -135,13 +198,47 @@ def test_shards_are_near_equal_and_gapless(spark, sf_dir):
 def test_rebalancing_edits_few_slots():
     r = random.Random(2)
     size = [r.randint(1, 100) for _ in range(512)]
-    first = sharding.plan_map(size, [1] * 512, 8)
+    first = sharding.rebalance(sharding.first_map(512, 8), size, [1] * 512)
+    assert first.version == 2 and max(first.loads()) - min(first.loads()) <= 100
     grown = sharding.rebalance(first, size, [1] * 512, 9)
     moved = [v for v in range(512) if first.shard[v] != grown.shard[v]]
-    assert grown.version == 2 and all(grown.shard[v] == 8 for v in moved) and len(moved) < 512 / 7
-    assert max(grown.loads()) <= 1.05 * sum(size) / 9
+    assert grown.version == 3 and len([v for v in moved if grown.shard[v] == 8]) >= 0.9 * len(moved) and len(moved) < 512 / 6
+    assert max(grown.loads()) <= 1.02 * sum(size) / 9
     fewer = sharding.rebalance(grown, size, [1] * 512, 8)
-    assert set(fewer.shard) == set(range(8)) and max(fewer.loads()) <= 1.05 * sum(size) / 8
+    assert set(fewer.shard) == set(range(8)) and max(fewer.loads()) <= 1.02 * sum(size) / 8
+    # one slot above the mean is left, the others are near equal
+    big = sharding.rebalance(sharding.first_map(64, 4), [1000] + [1] * 63, [1] * 64).loads()
+    assert sorted(big)[3] == 1000 and sorted(big)[:3] == [21, 21, 21]
+
+
+def test_the_map_is_stored_and_edited(spark, tmp_path):
+    home = f"file://{tmp_path}/map"
+    rows = [(i, "x" * (i * 37 % 400)) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = {r.doc_id: r for r in sharding.shard_documents(docs, 6, 64, home).collect()}
+    assert sharding.map_versions(spark, home) == [1, 2] and {r.map_version for r in one.values()} == {2}
+    assert sharding.load_map(spark, home, 1).shard == sharding.first_map(64, 6).shard
+    again = {r.doc_id: r for r in sharding.shard_documents(docs, 6, 64, home).collect()}
+    assert sharding.map_versions(spark, home) == [1, 2] and again == one
+    grown = {r.doc_id: r for r in sharding.shard_documents(docs, 7, 999, home).collect()}
+    assert sharding.map_versions(spark, home) == [1, 2, 3] and {r.shard for r in grown.values()} == set(range(7))
+    assert all(grown[i].vslot == r.vslot for i, r in one.items())
+    assert sum(grown[i].shard != r.shard for i, r in one.items()) < 900 / 4
+
+
+def test_the_stream_goes_on_where_it_stopped(spark, tmp_path):
+    at, home = f"file://{tmp_path}/d", f"file://{tmp_path}/home"
+    r = random.Random(5)
+    rows = [(i, r.choice(["Alpha", "alpha", "Beta", "gamma", "", None, "Ä" * 5000])) for i in range(90)]
+    low = lambda t: (t or "").translate(str.maketrans("ABG", "abg"))
+    for k in range(3):
+        spark.createDataFrame(rows[30 * k : 30 * k + 30], "doc_id long, text string").coalesce(1).write.mode("append").parquet(at)
+        seen = rows[: 30 * k + 30]
+        want = {i: (max(j for j, u in seen if low(u) == low(t)), sum(low(u) == low(t) for _, u in seen)) for i, t in seen}
+        got = exact_dedup.exact_dedup(spark, at, home=home, limit=0 if k == 1 else exact_dedup.BROADCAST_BYTES).collect()
+        assert {x.doc_id: (x.keep_id, x.group_size) for x in got} == want
+        new = exact_dedup.retained(spark, at, home=home)
+        assert new.agg(F.sum("n")).first()[0] == len(seen)  # nothing is read twice
 
 
 def test_codec_round_trip():
@@ -163,6 +260,17 @@ def test_encoder_is_the_tokenizer():
         assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_wide_ids_do_not_overflow(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tok = Tokenizer(models.WordLevel({f"w{i}": i for i in range(70_000)}, unk_token="w0"))
+    tok.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    tok.save(path := f"{tmp_path}/wide.json")
+    assert token_files.needs_wide(path) and not token_files.needs_wide(token_files.vocabulary_path())
+    x = np.array([3, 69_999, 65_536], np.uint32)
+    assert (np.frombuffer(token_files.pack_ids(x, True), "<u4") == x).all()
+
+
 def test_files_hold_every_document(spark, sf_dir):
     from tokenizers import Tokenizer
 

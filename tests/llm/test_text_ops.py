@@ -1,6 +1,9 @@
 """Chat, decontamination, language, quality, extraction: pure parts and brute force."""
 
+import hashlib
+import html
 import json
+import zlib
 import random
 import re
 
@@ -25,6 +28,28 @@ def test_format_round_trip(turns):
     assert formatted.count(chat.START) == len(turns)
 
 
+def test_op2_query_is_plain_python(spark, sf_dir):
+    """The whole query against a direct account of the table; all layouts occur."""
+    sf = sf_dir.replace("0.001", "0.01")
+    turns = {}
+    for r in sorted(table(spark, sf, "conversations").collect(), key=lambda r: (r.conv_id, r.turn, r.role, r.text or "")):
+        turns.setdefault(r.conv_id, []).append((r.role, r.text or ""))
+    turns[-1] = [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]
+    got = {r.conv_id: r for r in queries.op2_chat_fingerprints(spark, sf).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert set(got) == set(turns)
+    for k, own in turns.items():
+        loss = "".join(t for r, t in own if r == "assistant")
+        assert (got[k].n_turns, got[k].turns_sha256, got[k].loss_chars, got[k].loss_sha256) == (len(own), sha("".join(f"{r}\n{t}\n" for r, t in own)), len(loss), sha(loss))
+        assert got[k].formatted_chars == len(chat.format_turns(own)[0])
+    assert {r.layout for r in got.values()} == {"prompt_response", "system_prompt_response", "conversations", "messages"}
+
+
+def test_fields_beside_the_turns_do_not_count():
+    assert chat.canonical({"id": 7, "meta": {"a": [1]}, "prompt": "q", "response": "a"})[0] == "prompt_response"
+    assert chat.canonical({"prompt": "q", "response": "a", "other": 1}) == ("", None)
+
+
 def test_layouts_become_the_same_turns():
     want = [("user", "q"), ("assistant", "a")]
     for record in ({"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}, {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}, {"prompt": "q", "response": "a"}, {"question": "q", "answer": "a"}, {"instruction": "q", "output": "a"}, {"instruction": "q", "input": "", "output": "a"}):
@@ -37,6 +62,8 @@ def test_unknown_and_broken_records(spark):
     rows = [(1, '{"strange": 1}'), (2, "not json"), (3, None), (4, json.dumps({"prompt": "p", "completion": "c"}))]
     got = {r.id: r for r in chat.format_records(spark.createDataFrame(rows, "id long, record string")).collect()}
     assert [got[i].status for i in (1, 2, 3, 4)] == ["unknown", "unknown", "unknown", "ok"]
+    read = {r.conv_id: r for r in chat.digests(chat.format_records(spark.createDataFrame(rows, "id long, record string"))).collect()}
+    assert [(read[i].status, read[i].n_turns) for i in (1, 2, 3, 4)] == [("unknown", None)] * 3 + [("ok", 2)]
 
 
 def brute_hits(texts, items, window=13):
@@ -66,7 +93,7 @@ def test_search_is_brute_force():
         items = [(str(i), make(r.randint(0, 9))) for i in range(12)]
         texts = [make(r.randint(0, 60)) for _ in range(40)]
         searcher = decontaminate.Searcher(items, window)
-        got = [(n, sum(b - a for a, b in runs), names) for n, runs, names in map(searcher.find, texts)]
+        got = [(n, sum(b - a for a, b in runs), names) for n, runs, names, _ in map(searcher.find, texts)]
         assert got == brute_hits(texts, items, window)
 
 
@@ -113,6 +140,68 @@ def test_language_held_out(spark, sf_dir):
     assert len(got) == 200 and np.mean([r.lang == r.lang_pred for r in out]) > 0.95
 
 
+def test_op1_query_is_brute_force(spark, sf_dir):
+    """Every prediction of the query from plain sums over segmentations, word by word."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    path, langs, p = language.train(docs)
+    pieces = {x: k for k, x in enumerate(language.read_pieces(path))}
+    longest = max(map(len, pieces))
+    known = {}
+
+    def word(w):
+        if w not in known:
+            sums = [np.ones(len(langs))] + [np.zeros(len(langs)) for _ in w]
+            for j in range(1, len(w) + 1):
+                for i in range(max(0, j - longest), j):
+                    k = pieces.get(w[i:j])
+                    if k is not None or j == i + 1:
+                        sums[j] += sums[i] * (p[k] if k is not None else language.FOREIGN)
+            known[w] = np.log(sums[-1])
+        return known[w]
+
+    got = {r.doc_id: r for r in queries.op1_marginal_unigrams(spark, sf_dir).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        g = got[r.doc_id]
+        ws = language.words_of(r.text)
+        assert g.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if not ws:
+            assert (g.lang_pred, g.score) == ("und", 0.0)
+            continue
+        total = sum(word(w) for w in ws)
+        assert g.lang_pred == langs[int(np.argmax(total))] and np.isclose(g.score, 1 / np.exp(total - total.max()).sum())
+
+
+def test_op8_query_is_brute_force(spark, sf_dir):
+    """Training rows and scores of the query from plain loops; only fit() is shared."""
+    docs = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
+    marks = [(r.doc_id, r.quality) for r in table(spark, sf_dir, "labels").collect() if r.quality in (0, 1) and r.doc_id in docs and zlib.crc32(str(r.doc_id).encode()) % 5]
+    learned = sorted((q, quality.figures(docs[i])) for i, q in marks)
+    model = quality.fit(np.array([f for _, f in learned]), np.array([q for q, _ in learned], float))
+    got = {r.doc_id: r for r in queries.op8_additive_model(spark, sf_dir).collect()}
+    assert set(got) == set(docs)
+    for i, t in docs.items():
+        f = quality.figures(t)
+        at = [sum(1 for e in edges if x >= e) for edges, x in zip(model.edges, f, strict=True)]
+        total = model.base + sum(t[k] for t, k in zip(model.tables, at, strict=True)) + sum(t[at[a], at[b]] for a, b, t in model.pairs)
+        score = 1 / (1 + np.exp(-total))
+        assert np.isclose(got[i].score, score) and got[i].predicted == int(got[i].score >= 0.3) and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_op9_query_is_brute_force(spark, sf_dir):
+    """All pages: the text of their article element, cut by hand."""
+    blocks = re.compile(r"</?(?:p|h[1-6]|ul|ol|li|div|article|section|table|tr|td|th|blockquote|pre|dl|dt|dd|figure|figcaption)\b[^>]*>", re.I)
+    got = {r.page_id: r for r in queries.op9_host_paths(spark, sf_dir).collect()}
+    pages = table(spark, sf_dir, "pages").collect()
+    assert len(got) == len(pages)
+    for r in pages:
+        inner = re.search(r"<article\b[^>]*>(.*?)</article>", r.html, re.S)[1]
+        inner = re.sub(r"<!--.*?-->|<(script|style|form|aside|nav)\b.*?</\1>|<div class=\"ad\">.*?</div>", "", inner, flags=re.S)
+        parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", x))).split()) for x in blocks.split(inner)]
+        assert got[r.page_id].text == "\n".join(x for x in parts if x) and got[r.page_id].n_chars == len(got[r.page_id].text)
+
+
 def test_quality_held_out(spark, sf_dir):
     sf = sf_dir.replace("0.001", "0.01")
     got = queries.op8_additive_model(spark, sf).join(table(spark, sf, "labels"), "doc_id").collect()
@@ -138,9 +227,9 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 def test_extraction_of_one_page():
     page = html_text.Page(PAGE)
-    path = page.best()[0]
-    assert path == "/html/body/div.c0.wrap/article.post-0"
-    assert page.text(path) == "Head & shoulders\nFirst line goes on\nSecond bold — end\none\ntwo"
+    k = page.best()[0]
+    assert page.path(k) == "/html/body/div.c0.wrap/article.post-0" and page.find(page.path(k)) == k
+    assert page.text(k) == "Head & shoulders\nFirst line goes on\nSecond bold — end\none\ntwo"
 
 
 def test_hosts_vote(spark):
