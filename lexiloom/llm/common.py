@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -68,11 +71,18 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str
     if small and groups.count() <= BROADCAST_GROUPS:
         return rows.join(F.broadcast(groups), keys)
     hot = HOT
-    while groups.where(F.col(weight) > hot).count() > BROADCAST_GROUPS:
+    while (n := groups.where(F.col(weight) > hot).count()) > BROADCAST_GROUPS:
         hot *= 4
-    few, rest = groups.where(F.col(weight) > hot), groups.where(F.col(weight) <= hot)
-    others = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti")
-    return rows.join(F.broadcast(few), keys).unionByName(others.join(rest, keys))
+    if n == 0:
+        return rows.join(groups, keys)
+    more = [c for c in groups.columns if c not in keys]
+    few = groups.where(F.col(weight) > hot).withColumn("_hot", F.lit(True))
+    rest = groups.where(F.col(weight) <= hot).select(*keys, F.lit(-1).alias("_deal"), *[F.col(c).alias(f"_{c}") for c in more], F.lit(True).alias("_cold"))
+    # rows that have their group are dealt out by their own hash
+    first = rows.join(F.broadcast(few), keys, "left")
+    first = first.withColumn("_deal", F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)).cast("int")).otherwise(-1))
+    both = first.join(rest, [*keys, "_deal"], "left").where("_hot OR _cold")
+    return both.select(*rows.columns, *[F.coalesce(c, f"_{c}").alias(c) for c in more])
 
 
 def hash_order(*columns) -> Column:
@@ -89,11 +99,20 @@ def order_limit(wanted: int, total: int) -> int:
 
 
 def worker_store(operator: str) -> types.ModuleType:
-    """What a Python worker keeps between tasks of one operator; another operator's things go."""
+    """What a Python worker keeps between tasks of one operator; another operator's things go.
+
+    Every operator with Python steps asks for its store, so that workers do not pile up memory.
+    """
     store = sys.modules.setdefault("_lexiloom_worker", types.ModuleType("_lexiloom_worker"))
     if getattr(store, "operator", None) != operator:
+        had = len(store.__dict__) > 0
         store.__dict__.clear()
         store.operator = operator
+        if had:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries give memory back by themselves
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
     return store
 
 

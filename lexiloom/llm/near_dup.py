@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_groups, small_batches, staged
+from .common import discard, join_groups, small_batches, staged, worker_store
 
 BAND_ROWS = 6
 N_BANDS = 40
@@ -124,6 +124,7 @@ def set_key(hashes: np.ndarray) -> bytes:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_store("near dup")
     a, b = parameters()
     known: dict[bytes, tuple[bytes, np.ndarray]] = {}
     for batch in batches:
@@ -221,7 +222,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[tuple[int, int, int]] = set()
     for batch in batches:
         for no, x, y in zip(batch.column("no").to_pylist(), _sides(batch.column("l")), _sides(batch.column("r")), strict=True):
-            hit = estimate(x["signature"][:, None], y["signature"][None]) >= HOPELESS
+            # in slices: the work space of an estimate is bounded
+            hit = np.concatenate([estimate(x["signature"][i : i + 16, None], y["signature"][None]) >= HOPELESS for i in range(0, len(x["id"]), 16)])
             hit &= x["comp"][:, None] != y["comp"][None, :]
             k, j = np.nonzero(hit)
             if no and len(k):

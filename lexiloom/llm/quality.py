@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, hash_order, order_limit
+from .common import add_columns, hash_order, order_limit, worker_store
 
 MAX_TRAIN = 20_000
 MAX_BINS = 32
@@ -79,6 +79,7 @@ def figures(text: str | None) -> list[float]:
 
 
 def _figures_of() -> object:
+    worker_store("quality")
     return lambda texts: [[figures(t) for t in texts]]
 
 
@@ -214,6 +215,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Gam:
 
 def _scorer(model: Gam):
     def make():
+        worker_store("quality")
+
         def run(texts: list) -> list[list]:
             score = model.score(np.array([figures(t) for t in texts], float).reshape(-1, len(FEATURES))) if model.edges else np.full(len(texts), 1 / (1 + np.exp(-model.base)))
             return [score.tolist(), (score >= THRESHOLD).astype(np.int32).tolist()]

@@ -41,7 +41,7 @@ from .common import fresh_path, small_batches, staged, worker_store
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
-CACHE_PIECES = 500_000
+CACHE_PIECES = 400_000
 IDS_SCHEMA = "doc_id long, part int, pos long, n_tokens long, ids binary"
 BLOCK_SCHEMA = "part int, pos long, doc_ids array<long>, n_tokens array<long>, control binary, data binary"
 RANKS_SCHEMA = "id int, rank int, n long"
@@ -105,13 +105,17 @@ class Encoder:
     distinct piece of a batch once. Texts on which the cut could differ are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         from tokenizers import Tokenizer
 
+        self.cache_pieces = cache_pieces
+
         self.tok = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.letters: dict[str, bool] = {}
+        #: One object for each id that is a piece of its own.
+        self.single: dict[bytes, bytes] = {}
         specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.specials = re.compile(b"|".join(re.escape(s.encode()) for s in specials)) if specials else None
         raw = _byte_decoder()
@@ -146,7 +150,8 @@ class Encoder:
             ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(w) for w in some])) + 1
             starts = np.concatenate(([0], ends[:-1]))
             raw = ids.tobytes()
-            self.cache.update(zip(some, [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)], strict=True))
+            coded = (raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True))
+            self.cache.update(zip(some, (self.single.setdefault(x, x) if len(x) == 4 else x for x in coded), strict=True))
         if rest:
             for w, e in zip(rest, self.tok.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
                 self.cache[w] = np.array(e.ids, np.uint32).tobytes()
@@ -174,7 +179,7 @@ class Encoder:
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """texts: UTF-8."""
-        if len(self.cache) > CACHE_PIECES:
+        if len(self.cache) > self.cache_pieces:
             self.cache, self.older = {}, self.cache
         texts = [t or b"" for t in texts]
         alike = [bool(t) and self.simple(t) for t in texts]
@@ -189,11 +194,11 @@ def _byte_decoder() -> set[str]:
     return {chr(b) for b in keep} | {chr(256 + i) for i in range(256 - len(keep))}
 
 
-def worker_encoder(path: str) -> Encoder:
+def worker_encoder(path: str, cache_pieces: int = CACHE_PIECES) -> Encoder:
     """One encoder per Python worker, kept between tasks."""
     store = worker_store("token files")
-    if getattr(store, "encoder_path", None) != path:
-        store.encoder, store.encoder_path = Encoder(path), path
+    if getattr(store, "encoder_key", None) != (path, cache_pieces):
+        store.encoder, store.encoder_key = Encoder(path, cache_pieces), (path, cache_pieces)
     return store.encoder
 
 
@@ -201,9 +206,9 @@ def pack_ids(ids: np.ndarray, wide: bool) -> bytes:
     return ids.astype("<u4" if wide else "<u2").tobytes()
 
 
-def _tokenise(path: str, end_id: int, wide: bool, bounds: np.ndarray) -> Callable:
+def _tokenise(path: str, end_id: int, wide: bool, bounds: np.ndarray, cache_pieces: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(path)
+        encoder = worker_encoder(path, cache_pieces)
         for batch in batches:
             sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
             i = 0
@@ -242,14 +247,14 @@ def needs_wide(vocabulary: str, end_id: int = END_ID) -> bool:
     return max(Tokenizer.from_file(vocabulary).get_vocab(with_added_tokens=True).values(), default=0) > 0xFFFF or end_id > 0xFFFF
 
 
-def token_ids(docs: DataFrame, vocabulary: str, end_id: int = END_ID, wide: bool = False) -> DataFrame:
+def token_ids(docs: DataFrame, vocabulary: str, end_id: int = END_ID, wide: bool = False, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """Staged ids of every row, in ascending (part, pos)."""
     small_batches(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 100 * n)).first()[0] or []
     bounds = np.unique(np.array(cuts if n > 1 else [], np.int64))
-    coded = rows.mapInArrow(_tokenise(vocabulary, end_id, wide, bounds), "doc_id long, h long, part int, n_tokens long, ids binary")
+    coded = rows.mapInArrow(_tokenise(vocabulary, end_id, wide, bounds, cache_pieces), "doc_id long, h long, part int, n_tokens long, ids binary")
     ranged = coded.repartitionById(n, "part").sortWithinPartitions("doc_id", "h")
     return staged(ranged.select("doc_id", "part", "n_tokens", "ids").mapInArrow(_number, IDS_SCHEMA), "token_ids")
 
@@ -322,11 +327,15 @@ def _blocks(rank_of: np.ndarray, wide: bool, block_ids: int) -> Callable:
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> str:
-    """Encode docs into path/blocks and path/ranks. Ids move as two bytes where the vocabulary allows it, else as four."""
+def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, block_ids: int = BLOCK_IDS, cache_pieces: int = CACHE_PIECES) -> str:
+    """Encode docs into path/blocks and path/ranks. Ids move as two bytes where the vocabulary allows it, else as four.
+
+    cache_pieces bounds the pieces that a worker keeps in each of two generations; results do not
+    depend on it.
+    """
     spark, vocabulary = docs.sparkSession, vocabulary or vocabulary_path()
     wide = needs_wide(vocabulary, end_id)
-    tokens = token_ids(docs, vocabulary, end_id, wide)
+    tokens = token_ids(docs, vocabulary, end_id, wide, cache_pieces)
     ranks = ranked_ids(tokens, wide)
     spark.createDataFrame(ranks, RANKS_SCHEMA).coalesce(1).write.parquet(f"{path}/ranks")
     rank_of = np.zeros(max((r[0] for r in ranks), default=0) + 1, np.uint32)
@@ -386,7 +395,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def token_digests(docs: DataFrame, vocabulary: str | None = None, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """Write docs as token files into the shared folder and read them back."""
     spark = docs.sparkSession
-    return read_digests(spark, write_token_files(docs, fresh_path(spark, "token_files"), vocabulary))
+    return read_digests(spark, write_token_files(docs, fresh_path(spark, "token_files"), vocabulary, cache_pieces=cache_pieces))
