@@ -2,12 +2,19 @@
 
 quality classifier: documents with predicted = 0 go.
 near-dedup: of each near-duplicate group the document with the smallest id stays.
-decontamination: documents of which a twentieth or more repeats benchmark windows go.
+decontamination: documents with a full 13-word benchmark window go, whatever their length; so do
+those of which a twentieth or more repeats items of fewer words.
 mixing: sources are cut to their target weights; no document is taken twice.
 token output: what is left is written as token files and read back.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of docs. Empty inputs pass through; rows with equal doc_id count as copies.
+columns of docs, whatever they are named. Texts of any length are read whole.
+
+Defined cases: empty tables give empty results. A null or empty text has the score of no words;
+it is no copy of anything, is not contaminated and yields the end id alone. Rows with one doc_id
+and different texts, and rows without doc_id, are documents of their own; rows alike in doc_id and
+text are one. In a group, unrepeated ids come before repeated ones and nulls, which are told
+apart by a hash of id and text. A null source or language is a source or language of its own.
 """
 
 from __future__ import annotations
@@ -18,38 +25,53 @@ from pyspark.sql import functions as F
 from lexiloom.llm import decontaminate, mixing, near_dup, quality, token_files
 from lexiloom.llm.common import staged, table
 
-#: Ids that may be broadcast (8 bytes each); more are joined by shuffle.
-BROADCAST_IDS = 500_000
+#: Pieces that a worker keeps: fewer than alone, for the stages before leave executors little memory.
+CACHE_PIECES = 60_000
+#: Columns that operators read; others are carried through.
+READ = ("doc_id", "text", "lang", "source")
 TARGET = mixing.Target(share=0.9, max_epochs=1)
 
 
+def apart(docs: DataFrame) -> DataFrame:
+    """docs with columns that no operator reads renamed, so that none is taken for an operator's."""
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in READ else f"_own_{c}") for c in docs.columns])
+
+
+def back(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs from rows of apart()."""
+    return rows.select(*[F.col(f"`{c if c in READ else f'_own_{c}'}`").alias(c) for c in docs.columns])
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score_documents(docs, model).where("predicted = 1").select(docs.columns)
+    return back(quality.score_documents(apart(docs), model).where("predicted = 1"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = near_dup.near_groups(docs)
-    gone = staged(groups.where("NOT kept").select("doc_id").distinct(), "gone")
-    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = staged(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    ids = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id")
+    repeated = staged(ids, "repeated")
     if repeated.isEmpty():
-        return out
-    again = out.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("r"))
-    return out.join(repeated, "doc_id", "left_anti").unionByName(again.select("doc_id", "r.*"))
+        return near_dup.drop_copies(docs, "doc_id")
+    # keys of 62 bits and more: behind all ids that occur once
+    own = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) + F.lit(1 << 62)
+    marked = apart(docs).join(repeated.select(F.col("doc_id").alias("_again"), F.lit(True).alias("_more")), F.col("doc_id").eqNullSafe(F.col("_again")), "left").drop("_again")
+    keyed = staged(marked.withColumn("_key", F.when(F.col("_more"), own).otherwise(F.col("doc_id"))).drop("_more"), "keyed")
+    out = near_dup.drop_copies(keyed, "_key")
+    first = out.where(F.col("_key") >= 1 << 62).groupBy("_key").agg(F.min(F.struct(*[c for c in out.columns if c != "_key"])).alias("r"))
+    return back(out.where(F.col("_key") < 1 << 62).drop("_key").unionByName(first.select("r.*")), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.judged(decontaminate.search(docs, table(spark, sf_dir, "benchmark")))
-    return found.where(~F.col("contaminated")).select(docs.columns)
+    found = decontaminate.judged(decontaminate.search(apart(docs), table(spark, sf_dir, "benchmark")))
+    return back(found.where(~F.col("full") & ~F.col("contaminated")), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, TARGET).select(docs.columns)
+    return back(mixing.mix(apart(docs), TARGET), docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_files.token_digests(docs)
+    return token_files.token_digests(docs, cache_pieces=CACHE_PIECES)
 
 
 STAGES = [
