@@ -117,7 +117,7 @@ def worker_store(operator: str) -> types.ModuleType:
 
 
 #: Texts differ in size by orders of magnitude: Arrow batches are bounded by bytes as well as rows.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("2000", 2000), "spark.sql.execution.arrow.maxBytesPerBatch": ("16777216", 16777216)}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("2000", 2000), "spark.sql.execution.arrow.maxBytesPerBatch": ("4194304", 4194304)}
 
 
 def small_batches(spark: SparkSession) -> None:

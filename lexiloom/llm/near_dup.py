@@ -373,13 +373,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = staged(rows.mapInArrow(_signed, SIGN_SCHEMA), "signed")
-    # equal sets: one class, carried by its smallest doc_id
+    # equal sets: one class, carried by its smallest doc_id; copies meet before they are shuffled
     filled = sets.where("n_shingles > 0")
-    named = filled.groupBy("set_key").agg(F.min("doc_id").alias("id"))
-    member = staged(filled.select("doc_id", "set_key").join(named, "set_key").select("doc_id", "id").distinct(), "members")
-    chosen = filled.join(named.withColumnRenamed("id", "doc_id"), ["set_key", "doc_id"])
-    signed = chosen.groupBy("set_key", F.col("doc_id").alias("id")).agg(F.first("signature").alias("signature"), F.first("bands").alias("bands"))
-    signed = staged(signed, "classes")
+    named = filled.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    named = staged(named, "classes")
+    signed = named.where("id IS NOT NULL")
     signatures = classes = signed.select("id", "set_key", "signature", "bands")
     at = signed.select("id", F.posexplode("bands").alias("no", "band"))
     buckets = at.groupBy("band").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
@@ -392,13 +390,15 @@ def near_groups(docs: DataFrame) -> DataFrame:
     comp = staged(components(links), "star_components")
     more = links_across(in_bucket, comp, rows, classes)
     # rows of one doc_id with different sets are one document: they tie their classes
-    shared = member.groupBy("doc_id").agg(F.min("id").alias("u"), F.max("id").alias("v")).where("u <> v").select("doc_id")
-    ties = member.join(shared, "doc_id").select(F.col("doc_id").alias("u"), F.col("id").alias("v")).where("u <> v")
+    shared = filled.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("a <> b").select("doc_id")
+    ties = filled.select("doc_id", "set_key").join(shared, "doc_id").join(named.select("set_key", "id"), "set_key")
+    ties = staged(ties.select(F.col("doc_id").alias("u"), F.col("id").alias("v")).where("u <> v").distinct(), "ties")
     if more.isEmpty() and ties.isEmpty():
         final = comp
     else:
         final = staged(components(links.unionByName(more).unionByName(ties)), "components")
-    placed = member.join(final, "id", "left").select("doc_id", F.coalesce("comp", "id").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    of_class = staged(named.join(final, "id", "left").select("set_key", "n", F.coalesce("comp", "id").alias("component_id")), "class_components")
+    placed = join_groups(filled.select("doc_id", "set_key"), of_class, ["set_key"], "n").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = sets.select("doc_id", "n_shingles").join(placed, "doc_id", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -55,7 +55,7 @@ CLASS = np.full(256, OTHER, np.uint8)
 CLASS[[9, 10, 11, 12, 13, 32]] = SPACE_CLASS
 CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = LETTER
 CLASS[48:58] = DIGIT
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 
 
 def cut_points(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
