@@ -6,6 +6,8 @@ kana and hangul counts decide between them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,6 +58,11 @@ def held(text: Column, ranges: tuple[tuple[int, int], ...]) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, char_class(ranges) + "+", ""))).cast("long")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once a row, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def histogram(text: Column) -> Column:
     """struct of characters per raw bucket. Plain ASCII holds Latin only."""
     plain = F.octet_length(text) == F.length(text)
@@ -63,9 +70,17 @@ def histogram(text: Column) -> Column:
     return F.struct(held(text, BUCKETS["latn"]).alias("latn"), *[c.alias(b) for b, c in rest.items()])
 
 
-def detect(text: Column, hist: Column | None = None) -> Column:
-    """Dominant script; ties go to the code that sorts last; none is `unknown`."""
-    h = histogram(text) if hist is None else hist
+def detect(text: Column) -> Column:
+    """Dominant script; ties go to the code that sorts last; none is `unknown`.
+
+    Most texts have letters of no other script than Latin: one search tells, and nothing is counted.
+    """
+    other = "[" + "".join(char_class(r)[1:-1] for b, r in BUCKETS.items() if b != "latn") + "]"
+    latin = F.when(text.rlike(char_class(BUCKETS["latn"])), "latn").otherwise("unknown")
+    return F.when(F.coalesce(text, F.lit("")) == "", "unknown").when(~text.rlike(other), latin).otherwise(let(histogram(text), lambda h: _most(h, text)))
+
+
+def _most(h: Column, text: Column) -> Column:
     han = h["han"]
     variant = F.when(count(text, f"[{TRADITIONAL_ONLY}]") > count(text, f"[{SIMPLIFIED_ONLY}]"), "hant").otherwise("hans")
     east = (

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .scripts import NOT_SPACE, SPACE, count, detect, histogram, language_of
+from .scripts import NOT_SPACE, SPACE, count, detect, histogram, language_of, let
 
 # Fixed values
 NO_SPACE_SCRIPTS = ("hans", "hant", "jpan", "thai")
@@ -22,6 +22,8 @@ DEFAULT_CHARS_PER_TOKEN, ESTIMATE_SAFETY = 2.33, 1.15
 SNIPPET_CHARS = 220
 LANGUAGE_NAMES = {"en": "English", "zh": "Chinese", "ta": "Tamil"}
 LINE_BREAK = r"\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
+#: White space that breaks no line.
+BLANK = r"[\x{09}\x{1F}\x{20}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
 
 
 def _udf():
@@ -44,12 +46,17 @@ def collapse(text: Column) -> Column:
 
 
 def join_lines(text: Column, script: Column) -> Column:
-    """Lines stripped, blank ones dropped, the rest joined as their script writes."""
-    lines = F.transform(F.split(F.regexp_replace(text, LINE_BREAK, "\n"), "\n"), lambda x: F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", ""))
-    joined = F.array_join(F.filter(lines, lambda x: x != ""), "\n")
-    unbroken = F.regexp_replace(F.regexp_replace(joined, r"(?<=\p{L})[-‐‑]\n(?=\p{Ll})", ""), r"(?<=\p{L}[-‐‑])\n(?=\p{L})", "")
-    joined = F.when(script.isin(*HYPHENATING_SCRIPTS), unbroken).otherwise(joined)
-    return F.when(script.isin(*NO_SPACE_SCRIPTS), F.regexp_replace(joined, "\n", "")).otherwise(F.regexp_replace(joined, "\n", " "))
+    """Lines stripped, blank ones dropped, the rest joined as their script writes.
+
+    White space around a line break, blank lines with it, is one match: no array of lines is made.
+    """
+    lines = F.regexp_replace(text, f"(?<!{SPACE}){BLANK}*+(?:{LINE_BREAK}){SPACE}*+", "\n")
+    # the first line and the last one have no line break on their outer side
+    lines = F.regexp_replace(lines, f"^{SPACE}++|(?<!{SPACE}){SPACE}++$", "")
+    bent = lines.rlike("[-‐‑]\n")
+    unbroken = F.regexp_replace(F.regexp_replace(lines, r"(?<=\p{L})[-‐‑]\n(?=\p{Ll})", ""), r"(?<=\p{L}[-‐‑])\n(?=\p{L})", "")
+    joined = F.when(script.isin(*HYPHENATING_SCRIPTS) & bent, unbroken).otherwise(lines)
+    return F.when(script.isin(*NO_SPACE_SCRIPTS), F.translate(joined, "\n", "")).otherwise(F.translate(joined, "\n", " "))
 
 
 def normalise(composed: Column, script: Column) -> Column:
@@ -89,10 +96,11 @@ def heading_level(text: Column) -> Column:
 
 
 def estimate_tokens(text: Column) -> Column:
-    h = histogram(text)
-    priced = sum((h[b] / F.lit(r) for b, r in CHARS_PER_TOKEN.items()), F.lit(0.0))
-    rest = F.length(text) - sum((h[b] for b in CHARS_PER_TOKEN), F.lit(0))
-    return F.ceil(F.round((priced + rest / F.lit(DEFAULT_CHARS_PER_TOKEN)) * ESTIMATE_SAFETY, 9)).cast("long")
+    def priced(h: Column) -> Column:
+        rest = F.length(text) - sum((h[b] for b in CHARS_PER_TOKEN), F.lit(0))
+        return sum((h[b] / F.lit(r) for b, r in CHARS_PER_TOKEN.items()), F.lit(0.0)) + rest / F.lit(DEFAULT_CHARS_PER_TOKEN)
+
+    return F.ceil(F.round(let(histogram(text), priced) * ESTIMATE_SAFETY, 9)).cast("long")
 
 
 def snippet(text: Column, limit: int = SNIPPET_CHARS) -> Column:
@@ -111,5 +119,5 @@ def provenance(name: Column, doc_id: Column, page_start: Column, page_end: Colum
 
 
 def language_reminder(question: Column) -> Column:
-    name = F.element_at(F.create_map(*[F.lit(x) for kv in LANGUAGE_NAMES.items() for x in kv]), language_of(detect(question)))
-    return F.when(name.isNull(), "").otherwise(F.concat(F.lit("(Answer in "), name, F.lit(".)")))
+    names = F.create_map(*[F.lit(x) for kv in LANGUAGE_NAMES.items() for x in kv])
+    return let(F.element_at(names, language_of(detect(question))), lambda n: F.when(n.isNull(), "").otherwise(F.concat(F.lit("(Answer in "), n, F.lit(".)"))))
