@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import citations, text as tx
-from ..functions.scripts import detect
+from ..functions.scripts import detect, let
 from .seams import extractive
 
 # Texts that interfaces and evaluation match on.
@@ -37,9 +37,13 @@ def context_blocks(hits: DataFrame, chunks: DataFrame, names: DataFrame | None =
     return rows.select("query_id", F.col("rank").alias("context_no"), "row_id", "doc_id", block.alias("block"))
 
 
-def build_prompt(question: Column, context: Column, reminder: bool = True, system: str = SYSTEM) -> Column:
-    note = tx.language_reminder(question) if reminder else F.lit("")
-    note = F.when(note == "", "").otherwise(F.concat(note, F.lit("\n")))
+def reminder_note(question: Column) -> Column:
+    return let(tx.language_reminder(question), lambda note: F.when(note == "", "").otherwise(F.concat(note, F.lit("\n"))))
+
+
+def build_prompt(question: Column, context: Column, note: Column, system: str = SYSTEM) -> Column:
+    """note: the question's reminder line, or an empty string."""
+    # The frame of a prompt.
     return F.concat(F.lit(f"{system}\n\nContext:\n"), context, F.lit("\n\nQuestion: "), question, F.lit("\n"), note, F.lit("Answer:"))
 
 
@@ -49,12 +53,14 @@ def fit_context(queries: DataFrame, blocks: DataFrame, budget: int = 6000, remin
     (query_id, n_context, n_dropped, prompt, prompt_tokens)
     """
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("context_no", "block"))), lambda x: x["block"])
-    rows = queries.join(blocks.groupBy("query_id").agg(ordered.alias("b")), "query_id").withColumn("n", F.explode(F.sequence(F.lit(1), F.size("b"))))
-    rows = rows.withColumn("prompt", build_prompt(F.col("text"), F.array_join(F.slice("b", 1, F.col("n")), "\n\n"), reminder))
-    rows = rows.withColumn("prompt_tokens", tokens(F.col("prompt")))
+    noted = queries.select("query_id", "text", (reminder_note(F.col("text")) if reminder else F.lit("")).alias("note"))
+    rows = noted.join(blocks.groupBy("query_id").agg(ordered.alias("b")), "query_id")
+    # generated, so that each prompt is made once and priced as a column
+    runs = F.transform(F.sequence(F.lit(1), F.size("b")), lambda n: F.struct(n.alias("n"), build_prompt(F.col("text"), F.array_join(F.slice("b", 1, n), "\n\n"), F.col("note")).alias("prompt")))
+    rows = rows.select("query_id", F.size("b").alias("all"), F.explode(runs).alias("r")).select("query_id", "all", "r.*").withColumn("prompt_tokens", tokens(F.col("prompt")))
     # a longer run never fits where a shorter one does not
     fits = F.when((F.col("n") == 1) | (F.col("prompt_tokens") <= budget), F.col("n"))
-    best = rows.groupBy("query_id").agg(F.max_by(F.struct("n", "prompt", "prompt_tokens", F.size("b").alias("all")), fits).alias("x"))
+    best = rows.groupBy("query_id").agg(F.max_by(F.struct("n", "prompt", "prompt_tokens", "all"), fits).alias("x"))
     return best.select("query_id", F.col("x.n").alias("n_context"), (F.col("x.all") - F.col("x.n")).alias("n_dropped"), "x.prompt", "x.prompt_tokens")
 
 
@@ -94,8 +100,7 @@ def tier3_answer(raw: Column, enabled: bool = False, after_abstain: bool = False
 
 
 def language_match(question: Column, answer: Column) -> Column:
-    q, a = detect(question), detect(answer)
-    return F.when((q != "unknown") & (a != "unknown"), q == a)
+    return let(F.struct(detect(question).alias("q"), detect(answer).alias("a")), lambda s: F.when((s["q"] != "unknown") & (s["a"] != "unknown"), s["q"] == s["a"]))
 
 
 def answers(queries: DataFrame, gated: DataFrame, hits: DataFrame, chunks: DataFrame, cfg: Config = Config(), generate: Callable[[Column], Column] = extractive, names: DataFrame | None = None) -> DataFrame:

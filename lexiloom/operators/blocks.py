@@ -23,8 +23,11 @@ def document_blocks(docs: DataFrame) -> DataFrame:
     lines = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("reading_order", "text"))
     lines = lines.where(F.col("text").rlike(scripts.NOT_SPACE))
     page = (F.floor(F.col("reading_order") / LINES_PER_PAGE) + 1).cast("int")
-    block_id = F.concat(F.substring("doc_id", 1, 12), F.lit(":"), F.col("page"), F.lit(":"), F.lpad(F.col("reading_order").cast("string"), 5, "0"))
-    return lines.withColumn("page", page).withColumn("block_id", block_id)
+    return lines.withColumn("page", page).withColumn("block_id", block_id())
+
+
+def block_id() -> Column:
+    return F.concat(F.substring("doc_id", 1, 12), F.lit(":"), F.col("page"), F.lit(":"), F.lpad(F.col("reading_order").cast("string"), 5, "0"))
 
 
 def classify(body: Column, size: Column, bold: Column, body_size: Column, in_table: Column) -> Column:
@@ -55,14 +58,14 @@ def body_size(spans: DataFrame) -> DataFrame:
     return sizes.groupBy("doc_id").agg(F.max_by("size", F.struct("chars", -F.col("size"))).alias("body_size"))
 
 
-def reading_order(items: DataFrame, height: Column | float | None = None) -> DataFrame:
-    """items(doc_id, page, bbox) numbered from 0 by page, row band and x. Bands round half to even."""
+def reading_order(items: DataFrame, height: Column | float | None = None, *ties: str) -> DataFrame:
+    """items(doc_id, page, bbox) numbered from 0 by page, row band, x and ties. Bands round half to even."""
     if height is None:
         tall = items.groupBy("doc_id", "page").agg(F.greatest(F.lit(1e-9), 0.6 * F.median(F.col("bbox.y1") - F.col("bbox.y0"))).alias("band"))
         items = items.join(tall, ["doc_id", "page"])
     else:
         items = items.withColumn("band", ROW_BAND_POINTS / (height if isinstance(height, Column) else F.lit(height)))
-    place = Window.partitionBy("doc_id").orderBy("page", F.bround(F.col("bbox.y0") / F.col("band")), "bbox.x0")
+    place = Window.partitionBy("doc_id").orderBy("page", F.bround(F.col("bbox.y0") / F.col("band")), "bbox.x0", *ties)
     return items.withColumn("reading_order", F.row_number().over(place) - 1).drop("band")
 
 
@@ -128,6 +131,10 @@ def confident(blocks: DataFrame, thresholds: dict[str, float] | None = None) ->
 
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", order: str = "ordinal") -> DataFrame:
-    """The first row per key by input order."""
-    w = Window.partitionBy(key).orderBy(order)
-    return docs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The first row per key by input order, and n_copies: how many rows have the key.
+
+    A minimum, not a window: copies meet before they are shuffled, however many a key has.
+    """
+    rest = [c for c in docs.columns if c not in (key, order)]
+    first = docs.groupBy(key).agg(F.min(F.struct(order, *rest)).alias("r"), F.count("*").alias("n_copies"))
+    return first.select(key, "r.*", "n_copies")

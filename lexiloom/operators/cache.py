@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -11,7 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..schema import struct
 from ..sources.files import exists
+from .seams import TextEmbedder, embed
+
+VECTORS = struct("text_hash string, vector array<float>")
 
 
 class CacheFault(RuntimeError):
@@ -75,3 +80,24 @@ class StageCache:
 def missing_texts(texts: DataFrame, cached: DataFrame) -> DataFrame:
     """Texts whose hash has no vector yet: only these are embedded."""
     return texts.withColumn("text_hash", F.sha2("text", 256)).join(cached.select("text_hash"), "text_hash", "left_anti").dropDuplicates(["text_hash"])
+
+
+class VectorCache:
+    """Vectors by the hash of their text, one table for each embedder: a text is embedded once."""
+
+    def __init__(self, spark: SparkSession, root: str, embedder: TextEmbedder):
+        mark = hashlib.sha256(json.dumps(embedder.fingerprint(), sort_keys=True).encode()).hexdigest()[:16]
+        self.spark, self.embedder, self.path = spark, embedder, f"{root.rstrip('/')}/{mark}"
+
+    def load(self) -> DataFrame:
+        if not exists(self.spark, f"{self.path}/_SUCCESS"):
+            return self.spark.createDataFrame([], VECTORS)
+        # a batch that was written twice holds equal vectors
+        return self.spark.read.schema(VECTORS).parquet(self.path).dropDuplicates(["text_hash"])
+
+    def get_or_compute(self, rows: DataFrame) -> DataFrame:
+        """rows(text) with vector. Texts that are not there yet are embedded and appended first."""
+        new = missing_texts(rows.select("text"), self.load())
+        made = new.select("text_hash", embed(F.col("text"), self.embedder, self.embedder.passage_prefix).alias("vector"))
+        made.write.mode("append").option("compression", "zstd").parquet(self.path)
+        return rows.withColumn("text_hash", F.sha2("text", 256)).join(self.load(), "text_hash").drop("text_hash")

@@ -1,23 +1,23 @@
 """Heading-aware chunks.
 
-Packing is a fold along one document's blocks, so it runs per document; documents are
-independent and go to tasks by doc_id.
+Packing is a fold along one document's blocks. Only the costs of the blocks and the texts of
+headings go through it; what it returns are places of blocks, from which the chunks are put
+together in the JVM. Documents are independent and go to tasks by doc_id.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ChunkConfig
 from ..functions import text as tx
 from ..functions.scripts import SCRIPT_LANG
-from ..schema import BBOX, CHUNK
+from ..schema import BBOX, CHUNK, struct
 
 _NUMBER = re.compile(tx.HEADING_NUMBER)
 
@@ -26,25 +26,25 @@ _NUMBER = re.compile(tx.HEADING_NUMBER)
 class Piece:
     """A block as packing sees it."""
 
-    id: str
+    id: object
     text: str
     cost: int
     heading: bool = False
 
 
-@dataclass(frozen=True)
+@dataclass
 class Group:
-    pieces: tuple[Piece, ...]
+    pieces: list[Piece] = field(default_factory=list)
     path: tuple[str, ...] = ()
+    cost: int = 0
 
-    @property
-    def cost(self) -> int:
-        return sum(p.cost for p in self.pieces)
-
-    def joined(self, later: Group) -> Group:
-        """This group's pieces, then the later group's that it lacks."""
+    def add(self, pieces: list[Piece]) -> None:
+        """Append pieces that are not there yet."""
         have = {p.id for p in self.pieces}
-        return replace(self, pieces=self.pieces + tuple(p for p in later.pieces if p.id not in have))
+        for p in pieces:
+            if p.id not in have:
+                self.pieces.append(p)
+                self.cost += p.cost
 
 
 def level_of(heading: str) -> int:
@@ -55,21 +55,17 @@ def level_of(heading: str) -> int:
 def sections_of(pieces: list[Piece]) -> list[Group]:
     """Runs that begin at a heading, with the headings above them; bare parents go."""
     found: list[Group] = []
-    path: tuple[str, ...] = ()
     for p in pieces:
-        if p.heading:
-            path = path[: level_of(p.text) - 1] + (p.text,)
-            found.append(Group((p,), path))
-        elif found:
-            found[-1] = replace(found[-1], pieces=found[-1].pieces + (p,))
-        else:
-            found.append(Group((p,), ()))
+        if p.heading or not found:
+            above = found[-1].path if found else ()
+            found.append(Group(path=(*above[: level_of(p.text) - 1], p.text) if p.heading else ()))
+        found[-1].pieces.append(p)
     nexts = [*(g.path for g in found[1:]), ()]
     inherited = [len(n) > len(g.path) and n[: len(g.path)] == g.path and all(p.heading for p in g.pieces) for g, n in zip(found, nexts, strict=True)]
     return [g for g, gone in zip(found, inherited, strict=True) if not gone]
 
 
-def tail_of(pieces: tuple[Piece, ...], budget: int) -> tuple[Piece, ...]:
+def tail_of(pieces: list[Piece], budget: int) -> list[Piece]:
     """The longest end of a chunk, short of all of it, within the budget."""
     kept = len(pieces)
     while kept > 1 and pieces[kept - 1].cost <= budget:
@@ -80,18 +76,21 @@ def tail_of(pieces: tuple[Piece, ...], budget: int) -> tuple[Piece, ...]:
 
 def packed(section: Group, cfg: ChunkConfig) -> list[Group]:
     """Greedy groups of a section; short ones join the group before them."""
-    runs: list[tuple[Piece, ...]] = [()]
+    runs = [Group(path=section.path)]
     for p in section.pieces:
-        if runs[-1] and sum(x.cost for x in runs[-1]) + p.cost > cfg.target_tokens:
-            runs.append(tail_of(runs[-1], cfg.overlap) if cfg.overlap > 0 else ())
-        runs[-1] += (p,)
+        now = runs[-1]
+        if now.pieces and now.cost + p.cost > cfg.target_tokens:
+            tail = tail_of(now.pieces, cfg.overlap) if cfg.overlap > 0 else []
+            now = Group(tail, section.path, sum(x.cost for x in tail))
+            runs.append(now)
+        now.pieces.append(p)
+        now.cost += p.cost
     out: list[Group] = []
-    for run in filter(None, runs):
-        group = Group(run, section.path)
-        if out and group.cost < cfg.min_tokens:
-            out[-1] = out[-1].joined(group)
-        else:
-            out.append(group)
+    for run in runs:
+        if out and run.cost < cfg.min_tokens:
+            out[-1].add(run.pieces)
+        elif run.pieces:
+            out.append(run)
     return out
 
 
@@ -100,70 +99,73 @@ def chunk_pieces(pieces: list[Piece], cfg: ChunkConfig) -> list[Group]:
     done: list[Group] = []
     short: Group | None = None
     for group in (g for s in sections_of(pieces) for g in packed(s, cfg)):
-        # the next group names the path; what is left at the end keeps its first
-        whole = replace(short.joined(group), path=group.path) if short else group
-        if whole.cost >= cfg.min_tokens:
-            done.append(whole)
-            short = None
-        else:
-            short = replace(whole, path=short.path if short else whole.path)
+        if short:
+            first = short.path
+            short.add(group.pieces)
+            # a group that is long enough has the path of its last part; what is left, of its first
+            group = Group(short.pieces, group.path if short.cost >= cfg.min_tokens else first, short.cost)
+        short = None if group.cost >= cfg.min_tokens else group
+        if short is None:
+            done.append(group)
     return done + ([short] if short else [])
 
 
-_BOX = pa.struct([(c, pa.float64()) for c in ("x0", "y0", "x1", "y1")])
-_MADE = pa.schema(
-    [("doc_id", pa.string()), ("chunk_no", pa.int32()), ("page_start", pa.int32()), ("page_end", pa.int32()), ("block_ids", pa.list_(pa.string())), ("bbox_union", _BOX)]
-    + [("heading_path", pa.list_(pa.string())), ("text", pa.string()), ("token_count", pa.int32()), ("script", pa.string())]
-)
-_MADE_DDL = f"doc_id string, chunk_no int, page_start int, page_end int, block_ids array<string>, bbox_union {BBOX}, heading_path array<string>, text string, token_count int, script string"
+def fold(costs: Column, headings: Column, cfg: ChunkConfig) -> Column:
+    """struct(items, paths): places of the blocks of each chunk, and its heading path.
+
+    headings has the text of blocks that are headings and null for others.
+    """
+
+    @F.pandas_udf(struct("items array<array<int>>, paths array<array<string>>"))
+    def run(costs: pd.Series, headings: pd.Series) -> pd.DataFrame:
+        rows = []
+        for cost, texts in zip(costs, headings, strict=True):
+            groups = chunk_pieces([Piece(k, t or "", int(c), t is not None) for k, (c, t) in enumerate(zip(cost, texts, strict=True))], cfg)
+            rows.append(([[p.id for p in g.pieces] for g in groups], [list(g.path) for g in groups]))
+        return pd.DataFrame(rows, columns=["items", "paths"])
+
+    return run(costs, headings)
 
 
-def main_script(blocks: list[dict]) -> str:
+def main_script(own: Column) -> Column:
     """Script of most tokens, unknown ones left out; ties go to the code that sorts last."""
-    weight: dict[str, int] = {}
-    for b in blocks:
-        if b["script"] != "unknown":
-            weight[b["script"]] = weight.get(b["script"], 0) + b["cost"]
-    return max(((n, s) for s, n in weight.items()), default=(0, "unknown"))[1]
-
-
-def chunk_row(doc_id: str, number: int, group: Group, blocks: dict[str, dict]) -> dict:
-    own = [blocks[p.id] for p in group.pieces]
-    boxes = [b["bbox"] for b in own if b["bbox"] is not None]
-    union = {c: (min if c[1] == "0" else max)(b[c] for b in boxes) for c in ("x0", "y0", "x1", "y1")} if boxes else None
-    pages = [b["page"] for b in own]
-    return {
-        "doc_id": doc_id,
-        "chunk_no": number,
-        "page_start": min(pages),
-        "page_end": max(pages),
-        "block_ids": [p.id for p in group.pieces],
-        "bbox_union": union,
-        "heading_path": list(group.path),
-        "text": "\n\n".join(b["text"] for b in own),
-        "token_count": group.cost,
-        "script": main_script(own),
-    }
+    known = F.filter(own, lambda b: b["script"] != "unknown")
 
+    def weight(s: Column) -> Column:
+        return F.aggregate(known, F.lit(0), lambda n, b: n + F.when(b["script"] == s, b["cost"]).otherwise(0))
 
-def gathered_chunks(blocks: DataFrame, cfg: ChunkConfig) -> DataFrame:
-    """Chunks without ids. blocks needs a column cost.
+    best = F.array_max(F.transform(F.array_distinct(F.transform(known, lambda b: b["script"])), lambda s: F.struct(weight(s).alias("n"), s.alias("s"))))
+    return F.coalesce(best["s"], F.lit("unknown"))
 
-    The JVM gathers each document's blocks (one shuffle); Python folds many documents a batch.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                rows = []
-                for doc in batch.slice(i, 64).to_pylist():
-                    pieces = [Piece(b["block_id"], b["text"], b["cost"], b["kind"] == "heading") for b in doc["b"]]
-                    known = {b["block_id"]: b for b in doc["b"]}
-                    rows += [chunk_row(doc["doc_id"], n, g, known) for n, g in enumerate(chunk_pieces(pieces, cfg))]
-                yield pa.RecordBatch.from_pylist(rows, schema=_MADE)
+def _row(own: Column, path: Column) -> Column:
+    """A chunk from its blocks."""
+    boxes = F.filter(F.transform(own, lambda b: b["bbox"]), lambda x: x.isNotNull())
+
+    def side(c: str) -> Column:
+        return F.transform(boxes, lambda x: x[c])
 
+    union = F.struct(*[(F.array_min if c[1] == "0" else F.array_max)(side(c)).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    pages = F.transform(own, lambda b: b["page"])
+    return F.struct(
+        F.array_min(pages).alias("page_start"),
+        F.array_max(pages).alias("page_end"),
+        F.transform(own, lambda b: b["block_id"]).alias("block_ids"),
+        F.when(F.size(boxes) > 0, union).alias("bbox_union"),
+        path.alias("heading_path"),
+        F.array_join(F.transform(own, lambda b: b["text"]), "\n\n").alias("text"),
+        F.aggregate(own, F.lit(0), lambda n, b: n + b["cost"]).alias("token_count"),
+        main_script(own).alias("script"),
+    )
+
+
+def gathered_chunks(blocks: DataFrame, cfg: ChunkConfig) -> DataFrame:
+    """Chunks without ids. blocks needs a column cost."""
     block = F.struct("reading_order", "page", "block_id", "kind", "cost", "script", "text", "bbox")
-    return blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(block)).alias("b")).mapInArrow(run, _MADE_DDL)
+    docs = blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(block)).alias("b"))
+    docs = docs.withColumn("f", fold(F.transform("b", lambda x: x["cost"]), F.transform("b", lambda x: F.when(x["kind"] == "heading", x["text"])), cfg))
+    made = F.transform(F.arrays_zip("f.items", "f.paths"), lambda z: _row(F.transform(z["items"], lambda i: F.get(F.col("b"), i)), z["paths"]))
+    return docs.select("doc_id", F.posexplode(made).alias("chunk_no", "c")).select("doc_id", "chunk_no", "c.*")
 
 
 def chunk_id(doc_id, block_ids):

@@ -43,17 +43,24 @@ def mean(c: Column) -> Column:
 
 
 def metrics(rows: DataFrame) -> DataFrame:
-    """One row a language and one for all (lang null), in one pass. Rows need lang, answerable, abstained.
+    """One row a language and one for all (is_total; lang is null there), in one pass.
 
-    Recall and rr are means over answerable questions, 0 without any; abstain_precision is
-    null when nothing was declined.
+    Rows need lang, answerable, abstained; with groundedness and language_match, those of answers
+    that were given are averaged too, n_scored being how many. Recall and rr are means over
+    answerable questions, 0 without any; abstain_precision is null when nothing was declined, and
+    so are the figures of answers when none was given.
     """
     a = F.col("answerable")
-    out = [F.count("*").alias("n")]
+    out = [F.grouping("lang").cast("boolean").alias("is_total"), F.count("*").alias("n")]
     out += [F.round(mean(F.when(a, F.col(c))), 6).alias(c) for c in (*(f"recall_{k}" for k in CUTOFFS), "rr_10")]
     out.append(F.sum(F.col("abstained").cast("long")).alias("n_abstained"))
     out.append(F.sum((F.col("abstained") & ~a).cast("long")).alias("n_right"))
     out.append(F.round(F.avg(F.when(F.col("abstained"), (~a).cast("double"))), 6).alias("abstain_precision"))
+    if "groundedness" in rows.columns:
+        given = ~F.col("abstained") & F.col("groundedness").isNotNull()
+        out.append(F.count(F.when(given, 1)).alias("n_scored"))
+        out.append(F.round(F.avg(F.when(given, F.col("groundedness"))), 6).alias("groundedness"))
+        out.append(F.round(F.avg(F.when(given, F.col("language_match").cast("double"))), 6).alias("language_match"))
     return rows.cube("lang").agg(*out)
 
 

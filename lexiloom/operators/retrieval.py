@@ -16,14 +16,18 @@ from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..functions.scripts import detect
+from ..sources.staging import staged
 
-# Fixed values
+# The constants of BM25.
 K1, B = 1.5, 0.75
-#: Queries of one block; a larger set takes several.
-QUERIES_PER_PASS = 4096
-#: Partitions that the blocks of queries and of rows are dealt over, and the bytes of one Arrow batch of them.
-QUERY_PARTS, ROW_PARTS, BATCH_BYTES = 12, 4, 16_777_216
-DANGLING = "it its this that these those they them their he she his her him one ones former latter same above below".split()
+# Words that point at something said before.
+DANGLING = ["it", "its", "this", "that", "these", "those", "they", "them", "their", "he", "she", "his", "her", "him", "one", "ones", "former", "latter", "same", "above", "below"]
+#: Queries of one block, and rows of one block.
+QUERIES_PER_PASS, ROWS_PER_BLOCK = 4096, 8192
+#: Blocks of queries whose best rows one task keeps, and the bytes of one Arrow batch of blocks.
+QUERY_BLOCKS_PER_TASK, BATCH_BYTES = 8, 16_777_216
+#: Query terms, and pairs of query and term, that may be broadcast (some 40 bytes each).
+BROADCAST_TERMS, BROADCAST_PAIRS = 200_000, 500_000
 
 
 def top_k(scored: DataFrame, k: int, *ties: str) -> DataFrame:
@@ -93,8 +97,11 @@ def _search(queries: DataFrame, rows: DataFrame, score: Callable, k: int, scale:
     conf, key = queries.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if not (now := conf.get(key, None) or "").isdigit() or int(now) > BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
-    q = _packed(queries, "query_id", QUERIES_PER_PASS).toDF("q_ids", "q_m").repartition(QUERY_PARTS)
-    r = _packed(rows, "row_id", 8192).toDF("r_ids", "r_m").repartition(ROW_PARTS)
+    # as many tasks as there are blocks for, and no more than the session's partitions
+    q_parts = max(1, -(-queries.count() // (QUERIES_PER_PASS * QUERY_BLOCKS_PER_TASK)))
+    r_parts = max(1, min(-(-rows.count() // ROWS_PER_BLOCK), -(-int(conf.get("spark.sql.shuffle.partitions")) // q_parts)))
+    q = _packed(queries, "query_id", QUERIES_PER_PASS).toDF("q_ids", "q_m").repartition(q_parts)
+    r = _packed(rows, "row_id", ROWS_PER_BLOCK).toDF("r_ids", "r_m").repartition(r_parts)
     pairs = r.hint("shuffle_replicate_nl").crossJoin(q)  # never broadcast: that passes through the driver
     return top_k(pairs.mapInPandas(_best(score, k, scale), "query_id long, row_id long, score double"), k)
 
@@ -130,21 +137,30 @@ def idf(df: Column, n: Column) -> Column:
 
 
 def lexical_hits(queries: DataFrame, rows: DataFrame, k: int = 20, stats: DataFrame | None = None) -> DataFrame:
-    """BM25 top k. queries(query_id, text), rows(row_id, text).
+    """BM25 top k. queries(query_id, text), rows(row_id, text). Rows without a match are no hits.
 
-    Only terms that some query has are counted: the query terms select tokens before they
-    are grouped. Rows without a match are no hits.
+    Texts are cut into tokens once. Tokens that some query has are counted by row and term, all
+    others of a row together, which is enough for lengths; these counts are written and everything
+    else follows from them. The terms of the queries, and the queries of each term, are broadcast
+    where their number is checked; many more are joined by shuffle, where AQE splits frequent terms.
     """
-    tokens = tokenised(rows, "row_id")
-    q = tokenised(queries, "query_id").select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_len")) if stats is None else stats
-    wanted = q.select("term").distinct()
-    found = tokens.select("row_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-    post = found.groupBy("term", "row_id").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
+    q = staged(tokenised(queries, "query_id").select("query_id", F.explode(F.array_distinct("tokens")).alias("term")), "query_terms")
+    wanted = q.select("term").distinct().withColumn("asked", F.lit(True))
+    few = wanted.count() <= BROADCAST_TERMS
+    each = tokenised(rows, "row_id").select("row_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
+    known = each.join(F.broadcast(wanted) if few else wanted, "term", "left")
+    counts = known.select("row_id", "doc_len", F.when(F.col("asked"), F.col("term")).alias("term")).groupBy("row_id", "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
+    counts = staged(counts, "term_counts")
+    if stats is None:
+        sizes = rows.agg(F.count("*").alias("n")).crossJoin(counts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("t")))
+        stats = sizes.select("n", (F.col("t") / F.col("n")).alias("avg_len"))
+    post = counts.where("term IS NOT NULL")
     df = post.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = post.join(df, "term").crossJoin(F.broadcast(stats))  # stats: one row
-    part = idf(F.col("df"), F.col("n")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    scored = weighted.select("term", "row_id", part.alias("part")).join(q, "term").groupBy("query_id", "row_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    asked = q.join(F.broadcast(df) if few else df, "term").crossJoin(F.broadcast(stats))  # stats: one row
+    asked = asked.select("query_id", "term", "avg_len", (idf(F.col("df"), F.col("n")) * (K1 + 1)).alias("worth"))
+    pairs = post.join(F.broadcast(asked) if q.count() <= BROADCAST_PAIRS else asked, "term")
+    part = F.col("worth") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
+    scored = pairs.groupBy("query_id", "row_id").agg(F.round(F.sum(part), 6).alias("score"))
     return top_k(scored, k).withColumns({"arm": F.lit("lexical"), "gate_score": F.lit(None).cast("double"), "degraded": F.lit(0)})
 
 
@@ -224,35 +240,23 @@ def gate(queries: DataFrame, hits: DataFrame, tau: float = 0.45) -> DataFrame:
     return queries.select("query_id").join(top, "query_id", "left").withColumn("abstained", F.coalesce(F.col("top_score") < tau, F.lit(True)))
 
 
-def _hashed(seed: int) -> Callable:
-    """pmod(xxhash64(seed, query_id, row_id), 1000003), as Spark has it."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+# A seeded order of pairs by arithmetic that any engine has: no product passes 2**63.
+PRIME, MULTIPLIERS = 1_000_003, (7919, 104_729, 15_485_863)
 
-    def turn(x, n):
-        return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
 
-    def mixed(h):
-        h = (h ^ (h >> np.uint64(33))) * p2
-        h = (h ^ (h >> np.uint64(29))) * p3
-        return h ^ (h >> np.uint64(32))
-
-    def of_long(x, h):
-        return mixed(turn((h + p5 + np.uint64(8)) ^ (turn(x * p2, 31) * p1), 27) * p1 + p4)
+def _mixed(seed: int) -> Callable:
+    """Points below PRIME for pairs of ids."""
 
     def score(ids: np.ndarray, q: np.ndarray, rows: np.ndarray, v: np.ndarray) -> np.ndarray:
-        one = np.array([seed], np.int32).astype(np.uint32).astype(np.uint64)
-        first = mixed(turn((np.array([42], np.uint64) + p5 + np.uint64(4)) ^ (one * p1), 23) * p2 + p3)
-        h = of_long(rows.astype(np.uint64), of_long(ids.astype(np.uint64), first)[:, None])
-        return h.view(np.int64) % 1_000_003
+        a, b, c = MULTIPLIERS
+        h = ((ids % PRIME * a)[:, None] + (rows % PRIME * b)[None] + seed * c) % PRIME
+        for _ in range(2):
+            h = (h * h + h * a + b) % PRIME
+        return h
 
     return score
 
 
 def random_hits(queries: DataFrame, rows: DataFrame, k: int, seed: int) -> DataFrame:
-    """A seeded floor: k rows a query by a hash, the same however rows are partitioned."""
-    return _search(queries.select("query_id"), rows.select("row_id"), _hashed(seed), k, 1_000_003)
-
-
-def blocked_pairs(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """A stated query set against all rows; queries are the broadcast side."""
-    return rows.crossJoin(F.broadcast(queries))
+    """A seeded floor: k rows a query by a mixed number, the same however rows are partitioned."""
+    return _search(queries.select("query_id"), rows.select("row_id"), _mixed(seed), k, PRIME)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import re
+import sys
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -40,7 +42,7 @@ class Unavailable(RuntimeError):
     """A seam without an engine here, such as PDF parsing and OCR."""
 
 
-#: Keys by which an index and its queries must agree, all of them.
+# The keys by which an index and its queries must agree, all of them.
 FINGERPRINT = ("hf_id", "hf_revision", "ir_sha256", "ov_version", "precision", "dim", "pooling", "normalize", "max_len", "query_prefix", "passage_prefix")
 
 
@@ -59,10 +61,26 @@ class HashingEmbedder:
         return unit(out)
 
     def fingerprint(self) -> dict:
-        code = hashlib.sha256(b"hashing-embedder-1").hexdigest()
+        # of the code itself: a changed embedder is another embedder
+        code = hashlib.sha256(inspect.getsource(HashingEmbedder.embed).encode()).hexdigest()
         return dict(zip(FINGERPRINT, ("hashing", "1", code, "none", "fp32", self.dim, "sum", True, self.max_len, self.query_prefix, self.passage_prefix), strict=True))
 
 
+class LetterEmbedder:
+    """Counts of the letters a to z: a small embedder whose vectors any engine can make."""
+
+    dim, query_prefix, passage_prefix = 26, "", ""
+    max_len = sys.maxsize
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        raw = [np.frombuffer((t or "").lower().encode("utf-8", "surrogatepass"), np.uint8) for t in texts]
+        return np.array([np.bincount(x, minlength=256)[97:123] for x in raw], np.float32).reshape(-1, self.dim)
+
+    def fingerprint(self) -> dict:
+        code = hashlib.sha256(inspect.getsource(LetterEmbedder.embed).encode()).hexdigest()
+        return dict(zip(FINGERPRINT, ("letters", "1", code, "none", "fp32", self.dim, "sum", False, self.max_len, "", ""), strict=True))
+
+
 def unit(v: np.ndarray) -> np.ndarray:
     """Rows of length one; zero rows stay zero."""
     n = np.linalg.norm(v, axis=1, keepdims=True)

@@ -45,17 +45,24 @@ def script_hint(path):
 
 
 def golden(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled questions from JSON lines; blank lines and # comments are skipped.
+    """Labelled questions from JSON lines, q_id being the line; blank lines and # comments are skipped.
 
     alt_doc_ids is a list of documents that share gold_pages, or an object of pages each.
-    A line that cannot be read, or a file without questions, is an error with its number.
+    A line that cannot be read, another form of alt_doc_ids, or a file without questions is an error;
+    the line is named.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("q_id"), F.btrim("value").alias("v")).where("v <> '' AND NOT v LIKE '#%'")
+    # a file of questions is read whole, so that its lines have numbers
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "v"))
+    lines = lines.select((F.col("pos") + 1).cast("long").alias("q_id"), F.btrim("v").alias("v")).where("v <> '' AND NOT v LIKE '#%'")
     base = "q string, lang string, doc_id string, gold_pages array<int>, note string, alt_doc_ids string"
     rows = lines.select("q_id", "v", F.from_json("v", base, {"mode": "PERMISSIVE"}).alias("r")).select("q_id", "v", "r.*")
-    bad = rows.where("q IS NULL OR doc_id IS NULL OR gold_pages IS NULL").select("q_id", "v").head()
+    alt = F.btrim("alt_doc_ids")
+    listed = F.from_json(alt, "array<string>").isNotNull() & alt.startswith("[")
+    mapped = F.from_json(alt, "map<string,array<int>>").isNotNull() & alt.startswith("{")
+    odd = F.coalesce(alt.isNotNull() & ~listed & ~mapped, F.lit(False))
+    bad = rows.where(F.col("q").isNull() | F.col("doc_id").isNull() | F.col("gold_pages").isNull() | odd).orderBy("q_id").select("q_id", "v").head()
     if bad:
-        raise ValueError(f"{path}: cannot read line at {bad.q_id}: {bad.v[:80]}")
+        raise ValueError(f"{path}:{bad.q_id}: cannot read {bad.v[:80]}")
     shared = F.from_json("alt_doc_ids", "array<string>")
     own = F.from_json("alt_doc_ids", "map<string,array<int>>")
     alt = F.when(F.col("alt_doc_ids").startswith("["), F.map_from_entries(F.transform(shared, lambda d: F.struct(d, F.col("gold_pages"))))).when(F.col("alt_doc_ids").startswith("{"), own)
@@ -74,10 +81,10 @@ def baseline(spark: SparkSession, path: str) -> dict:
     return json.loads(read_text(spark, path)).get("metrics", {}) if exists(spark, path) else {}
 
 
-def describe(blocks: DataFrame, first_pages: int = 10, least_chars: int = 50) -> DataFrame:
-    """(doc_id, n_pages, mean_chars, text_layer) over the first pages of each document."""
+def describe(blocks: DataFrame, first_pages: int = 10, least_chars: int = 100) -> DataFrame:
+    """(doc_id, n_pages, mean_chars, text_layer) over the first pages of each document; a text layer has more than least_chars a page."""
     early = blocks.where(F.col("page") <= first_pages)
     pages = blocks.groupBy("doc_id").agg(F.max("page").alias("n_pages"))
     chars = early.groupBy("doc_id").agg(F.sum(F.length("text")).alias("chars"))
     mean = F.coalesce("chars", F.lit(0)) / F.least("n_pages", F.lit(first_pages))
-    return pages.join(chars, "doc_id", "left").select("doc_id", "n_pages", F.round(mean, 3).alias("mean_chars"), (mean >= least_chars).alias("text_layer"))
+    return pages.join(chars, "doc_id", "left").select("doc_id", "n_pages", F.round(mean, 3).alias("mean_chars"), (mean > least_chars).alias("text_layer"))

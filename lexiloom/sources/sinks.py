@@ -33,10 +33,10 @@ MANIFEST_VERSION = 1
 
 
 def merge_manifest(spark: SparkSession, path: str, entries: list[dict]) -> dict:
-    """Model entries by (name, precision); later ones replace, others stay."""
+    """Model entries by name; later ones replace, others stay."""
     old = read_manifest(spark, path)["models"] if exists(spark, path) else []
-    merged = {(e["name"], e.get("precision")): e for e in [*old, *entries]}
-    out = {"schema_version": MANIFEST_VERSION, "models": [merged[k] for k in sorted(merged, key=str)]}
+    merged = {e["name"]: e for e in [*old, *entries]}
+    out = {"schema_version": MANIFEST_VERSION, "models": [merged[k] for k in sorted(merged)]}
     write_text(spark, path, json.dumps(out, sort_keys=True))
     return out
 
