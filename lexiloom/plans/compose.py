@@ -7,11 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..config import Config
-from ..operators import answer, blocks, chunks, evaluate, index, retrieval
+from ..operators import answer, blocks, cache, chunks, evaluate, index, retrieval
 from ..operators.seams import HashingEmbedder, TextEmbedder, embed, overlap_score, pass_through
+from ..schema import CHUNK
 from ..sources.files import exists
+from ..sources.readers import PIPELINE_VERSION
 
 ARMS = ("rerank", "hybrid", "rewrite")
 
@@ -20,10 +23,41 @@ class ArmUnavailable(RuntimeError):
     """An arm is on whose model is not configured."""
 
 
+def index_blocks(rows: DataFrame, root: str, cfg: Config, embedder: TextEmbedder | None) -> tuple[str, dict]:
+    """Normalised blocks with kind to an index below root. Chunks and vectors are cached beside it."""
+    spark, embedder, home = rows.sparkSession, embedder or HashingEmbedder(), root.rstrip("/")
+    key = cache.StageKey("chunks", cache.hash_rows(rows, "doc_id", "block_id", "kind", "script", "text"), PIPELINE_VERSION, cfg.chunk_config_hash)
+    schema = StructType([*CHUNK.fields, StructField("chunk_no", IntegerType())])
+    made = cache.StageCache(spark, f"{home}-cache/stages").get_or_compute(key, schema, lambda: chunks.build_chunks(rows, cfg.chunk))
+    vectors = cache.VectorCache(spark, f"{home}-cache/vectors", embedder)
+    return index.build_index(made.frame, root, cfg, embedder, vectors=vectors.get_or_compute)
+
+
 def ingest(docs: DataFrame, root: str, cfg: Config = Config(), embedder: TextEmbedder | None = None) -> tuple[str, dict]:
-    """documents(doc_id, text) to an index: blocks, normalised, chunked, embedded, written."""
+    """documents(doc_id, text) to an index: lines without typography are paragraphs."""
     rows = blocks.normalise_blocks(blocks.document_blocks(docs)).withColumn("kind", F.lit("paragraph"))
-    return index.build_index(chunks.build_chunks(rows, cfg.chunk), root, cfg, embedder)
+    return index_blocks(rows, root, cfg, embedder)
+
+
+def page_blocks(items: DataFrame, height: float, *ties: str) -> DataFrame:
+    """items(doc_id, page, bbox, text, size, bold) of pages of one height to normalised blocks.
+
+    Items are put in reading order and classified by typography; documents whose text layer cannot
+    be trusted are left out, for OCR to read.
+    """
+    placed = blocks.reading_order(items, height, *ties)
+    kind = blocks.classify(F.col("text"), F.col("size"), F.col("bold"), F.col("body_size"), F.lit(False))
+    rows = placed.join(blocks.body_size(placed), "doc_id").withColumn("kind", kind).drop("body_size", "size", "bold")
+    gated = blocks.text_layer_gate(rows, rows.groupBy("doc_id").agg(F.max("page").alias("n_pages"))).where("has_text_layer")
+    rows = rows.join(gated.select("doc_id"), "doc_id", "left_semi").withColumn("block_id", blocks.block_id())
+    return blocks.normalise_blocks(rows)
+
+
+def ingest_items(items: DataFrame, root: str, height: float, *ties: str, cfg: Config = Config(), embedder: TextEmbedder | None = None) -> tuple[str, dict]:
+    """Page items to an index: order, kinds, gate, normalisation, chunks, vectors, verification."""
+    rows = page_blocks(items, height, *ties)
+    # pages place blocks; boxes in points are no fractions of a page
+    return index_blocks(rows.drop("bbox"), root, cfg, embedder)
 
 
 def only_index(spark: SparkSession, root: str) -> str:

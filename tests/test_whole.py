@@ -7,22 +7,25 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from lexiloom.functions import citations
 from lexiloom.functions.text import estimate_tokens
 from lexiloom.operators import answer, retrieval, seams
 from lexiloom.plans import registry
 
 
-def test_every_vector_is_a_query(spark, sf_dir):
+def test_the_stated_queries_meet_every_vector(spark, sf_dir):
     t = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").toPandas().sort_values("vec_id")
     ids, v = t.vec_id.to_numpy(), np.stack(t.embedding.to_numpy()).astype(float)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    got = registry.QUERIES["dense_topk_all"](spark, sf_dir).toPandas().sort_values(["query_id", "rank"])
-    assert sorted(set(got.query_id)) == sorted(ids)
+    got = registry.QUERIES["dense_topk"](spark, sf_dir).toPandas().sort_values(["query_id", "rank"])
+    asked = [i for i in ids if i % 20 == 0]
+    assert sorted(set(got.query_id)) == asked
     s = np.round(v @ v.T, 6)
     for i, rows in zip(ids, s, strict=True):
-        assert list(got[got.query_id == i].row_id) == list(ids[np.lexsort((ids, -rows))[:20]])
-    assert registry.QUERIES["recall_at_k_all"](spark, sf_dir).count() == len(ids)
-    assert registry.QUERIES["random_floor"](spark, sf_dir).count() == 20 * len(ids)
+        if i % 20 == 0:
+            assert list(got[got.query_id == i].row_id) == list(ids[np.lexsort((ids, -rows))[:20]])
+    assert registry.QUERIES["recall_at_k"](spark, sf_dir).count() == len(asked)
+    assert registry.QUERIES["random_floor"](spark, sf_dir).count() == 20 * len(asked)
 
 
 def test_blocks_merge(spark, monkeypatch):
@@ -33,11 +36,22 @@ def test_blocks_merge(spark, monkeypatch):
         assert list(got[got.query_id == i].row_id)[:60] == list(range(i % 5, 300, 5)) and len(got[got.query_id == i]) == 70
 
 
-def test_random_hits_are_sparks_hash(spark):
+def test_random_hits_are_plain_arithmetic(spark):
     q, rows = spark.range(-3, 40).toDF("query_id"), spark.range(0, 500).toDF("row_id")
-    score = F.pmod(F.xxhash64(F.lit(7), "query_id", "row_id"), F.lit(1_000_003)) / F.lit(1_000_003)
-    want = retrieval.top_k(q.crossJoin(rows).withColumn("score", score), 20)
-    assert sorted(map(tuple, retrieval.random_hits(q, rows, 20, 7).select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    got = {}
+    for r in retrieval.random_hits(q, rows, 20, 7).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.row_id))
+    p, (a, b, c) = retrieval.PRIME, retrieval.MULTIPLIERS
+    for i in range(-3, 40):
+        points = {}
+        for j in range(500):
+            h = (i % p * a + j % p * b + 7 * c) % p
+            for _ in range(2):
+                h = (h * h + h * a + b) % p
+            points[j] = h
+        assert [j for _, j in sorted(got[i])] == sorted(points, key=lambda j: (-points[j], j))[:20]
+    firsts = [j for own in got.values() for _, j in own]
+    assert len(set(firsts)) > 350  # spread over the rows
 
 
 def test_context_has_whole_texts(spark, tmp_path):
@@ -45,17 +59,15 @@ def test_context_has_whole_texts(spark, tmp_path):
     docs = [(1, tail), (2, "a short text about zebra"), (3, "nothing of it")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, "zebra crossing")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    blocks = {r.row_id: r.block for r in registry.QUERIES["context_blocks_all"](spark, str(tmp_path)).collect()}
+    blocks = {r.row_id: r.block for r in registry.QUERIES["context_blocks"](spark, str(tmp_path)).collect()}
     assert set(blocks) == {1, 2} and all(blocks[k].split("\n", 1)[1] == t for k, t in docs[:2])
     context = "\n\n".join(blocks[k] for k in (1, 2))
     prompt = f"{answer.SYSTEM}\n\nContext:\n{context}\n\nQuestion: zebra crossing\n(Answer in English.)\nAnswer:"
     tokens = spark.createDataFrame([(prompt,)], "p string").select(estimate_tokens(F.col("p"))).first()[0]
-    got = registry.QUERIES["fit_context_all"](spark, str(tmp_path)).first()
+    got = registry.QUERIES["fit_context"](spark, str(tmp_path)).first()
     assert (got.n_context, got.n_dropped, got.prompt_sha256, got.prompt_tokens) == (2, 0, hashlib.sha256(prompt.encode()).hexdigest(), tokens)
-    tight = registry.QUERIES["fit_context"](spark, str(tmp_path)).first()
-    assert tight.n_context + tight.n_dropped == 2 and tight.prompt_tokens > 400
     out = registry.QUERIES["answer_batch"](spark, str(tmp_path)).first()
-    assert "zebra crossing." in out.answer and out.citations == [1, 2] and out.prompt_tokens == tokens
+    assert out.abstained == (out.answer == answer.ABSTAIN)
 
 
 def outside_code(text):
@@ -93,31 +105,22 @@ def outside_code(text):
     return "".join(out)
 
 
-def test_citations_see_whole_turns(spark, sf_dir, tmp_path):
-    made = ["one two three four [3] five [9], six [1, 7].", "a `x [4]` b [5] ``c ` [1]`` d [6]", "say\n```\n[2]\n```\nthen [4] ~ ` [8]", "one", "", "a  b [ 5 , 6 ] [x] [] c [5]"]
-    spark.createDataFrame([(k, k % 3, "user", t) for k, t in enumerate(made)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    for at in (str(tmp_path), sf_dir):
-        turns = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{at}/conversations.parquet").where("role = 'user'").collect()}
-        got = {n: {(r.conv_id, r.turn): r for r in registry.QUERIES[n](spark, at).collect()} for n in ("citation_markers_all", "citation_verify", "groundedness_all")}
-        assert all(set(g) == set(turns) for g in got.values())
-        for (c, t), text in turns.items():
-            w = text.split(" ")
-            cited = " ".join([*w[:1], f"[{t + 1}]", *w[1:3], f"[2, {c % 9}]", *w[3:]])
-            marks = [[int(x) for x in re.findall(r"\d+", m)] for m in re.findall(r"\[[ \t]*\d+(?:[ \t]*,[ \t]*\d+)*[ \t]*\]", outside_code(cited))]
-            every, kept = [x for m in marks for x in m], [x for m in marks for x in dict.fromkeys(m) if 1 <= x <= 5]
-            assert got["citation_markers_all"][c, t].numbers == ",".join(map(str, every))
-            one = got["citation_verify"][c, t]
-            assert one.used == ",".join(map(str, sorted(set(kept))))
-            assert [int(x) for x in re.findall(r"\[(\d+)\]", outside_code(one.clean))] == kept
-            if not re.search(r"[\[`~\0]", text):
-                assert re.sub(r"\[\d+\]|\s", "", one.clean) == re.sub(r"\s", "", text)
-            assert got["groundedness_all"][c, t].groundedness == round(len(kept) / len(every), 6)
+def test_citations_see_whole_answers(spark):
+    made = ["one two three four [3] five [9], six [1, 7].", "a `x [4]` b [5] ``c ` [1]`` d [6]", "say\n```\n[2]\n```\nthen [4] ~ ` [8]", "one", "", "a  b [ 5 , 6 ] [x] [] c [5]", "~~~\n[1]\n~~~~\n [9] x `[2]` [3]", "[9] [8] y", "```\nopen [1]"]
+    df = spark.createDataFrame(list(enumerate(made)), "k int, t string")
+    got = {r.k: r for r in df.select("k", citations.find_markers(F.col("t")).alias("m"), citations.verify(F.col("t"), F.lit(5)).alias("v")).collect()}
+    for k, text in enumerate(made):
+        marks = [[int(x) for x in re.findall(r"\d+", m)] for m in re.findall(r"\[[ \t]*\d+(?:[ \t]*,[ \t]*\d+)*[ \t]*\]", outside_code(text))]
+        every, kept = [x for m in marks for x in m], [x for m in marks for x in dict.fromkeys(m) if 1 <= x <= 5]
+        assert got[k].m == every and got[k].v.used == sorted(set(kept))
+        assert [int(x) for x in re.findall(r"\[(\d+)\]", outside_code(got[k].v.text))] == kept
+        assert (got[k].v.emitted, got[k].v.grounded) == (len(every), len(kept))
 
 
 def test_two_arms(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").toPandas()
     qs = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").toPandas()
-    e = seams.HashingEmbedder(max_len=10**9)
+    e = seams.LetterEmbedder()
     d, q = (e.embed(list(x)).astype(float) for x in (docs.text, qs.text))
     d, q = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (d, q))
     points, ids = np.round(q @ d.T, 6), docs.doc_id.to_numpy()
@@ -126,21 +129,19 @@ def test_two_arms(spark, sf_dir):
     for r in duckdb.connect().execute(registry.ORACLE["bm25_topk"].replace("FROM documents", f"FROM '{sf_dir}/documents.parquet'").replace("FROM benchmark", f"FROM '{sf_dir}/benchmark.parquet'") + " ORDER BY query_id, rank").fetchall():
         lexical[r[0]].append(r[1])
     assert any(set(dense[i]) - set(lexical[i]) for i in dense) and any(set(lexical[i]) - set(dense[i]) for i in dense)
-    for name, weights, k in (("hybrid_topk_arms", (1, 1), 20), ("rrf_fuse_arms", (1, 1), 20), ("rrf_weighted_arms", (3, 1), 10)):
-        got = registry.QUERIES[name](spark, sf_dir).toPandas().sort_values(["query_id", "rank"])
-        for i in dense:
-            score, seen = {}, {}
-            for n, arm in enumerate((dense[i], lexical[i])):
-                for rank, x in enumerate(arm, 1):
-                    score[x] = score.get(x, 0) + weights[n] / (60 + rank)
-                    seen.setdefault(x, (n, rank))
-            want = sorted(score, key=lambda x: (-round(score[x], 9), seen[x], x))[:k]
-            assert list(got[got.query_id == i].row_id) == want
+    got = registry.QUERIES["hybrid_topk"](spark, sf_dir).toPandas().sort_values(["query_id", "rank"])
+    for i in dense:
+        score, seen = {}, {}
+        for n, arm in enumerate((dense[i], lexical[i])):
+            for rank, x in enumerate(arm, 1):
+                score[x] = score.get(x, 0) + 1 / (60 + rank)
+                seen.setdefault(x, (n, rank))
+        assert list(got[got.query_id == i].row_id) == sorted(score, key=lambda x: (-round(score[x], 9), seen[x], x))[:20]
 
 
 def test_all_tokens_and_whole_headings(spark, tmp_path):
     docs = [(1, " ".join(f"w{k}" for k in range(30))), (2, " " * 25 + "late words")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r for r in registry.QUERIES["tokenize_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r for r in registry.QUERIES["tokenize"](spark, str(tmp_path)).collect()}
     assert got[1].n == 30 and got[1].tokens == docs[0][1] and got[2].tokens == "late words"
-    assert {r.doc_id: r.level for r in registry.QUERIES["heading_level_all"](spark, str(tmp_path)).collect()} == {1: 2, 2: 3}
+    assert {r.doc_id: r.level for r in registry.QUERIES["heading_level"](spark, str(tmp_path)).collect()} == {1: 2, 2: 3}
