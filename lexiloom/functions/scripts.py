@@ -41,7 +41,12 @@ SPACED_SCRIPT = ((0x0590, 0x05FF), (0x0600, 0x06FF), (0x0900, 0x097F), (0x0980,
 MIN_CHARS_PER_PAGE, LEGACY_MAX, MIXED_MAX = 50, 0.25, 0.15
 #: Unicode white space, in a form that both Java and RE2 read.
 SPACE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-NOT_SPACE = SPACE.replace("[", "[^", 1)
+#: All others, as ranges: printable ASCII first, which Java's matcher then decides at once.
+NOT_SPACE = r"[\x{21}-\x{7E}\x{A1}-\x{167F}\x{1681}-\x{1FFF}\x{200B}-\x{2027}\x{202A}-\x{202E}\x{2030}-\x{205E}\x{2060}-\x{2FFF}\x{3001}-\x{10FFFF}\x{00}-\x{08}\x{0E}-\x{1B}\x{7F}-\x{84}\x{86}-\x{9F}]"
+#: Before a class that holds neither: passes over ASCII signs and Latin letters without trying its ranges.
+SKIP = r"(?![!-~\x{C0}-\x{24F}])"
+#: A run of white space, for Java.
+GAP = f"{SKIP}{SPACE}++"
 
 
 def char_class(ranges: tuple[tuple[int, int], ...]) -> str:
@@ -55,11 +60,16 @@ def count(text: Column, pattern: str) -> Column:
 def held(text: Column, ranges: tuple[tuple[int, int], ...]) -> Column:
     """Characters within ranges: what is shorter once their runs are gone. One match a run, not one a character."""
     text = F.coalesce(text, F.lit(""))
-    return (F.length(text) - F.length(F.regexp_replace(text, char_class(ranges) + "+", ""))).cast("long")
+    skip = "" if ranges == BUCKETS["latn"] else SKIP
+    return (F.length(text) - F.length(F.regexp_replace(text, f"{skip}{char_class(ranges)}+", ""))).cast("long")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is worked out once a row, however often body names it."""
+    """body of a value that is worked out once a row, however often body names it.
+
+    It also keeps body out of the generated code: methods that outgrow what the JVM compiles run
+    ten times slower.
+    """
     return F.transform(F.array(value), body)[0]
 
 
@@ -75,9 +85,13 @@ def detect(text: Column) -> Column:
 
     Most texts have letters of no other script than Latin: one search tells, and nothing is counted.
     """
-    other = "[" + "".join(char_class(r)[1:-1] for b, r in BUCKETS.items() if b != "latn") + "]"
-    latin = F.when(text.rlike(char_class(BUCKETS["latn"])), "latn").otherwise("unknown")
-    return F.when(F.coalesce(text, F.lit("")) == "", "unknown").when(~text.rlike(other), latin).otherwise(let(histogram(text), lambda h: _most(h, text)))
+    other = f"{SKIP}[" + "".join(char_class(r)[1:-1] for b, r in BUCKETS.items() if b != "latn") + "]"
+
+    def of(t: Column) -> Column:
+        latin = F.when(t.rlike(char_class(BUCKETS["latn"])), "latn").otherwise("unknown")
+        return F.when(t == "", "unknown").when(~t.rlike(other), latin).otherwise(let(histogram(t), lambda h: _most(h, t)))
+
+    return let(F.coalesce(text, F.lit("")), of)
 
 
 def _most(h: Column, text: Column) -> Column:
@@ -107,7 +121,7 @@ def legacy_ratio(text: Column) -> Column:
 
 def mixed_ratio(text: Column) -> Column:
     """Of the tokens with a spaced-script character, the share with an ASCII letter too."""
-    tokens = F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda t: t.rlike(char_class(SPACED_SCRIPT)))
+    tokens = F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda t: t.rlike(char_class(SPACED_SCRIPT)))
     fused = F.filter(tokens, lambda t: t.rlike("[A-Za-z]"))
     return F.when(F.size(tokens) > 0, F.size(fused) / F.size(tokens)).otherwise(0.0)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .scripts import NOT_SPACE, SPACE, count, detect, histogram, language_of, let
+from .scripts import GAP, NOT_SPACE, SKIP, SPACE, count, detect, histogram, language_of, let
 
 # Fixed values
 NO_SPACE_SCRIPTS = ("hans", "hant", "jpan", "thai")
@@ -42,7 +42,7 @@ def nfc(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """Runs of Unicode white space to one space, trimmed."""
-    return F.btrim(F.regexp_replace(text, SPACE + "+", " "))
+    return F.btrim(F.regexp_replace(text, GAP, " "))
 
 
 def join_lines(text: Column, script: Column) -> Column:
@@ -50,9 +50,9 @@ def join_lines(text: Column, script: Column) -> Column:
 
     White space around a line break, blank lines with it, is one match: no array of lines is made.
     """
-    lines = F.regexp_replace(text, f"(?<!{SPACE}){BLANK}*+(?:{LINE_BREAK}){SPACE}*+", "\n")
+    lines = F.regexp_replace(text, f"{SKIP}(?<!{SPACE}){BLANK}*+(?:{LINE_BREAK}){SPACE}*+", "\n")
     # the first line and the last one have no line break on their outer side
-    lines = F.regexp_replace(lines, f"^{SPACE}++|(?<!{SPACE}){SPACE}++$", "")
+    lines = F.regexp_replace(lines, f"^{SPACE}++|{SKIP}(?<!{SPACE}){SPACE}++$", "")
     bent = lines.rlike("[-‐‑]\n")
     unbroken = F.regexp_replace(F.regexp_replace(lines, r"(?<=\p{L})[-‐‑]\n(?=\p{Ll})", ""), r"(?<=\p{L}[-‐‑])\n(?=\p{L})", "")
     joined = F.when(script.isin(*HYPHENATING_SCRIPTS) & bent, unbroken).otherwise(lines)
@@ -61,7 +61,8 @@ def join_lines(text: Column, script: Column) -> Column:
 
 def normalise(composed: Column, script: Column) -> Column:
     """Composed text without soft hyphens and byte order marks, on one line."""
-    return collapse(join_lines(F.regexp_replace(composed, r"[\x{AD}\x{FEFF}]", ""), script))
+    plain = F.struct(F.regexp_replace(composed, r"[\x{AD}\x{FEFF}]", "").alias("t"), script.alias("s"))
+    return let(plain, lambda x: collapse(join_lines(x["t"], x["s"])))
 
 
 def fold(text: Column) -> Column:
@@ -71,7 +72,7 @@ def fold(text: Column) -> Column:
 
 def bigrams(text: Column) -> Column:
     """Overlapping pairs of characters, white space left out; a lone character stays."""
-    solid = F.regexp_replace(text, SPACE, "")
+    solid = F.regexp_replace(text, GAP, "")
     n = F.length(solid)
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(solid, i, F.lit(2)))
     return F.when(n == 0, F.array().cast("array<string>")).otherwise(pairs)
@@ -80,7 +81,7 @@ def bigrams(text: Column) -> Column:
 def tokens(text: Column, script: Column) -> Column:
     # folded as a whole: compiled code, where functions on array elements are interpreted
     folded = fold(F.coalesce(text, F.lit("")))
-    words = F.filter(F.transform(F.split(folded, SPACE + "+"), lambda t: F.btrim(t, F.lit(EDGE_PUNCTUATION))), lambda t: t != "")
+    words = F.filter(F.transform(F.split(folded, GAP), lambda t: F.btrim(t, F.lit(EDGE_PUNCTUATION))), lambda t: t != "")
     pairs = bigrams(folded)
     return F.when(script.isin(*NON_SEGMENTING_SCRIPTS), pairs).otherwise(words)
 

@@ -150,7 +150,8 @@ def lexical_hits(queries: DataFrame, rows: DataFrame, k: int = 20, stats: DataFr
     each = tokenised(rows, "row_id").select("row_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
     known = each.join(F.broadcast(wanted) if few else wanted, "term", "left")
     counts = known.select("row_id", "doc_len", F.when(F.col("asked"), F.col("term")).alias("term")).groupBy("row_id", "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
-    counts = staged(counts, "term_counts")
+    # together by row: what a task adds up below is whole before it is shuffled
+    counts = staged(counts.repartition("row_id"), "term_counts")
     if stats is None:
         sizes = rows.agg(F.count("*").alias("n")).crossJoin(counts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("t")))
         stats = sizes.select("n", (F.col("t") / F.col("n")).alias("avg_len"))
