@@ -29,6 +29,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +56,13 @@ CLASS = np.full(256, OTHER, np.uint8)
 CLASS[[9, 10, 11, 12, 13, 32]] = SPACE_CLASS
 CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = LETTER
 CLASS[48:58] = DIGIT
-BATCH_BYTES = 1_000_000
+
+
+class Limits(NamedTuple):
+    """What a worker may hold: pieces of each of two generations, bytes of texts cut together."""
+
+    pieces: int = CACHE_PIECES
+    batch_bytes: int = 2_000_000
 
 
 def cut_points(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
@@ -105,10 +112,10 @@ class Encoder:
     distinct piece of a batch once. Texts on which the cut could differ are encoded whole.
     """
 
-    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
+    def __init__(self, path: str, limits: Limits = Limits()):
         from tokenizers import Tokenizer
 
-        self.cache_pieces = cache_pieces
+        self.limits = limits
 
         self.tok = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
@@ -179,7 +186,7 @@ class Encoder:
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """texts: UTF-8."""
-        if len(self.cache) > self.cache_pieces:
+        if len(self.cache) > self.limits.pieces:
             self.cache, self.older = {}, self.cache
         texts = [t or b"" for t in texts]
         alike = [bool(t) and self.simple(t) for t in texts]
@@ -194,11 +201,11 @@ def _byte_decoder() -> set[str]:
     return {chr(b) for b in keep} | {chr(256 + i) for i in range(256 - len(keep))}
 
 
-def worker_encoder(path: str, cache_pieces: int = CACHE_PIECES) -> Encoder:
+def worker_encoder(path: str, limits: Limits = Limits()) -> Encoder:
     """One encoder per Python worker, kept between tasks."""
     store = worker_store("token files")
-    if getattr(store, "encoder_key", None) != (path, cache_pieces):
-        store.encoder, store.encoder_key = Encoder(path, cache_pieces), (path, cache_pieces)
+    if getattr(store, "encoder_key", None) != (path, limits):
+        store.encoder, store.encoder_key = Encoder(path, limits), (path, limits)
     return store.encoder
 
 
@@ -206,15 +213,15 @@ def pack_ids(ids: np.ndarray, wide: bool) -> bytes:
     return ids.astype("<u4" if wide else "<u2").tobytes()
 
 
-def _tokenise(path: str, end_id: int, wide: bool, bounds: np.ndarray, cache_pieces: int) -> Callable:
+def _tokenise(path: str, end_id: int, wide: bool, bounds: np.ndarray, limits: Limits) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(path, cache_pieces)
+        encoder = worker_encoder(path, limits)
         for batch in batches:
             sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
             i = 0
             while i < batch.num_rows:
-                # as many rows as BATCH_BYTES hold, one at least
-                k = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + BATCH_BYTES)))
+                # as many rows as batch_bytes hold, one at least
+                k = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + limits.batch_bytes)))
                 b = batch.slice(i, k - i)
                 i = k
                 ids = [np.append(x, np.uint32(end_id)) for x in encoder.encode(b.column("text").cast(pa.binary()).to_pylist())]
@@ -247,14 +254,14 @@ def needs_wide(vocabulary: str, end_id: int = END_ID) -> bool:
     return max(Tokenizer.from_file(vocabulary).get_vocab(with_added_tokens=True).values(), default=0) > 0xFFFF or end_id > 0xFFFF
 
 
-def token_ids(docs: DataFrame, vocabulary: str, end_id: int = END_ID, wide: bool = False, cache_pieces: int = CACHE_PIECES) -> DataFrame:
+def token_ids(docs: DataFrame, vocabulary: str, end_id: int = END_ID, wide: bool = False, limits: Limits = Limits()) -> DataFrame:
     """Staged ids of every row, in ascending (part, pos)."""
     small_batches(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 100 * n)).first()[0] or []
     bounds = np.unique(np.array(cuts if n > 1 else [], np.int64))
-    coded = rows.mapInArrow(_tokenise(vocabulary, end_id, wide, bounds, cache_pieces), "doc_id long, h long, part int, n_tokens long, ids binary")
+    coded = rows.mapInArrow(_tokenise(vocabulary, end_id, wide, bounds, limits), "doc_id long, h long, part int, n_tokens long, ids binary")
     ranged = coded.repartitionById(n, "part").sortWithinPartitions("doc_id", "h")
     return staged(ranged.select("doc_id", "part", "n_tokens", "ids").mapInArrow(_number, IDS_SCHEMA), "token_ids")
 
@@ -327,15 +334,14 @@ def _blocks(rank_of: np.ndarray, wide: bool, block_ids: int) -> Callable:
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, block_ids: int = BLOCK_IDS, cache_pieces: int = CACHE_PIECES) -> str:
+def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, block_ids: int = BLOCK_IDS, limits: Limits = Limits()) -> str:
     """Encode docs into path/blocks and path/ranks. Ids move as two bytes where the vocabulary allows it, else as four.
 
-    cache_pieces bounds the pieces that a worker keeps in each of two generations; results do not
-    depend on it.
+    limits bounds what a worker holds; results do not depend on it.
     """
     spark, vocabulary = docs.sparkSession, vocabulary or vocabulary_path()
     wide = needs_wide(vocabulary, end_id)
-    tokens = token_ids(docs, vocabulary, end_id, wide, cache_pieces)
+    tokens = token_ids(docs, vocabulary, end_id, wide, limits)
     ranks = ranked_ids(tokens, wide)
     spark.createDataFrame(ranks, RANKS_SCHEMA).coalesce(1).write.parquet(f"{path}/ranks")
     rank_of = np.zeros(max((r[0] for r in ranks), default=0) + 1, np.uint32)
@@ -395,7 +401,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_digests(docs: DataFrame, vocabulary: str | None = None, cache_pieces: int = CACHE_PIECES) -> DataFrame:
+def token_digests(docs: DataFrame, vocabulary: str | None = None, limits: Limits = Limits()) -> DataFrame:
     """Write docs as token files into the shared folder and read them back."""
     spark = docs.sparkSession
-    return read_digests(spark, write_token_files(docs, fresh_path(spark, "token_files"), vocabulary, cache_pieces=cache_pieces))
+    return read_digests(spark, write_token_files(docs, fresh_path(spark, "token_files"), vocabulary, limits=limits))
