@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from lexiloom.llm import decontaminate, mixing, near_dup, quality, token_files
 from lexiloom.llm.common import staged, table
 
-#: Pieces that a worker keeps: fewer than alone, for the stages before leave executors little memory.
-CACHE_PIECES = 60_000
+#: Token output holds less in a worker than alone: the stages before leave executors little memory.
+LIMITS = token_files.Limits(60_000, 1_000_000)
 #: Columns that operators read; others are carried through.
 READ = ("doc_id", "text", "lang", "source")
 TARGET = mixing.Target(share=0.9, max_epochs=1)
@@ -71,7 +71,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_files.token_digests(docs, cache_pieces=CACHE_PIECES)
+    return token_files.token_digests(docs, limits=LIMITS)
 
 
 STAGES = [
