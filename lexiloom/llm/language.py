@@ -43,9 +43,10 @@ CHAR_SCALE = 16.0
 LONGEST = 48
 CACHE_WORDS = 1_000_000
 MARK = "▁"
+LETTERS = re.compile(r"[^\W\d_]+")
 #: Word characters that are numbers but no letters, such as fractions and circled digits.
-_NUMBERS = "".join(c for c in map(chr, range(0xA0, 0x110000)) if c.isnumeric() and not c.isalpha())
-LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_NUMBERS = frozenset(c for c in map(chr, range(0xA0, 0x110000)) if c.isnumeric() and not c.isalpha())
+_BLANKED = dict.fromkeys(map(ord, _NUMBERS), " ")
 
 
 def vocabulary_path() -> str:
@@ -169,8 +170,10 @@ def word_log_probs(lattice: Lattice, prob: np.ndarray, words: list[str]) -> np.n
 
 def words_of(text: str | None) -> list[str]:
     """Marked words, in stretches of LONGEST characters at most."""
-    out = []
-    for w in LETTERS.findall((text or "").lower()):
+    out, text = [], (text or "").lower()
+    if not text.isascii() and not _NUMBERS.isdisjoint(text):
+        text = text.translate(_BLANKED)
+    for w in LETTERS.findall(text):
         if len(w) < LONGEST:
             out.append(MARK + w)
         else:
