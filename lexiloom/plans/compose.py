@@ -15,6 +15,7 @@ from ..operators.seams import HashingEmbedder, TextEmbedder, embed, overlap_scor
 from ..schema import CHUNK
 from ..sources.files import exists
 from ..sources.readers import PIPELINE_VERSION
+from ..sources.staging import staged
 
 ARMS = ("rerank", "hybrid", "rewrite")
 
@@ -78,7 +79,8 @@ def retrieve(queries: DataFrame, rows: DataFrame, cfg: Config = Config(), embedd
     arms, embedder = cfg.retrieve, embedder or HashingEmbedder()
     lost = None
     if arms.rewrite.enabled:
-        queries = retrieval.rewritten(queries, rewriter(F.col("text")), arms.rewrite.trigger_max_tokens)
+        # written once: every arm reads the rewritten text, and the rewriter runs a single time
+        queries = staged(retrieval.rewritten(queries, rewriter(F.col("text")), arms.rewrite.trigger_max_tokens), "rewritten")
         lost = queries.select("query_id", F.col("degraded").alias("lost"))
     vectors = queries.select("query_id", embed(F.col("text"), embedder, embedder.query_prefix).alias("vector"))
     hits = retrieval.dense_hits(vectors, rows, arms.k)
