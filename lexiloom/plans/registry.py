@@ -558,4 +558,5 @@ def device_fallback(spark, sf):
     return traces.fallbacks(_traces(spark, sf))
 
 
+from . import pages as pages  # noqa: E402  (registers its queries)
 from . import stored as stored  # noqa: E402  (registers its queries)

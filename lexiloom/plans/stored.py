@@ -7,9 +7,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from ..config import ChunkConfig, Config
+from ..config import ChunkConfig, Config, ModelsConfig, ModelSpec
 from ..functions import scripts, text as tx
-from ..operators import answer, blocks, cache, evaluate, index, retrieval, traces
+from ..operators import answer, blocks, cache, devices, evaluate, index, retrieval, traces
 from ..operators.seams import LetterEmbedder
 from ..schema import RULES, violations
 from ..sources import files, readers, sinks
@@ -349,3 +349,23 @@ def ingest_index(spark, sf):
     rows = index.load_index(spark, path, LetterEmbedder())
     letters = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).cast("long")
     return rows.select("row_id", "doc_id", "chunk_no", "chunk_id", "page_start", "page_end", F.array_join("heading_path", " > ").alias("path"), "token_count", letters.alias("n_letters"))
+
+
+def _devices_probe(device):
+    if device == "NPU":
+        raise RuntimeError("no driver")
+    return devices.timed_generation(lambda d, prompt: [0.25, 0.5, 0.75])(device)
+
+
+@query(
+    """SELECT * REPLACE (CAST(ttft_ms AS DOUBLE) AS ttft_ms, CAST(tokens_per_s AS DOUBLE) AS tokens_per_s) FROM (VALUES ('CPU', 'CPU', 'measured', true, 250.0, 4.0, 3, '', 'read=5;pack=2', 'stored'), ('NPU', '', 'failed', true, -1.0, -1.0, -1, 'NPU: RuntimeError: no driver', 'read=5;pack=2', 'stored'),
+    ('GPU', '', 'unavailable', false, -1.0, -1.0, -1, 'GPU is not on this host: nothing was measured', 'read=5;pack=2', 'stored')) t(device, resolved_device, status, available, ttft_ms, tokens_per_s, n_tokens, detail, stages, ingest_source)"""
+)
+def device_bench(spark, sf):
+    """A bench run of two devices found and one that only the settings name, written and read back."""
+    cfg = Config(models=ModelsConfig(generator=ModelSpec("extractive", device="GPU")))
+    rows = devices.report(spark, cfg, {"CPU": "cpu", "NPU": "npu"}, _devices_probe, lambda: ([("read", 5), ("pack", 2)], "stored"))
+    sinks.write_run(rows, runs := fresh_path(spark, "bench"), "bench")
+    back = sinks.latest_run(spark.read.parquet(runs), "bench").fillna(-1, ["ttft_ms", "tokens_per_s", "n_tokens"]).fillna("", ["resolved_device"])
+    stages = F.array_join(F.transform("stages", lambda s: F.concat(s["stage"], F.lit("="), s["duration_ms"].cast("int"))), ";")
+    return back.select("device", "resolved_device", "status", "available", "ttft_ms", "tokens_per_s", "n_tokens", "detail", stages.alias("stages"), "ingest_source")

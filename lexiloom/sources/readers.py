@@ -81,6 +81,47 @@ def baseline(spark: SparkSession, path: str) -> dict:
     return json.loads(read_text(spark, path)).get("metrics", {}) if exists(spark, path) else {}
 
 
+# Where a recogniser's folder keeps its dictionary, in order of preference.
+CHARSET_FILES = ("config.json", "inference.yml", "*dict*.txt")
+CHARSET_KEYS = ("PostProcess", "character_dict")
+
+
+def charset_lines(spark: SparkSession, folder: str) -> list[str]:
+    """Dictionary of a CTC recogniser; a settings file that cannot be read or has none is passed over."""
+    import json
+
+    from .files import matching, read_text
+
+    for pattern in CHARSET_FILES:
+        for path in matching(spark, f"{folder.rstrip('/')}/{pattern}")[:1]:
+            text = read_text(spark, path)
+            if path.endswith(".txt"):
+                found = text.splitlines()
+            else:
+                try:
+                    data = json.loads(text) if path.endswith(".json") else _yaml(text)
+                except ValueError:
+                    continue
+                for key in CHARSET_KEYS:
+                    data = (data if isinstance(data, dict) else {}).get(key)
+                found = data or []
+            if found:
+                return [str(c) for c in found]
+    raise ValueError(f"{folder}: no dictionary in {', '.join(CHARSET_FILES)}")
+
+
+def _yaml(text: str):
+    """Where a parser is installed; without one the file counts as unreadable."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise ValueError("no YAML parser") from e
+    try:
+        return yaml.safe_load(text)
+    except yaml.YAMLError as e:
+        raise ValueError(str(e)) from e
+
+
 def describe(blocks: DataFrame, first_pages: int = 10, least_chars: int = 100) -> DataFrame:
     """(doc_id, n_pages, mean_chars, text_layer) over the first pages of each document; a text layer has more than least_chars a page."""
     early = blocks.where(F.col("page") <= first_pages)
