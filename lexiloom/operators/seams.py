@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import inspect
-import re
 import sys
 from collections.abc import Iterator
 from typing import Protocol
@@ -17,6 +16,7 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions import text as tx
 from ..functions.scripts import detect
+from ..schema import BBOX, struct
 
 
 class TextEmbedder(Protocol):
@@ -33,7 +33,10 @@ class Generator(Protocol):
 
 
 class PageReader(Protocol):
-    """PDF or OCR engines: bytes of a file to block rows."""
+    """A PDF engine: bytes of a file to its text blocks, in page units.
+
+    (page from 1, page width, page height, box, text, font size, share of bold characters, boxes of tables).
+    """
 
     def read(self, content: bytes) -> Iterator[tuple]: ...
 
@@ -129,18 +132,33 @@ def pass_through(query: Column) -> Column:
     return query
 
 
-def read_pages(files: DataFrame, reader: PageReader | None, schema: str) -> DataFrame:
-    """binaryFile rows through an engine, one file at a time on the executors."""
+#: What a reader may raise on a file that it cannot read; other faults are bugs and pass.
+UNREADABLE = (ValueError, RuntimeError, OSError)
+ITEM = struct(f"doc_id string, page int, width double, height double, bbox {BBOX}, text string, size double, bold double, tables array<{BBOX}>, fault string")
+
+
+def read_pages(files: DataFrame, reader: PageReader | None) -> DataFrame:
+    """files(doc_id, content) to ITEM rows, one file at a time on the executors.
+
+    A file that cannot be read has one row, with its fault, and stops nothing.
+    """
     if reader is None:
-        raise Unavailable("no PDF or OCR engine is installed: pass a PageReader")
+        raise Unavailable("no PDF engine is installed: pass a PageReader")
+
+    def box(b) -> dict:
+        return dict(zip(("x0", "y0", "x1", "y1"), map(float, b), strict=True))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [re.split(r"\s+", f.strip())[0] for f in schema.split(",")]
         for frame in batches:
-            for content in frame.content:
-                yield pd.DataFrame(list(reader.read(content)), columns=names)
-
-    return files.select("content").mapInPandas(run, schema)
+            for doc_id, content in zip(frame.doc_id, frame.content, strict=True):
+                try:
+                    rows = [(doc_id, page, w, h, box(b), text, size, bold, [box(t) for t in tables], None) for page, w, h, b, text, size, bold, tables in reader.read(content)]
+                except UNREADABLE as e:
+                    rows = [(doc_id, *[None] * 8, f"{type(e).__name__}: {e}")]
+                for i in range(0, len(rows), 1000):
+                    yield pd.DataFrame(rows[i : i + 1000], columns=ITEM.fieldNames())
+
+    return files.select("doc_id", "content").mapInPandas(run, ITEM)
 
 
 def ctc_decode(indices: list[int], scores: list[float], charset: list[str]) -> tuple[str, float]:

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..config import Config
-from ..operators import answer, blocks, cache, chunks, evaluate, index, retrieval
-from ..operators.seams import HashingEmbedder, TextEmbedder, embed, overlap_score, pass_through
-from ..schema import CHUNK
+from ..operators import answer, blocks, cache, chunks, evaluate, index, ocr, retrieval
+from ..operators.seams import HashingEmbedder, PageReader, TextEmbedder, embed, overlap_score, pass_through, read_pages
+from ..schema import BLOCK, CHUNK, conform
+from ..sources import readers
 from ..sources.files import exists
 from ..sources.readers import PIPELINE_VERSION
 from ..sources.staging import staged
@@ -40,14 +41,15 @@ def ingest(docs: DataFrame, root: str, cfg: Config = Config(), embedder: TextEmb
     return index_blocks(rows, root, cfg, embedder)
 
 
-def page_blocks(items: DataFrame, height: float, *ties: str) -> DataFrame:
-    """items(doc_id, page, bbox, text, size, bold) of pages of one height to normalised blocks.
+def page_blocks(items: DataFrame, height: Column | float, *ties: str) -> DataFrame:
+    """items(doc_id, page, bbox, text, size, bold, in_table if known) to normalised blocks; height is a page's.
 
     Items are put in reading order and classified by typography; documents whose text layer cannot
     be trusted are left out, for OCR to read.
     """
     placed = blocks.reading_order(items, height, *ties)
-    kind = blocks.classify(F.col("text"), F.col("size"), F.col("bold"), F.col("body_size"), F.lit(False))
+    table = F.coalesce("in_table", F.lit(False)) if "in_table" in items.columns else F.lit(False)
+    kind = blocks.classify(F.col("text"), F.col("size"), F.col("bold"), F.col("body_size"), table)
     rows = placed.join(blocks.body_size(placed), "doc_id").withColumn("kind", kind).drop("body_size", "size", "bold")
     gated = blocks.text_layer_gate(rows, rows.groupBy("doc_id").agg(F.max("page").alias("n_pages"))).where("has_text_layer")
     rows = rows.join(gated.select("doc_id"), "doc_id", "left_semi").withColumn("block_id", blocks.block_id())
@@ -61,6 +63,41 @@ def ingest_items(items: DataFrame, root: str, height: float, *ties: str, cfg: Co
     return index_blocks(rows.drop("bbox"), root, cfg, embedder)
 
 
+def ingest_files(spark: SparkSession, targets: Sequence[str], root: str, reader: PageReader, renderer: ocr.Renderer | None = None, engine: ocr.Engine | None = None, cfg: Config = Config(), embedder: TextEmbedder | None = None) -> tuple[str, dict, DataFrame]:
+    """PDF files below the targets to one index, and files(doc_id, filename, outcome).
+
+    Documents whose text layer can be trusted are taken from it, the others from their page images where
+    an engine is given. outcome: text, ocr, skipped (neither), corrupt, unsupported, or the reader's fault.
+    """
+    home = root.rstrip("/")
+    files = staged(readers.pdf_files(spark, *targets), "files")
+    ok = files.where("status = 'ok'").select("doc_id", "path", readers.script_hint(F.col("path")).alias("script_hint"))
+    items = staged(read_pages(readers.with_content(ok, spark, *targets), reader), "items")
+
+    def part(b: Column) -> Column:
+        return blocks.unit_bbox(b["x0"], b["y0"], b["x1"], b["y1"], F.col("width"), F.col("height"))
+
+    tables = F.filter(F.transform("tables", part), lambda t: t.isNotNull())
+    placed = items.where("fault IS NULL AND text IS NOT NULL").withColumns({"bbox": part(F.col("bbox")), "tables": tables}).where("bbox IS NOT NULL")
+    layer = page_blocks(placed.withColumn("in_table", blocks.in_table(F.col("bbox"), F.col("tables"))), F.col("height"), "bbox.y0", "text")
+    rows = staged(conform(layer.withColumn("ocr_confidence", F.lit(None)), BLOCK), "layer")
+    outcome = files.select("doc_id", "filename", "status")
+    faults = items.where("fault IS NOT NULL").select("doc_id", "fault")
+    outcome = outcome.join(faults, "doc_id", "left").join(rows.select("doc_id", F.lit(True).alias("layered")).distinct(), "doc_id", "left")
+    if renderer and engine:
+        rest = outcome.where("status = 'ok' AND fault IS NULL AND layered IS NULL").select("doc_id")
+        images = readers.with_content(ok.join(rest, "doc_id", "left_semi"), spark, *targets)
+        seen = staged(blocks.normalise_blocks(ocr.read_documents(images, renderer, engine, f"{home}-cache/lines")), "seen")
+        rows = rows.unionByName(seen.select(rows.columns))
+        outcome = outcome.join(seen.select("doc_id", F.lit(True).alias("read")).distinct(), "doc_id", "left")
+    else:
+        outcome = outcome.withColumn("read", F.lit(None).cast("boolean"))
+    path, manifest = index_blocks(rows, root, cfg, embedder)
+    said = F.when(F.col("status") != "ok", F.col("status")).when(F.col("fault").isNotNull(), F.col("fault"))
+    said = said.when(F.col("layered"), "text").when(F.col("read"), "ocr").otherwise("skipped")
+    return path, manifest, outcome.select("doc_id", "filename", said.alias("outcome"))
+
+
 def only_index(spark: SparkSession, root: str) -> str:
     """The one complete index below root; none or several are refused."""
     at = spark._jvm.org.apache.hadoop.fs.Path(root)

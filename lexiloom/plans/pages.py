@@ -5,13 +5,19 @@ A printed page has a strip of pixels for each line of text, whose values are the
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import scripts
-from ..operators import blocks, ocr
+from ..operators import blocks, index, ocr
+from ..operators.seams import LetterEmbedder
+from ..sources import files
+from ..sources.readers import table
 from ..sources.staging import fresh_path
-from . import sql
+from . import compose, sql
 from .base import docs_of, query
 
 GAP, TALL, USUAL = 4, 6, 4
@@ -41,6 +47,26 @@ class PrintedPages:
         return out
 
 
+class PrintedFiles(PrintedPages):
+    """Reader and renderer of files that hold, behind a line of magic, JSON with text items and what is printed."""
+
+    def _data(self, content: bytes) -> dict:
+        return json.loads(content.split(b"\n", 1)[1])
+
+    def read(self, content: bytes) -> Iterator[tuple]:
+        data = self._data(content)
+        if data.get("locked"):
+            raise ValueError("locked")
+        for page, y, text, size in data["items"]:
+            yield page, 200.0, 400.0, (10, y, 190, y + 9), text, size, 0.0, [(0, 300, 200, 400)]
+
+    def n_pages(self, content: bytes) -> int:
+        return super().n_pages(self._data(content).get("image", "").encode())
+
+    def render(self, content: bytes, page: int, dpi: int) -> np.ndarray:
+        return super().render(self._data(content).get("image", "").encode(), page, dpi)
+
+
 class Strips:
     """Detector: runs of pixel rows that are not empty."""
 
@@ -83,3 +109,25 @@ def ocr_pages(spark, sf):
     files = docs_of(spark, sf).where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc_id"), F.encode("text", "UTF-8").alias("content"), F.lit(None).cast("string").alias("script_hint"))
     out = ocr.read_documents(files, PrintedPages(), PRINTED, fresh_path(spark, "lines"), thresholds=LEAST)
     return out.select("doc_id", "page", "reading_order", "block_id", "kind", "script", "text", "ocr_confidence", F.round("bbox.x1", 6).alias("x1"), F.round("bbox.y1", 6).alias("y1"))
+
+
+WHOLE = ocr.Engine(Strips, lambda head: Bytes(3), fingerprint="printed/2")
+
+
+@query(
+    """WITH f AS (SELECT n_nationkey AS k, n_name, n_name || ' is printed in long lines' AS line FROM nation),
+    o AS (SELECT *, CASE k % 4 WHEN 0 THEN 'text' WHEN 2 THEN 'ValueError: locked' WHEN 3 THEN 'unsupported' ELSE CASE WHEN length(line) * 3 % 100 >= 30 THEN 'ocr' ELSE 'skipped' END END AS outcome FROM f)
+    SELECT k || '.pdf' AS filename, outcome, CASE outcome WHEN 'text' THEN n_name || repeat(' of layers', 40) WHEN 'ocr' THEN line ELSE '' END AS text FROM o"""
+)
+def ingest_files(spark, sf):
+    """A file for each nation, with a text layer, an image only, locked, or of another kind, to one index.
+
+    Some images are read with too little confidence: nothing is left of them.
+    """
+    home = fresh_path(spark, "files")
+    for r in table(spark, sf, "nation", "n_nationkey", "n_name").toLocalIterator():
+        body = ({"items": [[1, 5, r.n_name + " of layers" * 40, 9.0]]}, {"items": [], "image": f"{r.n_name} is printed in long lines"}, {"locked": r.n_name}, {"other": r.n_name})[r.n_nationkey % 4]
+        files.write_text(spark, f"{home}/{r.n_nationkey}.pdf", ("PK" if r.n_nationkey % 4 == 3 else "%PDF-1") + "\n" + json.dumps(body))
+    path, _, told = compose.ingest_files(spark, [home], fresh_path(spark, "index"), PrintedFiles(), PrintedFiles(), WHOLE, embedder=LetterEmbedder())
+    rows = index.load_index(spark, path, LetterEmbedder())
+    return told.join(rows.select("doc_id", "text"), "doc_id", "left").select("filename", "outcome", F.coalesce("text", F.lit("")).alias("text"))

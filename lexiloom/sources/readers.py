@@ -31,12 +31,10 @@ def pdf_files(spark: SparkSession, *targets: str) -> DataFrame:
     return first.select("doc_id", "f.*").orderBy("path")
 
 
-def with_content(files: DataFrame, spark: SparkSession) -> DataFrame:
-    """Bytes joined late, for the files that are read on."""
-    paths = [r.path for r in files.select("path").toLocalIterator()]
-    if not paths:
-        return files.withColumn("content", F.lit(None).cast("binary"))
-    return files.join(spark.read.format("binaryFile").load(paths).select("path", "content"), "path")
+def with_content(files: DataFrame, spark: SparkSession, *targets: str) -> DataFrame:
+    """Bytes joined late, for the files that are read on. The list of files is the side that may be broadcast."""
+    scan = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(list(targets))
+    return scan.select("path", "content").join(files, "path")
 
 
 def script_hint(path):

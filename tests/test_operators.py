@@ -333,7 +333,7 @@ def test_seams():
     assert (v[0] == v[2]).all() and v[1].sum() == 0 and abs((v[0] ** 2).sum() - 1) < 1e-6 and set(e.fingerprint()) == set(seams.FINGERPRINT)
     assert seams.ctc_decode([0, 1, 1, 0, 1, 2], [0.1, 0.9, 0.8, 0.1, 0.7, 0.5], ["", "a", "b"]) == ("aab", pytest.approx(0.7))
     with pytest.raises(seams.Unavailable):
-        seams.read_pages(None, None, "x int")
+        seams.read_pages(None, None)
 
 
 def test_compose(spark, tmp_path):

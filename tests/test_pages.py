@@ -9,8 +9,9 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from lexiloom.config import Config, ModelsConfig, ModelSpec
-from lexiloom.operators import devices, imaging, ocr
-from lexiloom.plans.pages import PRINTED, Bytes, PrintedPages, Strips
+from lexiloom.operators import devices, imaging, index, ocr, seams
+from lexiloom.plans import compose
+from lexiloom.plans.pages import PRINTED, Bytes, PrintedFiles, PrintedPages, Strips
 from lexiloom.sources import readers
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -150,3 +151,31 @@ def test_dictionaries(spark, tmp_path):
     assert readers.charset_lines(spark, at) == ["x", "y"]
     (tmp_path / "config.json").write_text(json.dumps({"PostProcess": {"character_dict": ["a", 1]}}))
     assert imaging.charset(readers.charset_lines(spark, at), 4) == ["", "a", "1", " "]
+
+
+def test_files_to_one_index(spark, tmp_path):
+    words = " ".join(f"word{k}" for k in range(60))
+    bodies = {
+        # the heading lies below in the file and above on the page; the last item is in a table
+        "a": {"items": [[1, 40, words, 9.0], [1, 5, "Title", 14.0], [1, 320, "cell", 9.0]], "image": "not read"},
+        "scan": {"items": [], "image": "first line\nsecond line"},
+        "thin": {"items": [[1, 5, "x", 9.0]], "image": "thin layer"},
+        "locked": {"locked": True},
+    }
+    home = tmp_path / "in"
+    home.mkdir()
+    for name, body in bodies.items():
+        (home / f"{name}.pdf").write_bytes(b"%PDF-1\n" + json.dumps(body).encode())
+    (home / "copy.pdf").write_bytes((home / "a.pdf").read_bytes())
+    (home / "zip.pdf").write_bytes(b"PK")
+    args = (spark, [f"file://{home}"], f"file://{tmp_path}/index", PrintedFiles())
+    path, manifest, told = compose.ingest_files(*args, PrintedFiles(), engine(unknown=1.0))
+    assert {r.filename: r.outcome for r in told.collect()} == {"a.pdf": "text", "scan.pdf": "ocr", "thin.pdf": "ocr", "locked.pdf": "ValueError: locked", "zip.pdf": "unsupported"}
+    rows = index.load_index(spark, path, seams.HashingEmbedder()).orderBy("row_id").collect()
+    assert sorted(r.text.split("\n")[0].split()[0] for r in rows) == ["Title", "first", "thin"]
+    [a] = [r for r in rows if r.text.startswith("Title")]
+    assert a.heading_path == ["Title"] and a.text.endswith("cell") and "not read" not in a.text
+    # nothing changed: the index is reused; without an engine scans are left out, and said to be
+    assert compose.ingest_files(*args, PrintedFiles(), engine(unknown=1.0))[0] == path
+    other, _, told = compose.ingest_files(*args[:2], f"file://{tmp_path}/plain", PrintedFiles())
+    assert {r.filename: r.outcome for r in told.collect()}["scan.pdf"] == "skipped" and index.load_index(spark, other, seams.HashingEmbedder()).count() == 1
