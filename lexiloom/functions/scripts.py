@@ -6,6 +6,7 @@ kana and hangul counts decide between them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -108,6 +109,24 @@ def _most(h: Column, text: Column) -> Column:
     return F.when(best["n"] > 0, best["s"]).otherwise("unknown")
 
 
+#: Runs of each raw bucket, for workers.
+PLAIN = {b: re.compile(f"[{''.join(f'{re.escape(chr(x))}-{re.escape(chr(y))}' for x, y in ranges)}]+") for b, ranges in BUCKETS.items()}
+
+
+def detect_plain(text: str | None) -> str:
+    """detect() of one text, for workers that have no column."""
+    t = text or ""
+    if t.isascii():
+        return "latn" if PLAIN["latn"].search(t) else "unknown"
+    h = {b: sum(map(len, p.findall(t))) for b, p in PLAIN.items()}
+    if not any(h.values()):
+        return "unknown"
+    han = h["han"]
+    traditional, simplified = (sum(t.count(c) for c in only) for only in (TRADITIONAL_ONLY, SIMPLIFIED_ONLY)) if han else (0, 0)
+    east = (h["kana"] + han, "jpan") if h["kana"] else (h["hang"] + han, "kore") if h["hang"] else (han, "hant" if traditional > simplified else "hans")
+    return max(east, *((h[b], b) for b in ("latn", "cyrl", "arab", "deva", "taml", "thai")))[1]
+
+
 def language_of(script: Column) -> Column:
     pairs = [F.lit(x) for kv in SCRIPT_LANG.items() for x in kv]
     return F.coalesce(F.element_at(F.create_map(*pairs), script), F.lit("und"))

@@ -31,10 +31,16 @@ class PrintedPages:
     def n_pages(self, content: bytes) -> int:
         return -(-(content.count(b"\n") + 1) // blocks.LINES_PER_PAGE)
 
+    def _lines(self, content: bytes) -> list[bytes]:
+        """Lines of the content of the last call are kept: a long document is cut once, not once a page."""
+        if getattr(self, "_cut", (None,))[0] is not content:
+            self._cut = content, content.split(b"\n")
+        return self._cut[1]
+
     def render(self, content: bytes, page: int, dpi: int) -> np.ndarray:
         first = (page - 1) * blocks.LINES_PER_PAGE
         strips = []
-        for k, line in enumerate(content.split(b"\n")[first : first + blocks.LINES_PER_PAGE], first):
+        for k, line in enumerate(self._lines(content)[first : first + blocks.LINES_PER_PAGE], first):
             if line.strip():
                 tall = USUAL if k % 5 else TALL
                 wide = -(-len(line) // tall)

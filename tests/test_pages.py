@@ -179,3 +179,29 @@ def test_files_to_one_index(spark, tmp_path):
     assert compose.ingest_files(*args, PrintedFiles(), engine(unknown=1.0))[0] == path
     other, _, told = compose.ingest_files(*args[:2], f"file://{tmp_path}/plain", PrintedFiles())
     assert {r.filename: r.outcome for r in told.collect()}["scan.pdf"] == "skipped" and index.load_index(spark, other, seams.HashingEmbedder()).count() == 1
+
+
+def test_scripts_of_single_texts(spark):
+    from lexiloom.functions import scripts
+
+    edges = [chr(x) * 3 for ranges in scripts.BUCKETS.values() for a, b in ranges for x in (a, b)]
+    mixed = ["", "12 —", "a слово", "ab яю", "國见", "國見见", "漢字かな", "かな한국", "한국어 ab", "தமிழ் abc", "ไทย 한", "é", "�", "\U00020000國", "กab", "日本abc"]
+    rows = spark.createDataFrame([(t,) for t in edges + mixed], "t string").select("t", scripts.detect(F.col("t")).alias("s")).collect()
+    assert [(r.t, scripts.detect_plain(r.t)) for r in rows] == [(r.t, r.s) for r in rows]
+
+
+def test_no_raster_leaves_its_worker(spark, tmp_path, monkeypatch):
+    """Files that share pages, rows of one doc_id, and pages known from before: the same blocks as by rasters."""
+    rows = (("a", "one\ntwo\n" * 9 + "end", None), ("a", "other\nlines", "latn"), ("b", "one\ntwo\n" * 9 + "end", None), (None, "x\nслово y", None), ("c", "", None), ("d", "long " * 40 + "\nx", None))
+    eng, root = engine(unknown=0.9, cyrl=0.8, latn=0.7), f"file://{tmp_path}/lines"
+    pages = ocr.render_pages(files(spark, *rows[:1] + rows[1:3] + rows[4:]), PrintedPages()).withColumn("page_hash", ocr.page_hash())
+    want = sorted(ocr.line_blocks(pages, ocr.read_lines(pages.dropDuplicates(["page_hash"]), eng)).collect(), key=str)
+    with monkeypatch.context() as m:
+        m.setattr(ocr, "render_pages", None)
+        given = files(spark, *[r for r in rows if r[0]])
+        assert sorted(ocr.read_documents(given, PrintedPages(), eng, root).collect(), key=str) == want
+        n = spark.read.parquet(ocr.LineCache(root, eng).path).count()
+        assert n == spark.read.parquet(ocr.LineCache(root, eng).path).select("page_hash").distinct().count()
+        # once more, with one file more: only its page is read
+        assert ocr.read_documents(files(spark, *rows), PrintedPages(), eng, root).count() == len(want) + 2
+        assert spark.read.parquet(ocr.LineCache(root, eng).path).count() == n + 1
