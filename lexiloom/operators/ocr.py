@@ -32,6 +32,8 @@ DEFAULT = "unknown"
 BATCH = 16
 #: Crops and lines that are recognised together, and pages that are told at once.
 READ_BYTES, READ_LINES, MARKED = 8_000_000, 2_000, 2_000
+#: Pages of a file that one task reads.
+PAGES_TOGETHER = 256
 PAGE = struct("doc_id string, page int, height int, width int, channels int, pixels binary, script_hint string")
 #: A page and its lines, boxes in pixels; script is the head that read a line.
 READ = struct("page_hash string, height int, width int, lines array<struct<x0: double, y0: double, x1: double, y1: double, height: int, width: int, script: string, text: string, ocr_confidence: double>>")
@@ -200,11 +202,15 @@ def mark_pages(files: DataFrame, renderer: Renderer, dpi: int = 200) -> DataFram
 def read_marked(files: DataFrame, marks: DataFrame, renderer: Renderer, engine: Engine, dpi: int = 200) -> DataFrame:
     """READ rows of all pages of marks, each hash once: only contents are shuffled, never rasters.
 
-    A page is rendered again in the worker that reads it, from one of the files that have it.
+    A page is rendered again in the worker that reads it, from one of the files that have it. The pages
+    of longer files are dealt out to several tasks, with a copy of the file each.
     """
+    part = F.floor((F.col("f.page") - 1) / PAGES_TOGETHER)
     of = marks.groupBy("page_hash").agg(F.min(F.struct("doc_id", "key", "page")).alias("f"))
-    asked = of.groupBy("f.doc_id", "f.key").agg(F.collect_list("f.page").alias("pages"), F.collect_list("page_hash").alias("hashes")).toDF("_doc", "_key", "pages", "hashes")
+    asked = of.groupBy("f.doc_id", "f.key", part).agg(F.collect_list("f.page").alias("pages"), F.collect_list("page_hash").alias("hashes")).toDF("_doc", "_key", "_part", "pages", "hashes")
     rows = files.withColumn("key", _key()).join(asked, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")))
+    if not marks.where(F.col("page") > PAGES_TOGETHER).isEmpty():
+        rows = rows.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "_part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def images() -> Iterator[tuple]:

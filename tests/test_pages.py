@@ -205,3 +205,14 @@ def test_no_raster_leaves_its_worker(spark, tmp_path, monkeypatch):
         # once more, with one file more: only its page is read
         assert ocr.read_documents(files(spark, *rows), PrintedPages(), eng, root).count() == len(want) + 2
         assert spark.read.parquet(ocr.LineCache(root, eng).path).count() == n + 1
+
+
+def test_long_files_are_read_by_several_tasks(spark, tmp_path, monkeypatch):
+    rows = (("a", "\n".join(f"w{k}" for k in range(45)), None), ("b", "x", None))
+    monkeypatch.setattr(ocr, "PAGES_TOGETHER", 2)
+    given = files(spark, *rows)
+    marks = ocr.mark_pages(given, PrintedPages())
+    got = ocr.read_marked(given, marks, PrintedPages(), engine(unknown=1.0)).select("page_hash", F.spark_partition_id().alias("p")).collect()
+    assert len(got) == len({r.page_hash for r in got}) == marks.count() == 6
+    assert len({r.p for r in got}) > 1
+    assert [x[5] for x in blocks_of(spark, tmp_path, engine(unknown=1.0), *rows) if x[0] == "a"] == [f"w{k}" for k in range(45)]
