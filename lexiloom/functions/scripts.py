@@ -132,17 +132,35 @@ def language_of(script: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), script), F.lit("und"))
 
 
+def _without(text: Column, pattern: str) -> Column:
+    """Characters that are left: one match a run, not one a character."""
+    return F.length(F.regexp_replace(text, pattern, "")).cast("long")
+
+
 def legacy_ratio(text: Column) -> Column:
-    """Suspect characters among all but white space; 0 if any real script is present."""
-    solid = count(text, NOT_SPACE)
-    return F.when((solid == 0) | (count(text, char_class(REAL_SCRIPT)) > 0), 0.0).otherwise(count(text, char_class(LEGACY_SUSPECT)) / solid)
+    """Suspect characters among all but white space; 0 if any real script is present.
+
+    Plain ASCII has none of them.
+    """
+
+    def of(t: Column) -> Column:
+        suspect = F.length(t) - _without(t, char_class(LEGACY_SUSPECT) + "++")
+        ratio = let(_without(t, GAP), lambda solid: F.when(solid == 0, 0.0).otherwise(suspect / solid))
+        return F.when((F.octet_length(t) == F.length(t)) | t.rlike(SKIP + char_class(REAL_SCRIPT)), 0.0).otherwise(ratio)
+
+    return let(F.coalesce(text, F.lit("")), of)
 
 
 def mixed_ratio(text: Column) -> Column:
     """Of the tokens with a spaced-script character, the share with an ASCII letter too."""
-    tokens = F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda t: t.rlike(char_class(SPACED_SCRIPT)))
-    fused = F.filter(tokens, lambda t: t.rlike("[A-Za-z]"))
-    return F.when(F.size(tokens) > 0, F.size(fused) / F.size(tokens)).otherwise(0.0)
+    spaced = SKIP + char_class(SPACED_SCRIPT)
+
+    def of(t: Column) -> Column:
+        tokens = F.filter(F.split(t, GAP), lambda x: x.rlike(spaced))
+        share = let(tokens, lambda x: F.when(F.size(x) > 0, F.size(F.filter(x, lambda y: y.rlike("[A-Za-z]"))) / F.size(x)).otherwise(0.0))
+        return F.when(t.rlike(spaced), share).otherwise(0.0)
+
+    return let(F.coalesce(text, F.lit("")), of)
 
 
 def trustworthy(text: Column, legacy_max: float = LEGACY_MAX, mixed_max: float = MIXED_MAX) -> Column:

@@ -16,6 +16,8 @@ LIST_ITEM = r"^\s*(?:[-•–⁃▪○·*]|\d{1,2}[.)]|[a-z][.)])\s+"
 ROW_BAND_POINTS = 5.0
 LINES_PER_PAGE = 10
 OCR_LEAST_CONFIDENCE = 0.30
+#: White space at the ends of a text. Java tries a run of it once, not from each of its characters.
+EDGES = f"^{scripts.SPACE}++|{scripts.SKIP}(?<!{scripts.SPACE}){scripts.SPACE}++$"
 
 
 def document_blocks(docs: DataFrame) -> DataFrame:
@@ -113,10 +115,22 @@ def normalise_blocks(blocks: DataFrame, composed: bool = False) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "text"], F.explode(full).alias("text"))
 
 
+def with_text_layer(blocks: DataFrame) -> DataFrame:
+    """Rows of the documents whose text can be used: text_layer_gate in one grouping, without a join."""
+    own = [c for c in blocks.columns if c != "doc_id"]
+    docs = blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("reading_order", *[c for c in own if c != "reading_order"]))).alias("b"))
+    joined = F.array_join(F.transform("b", lambda x: x["text"]), "")
+    trimmed = F.aggregate("b", F.lit(0), lambda n, x: n + F.coalesce(F.length(F.regexp_replace(x["text"], EDGES, "")), F.lit(0)))
+    n_pages = F.array_max(F.transform("b", lambda x: x["page"]))
+    dense = F.when(n_pages > 0, trimmed / n_pages >= scripts.MIN_CHARS_PER_PAGE)
+    kept = docs.where(F.coalesce(dense & scripts.trustworthy(joined), F.lit(False)))
+    return kept.select("doc_id", F.explode("b").alias("x")).select(*[F.col("doc_id") if c == "doc_id" else F.col(f"x.{c}") for c in blocks.columns])
+
+
 def text_layer_gate(blocks: DataFrame, documents: DataFrame) -> DataFrame:
     """documents(doc_id, n_pages) with whether their blocks' text can be used."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("reading_order", "text"))), lambda x: x["text"])
-    joined = blocks.groupBy("doc_id").agg(F.array_join(ordered, "").alias("joined"), F.sum(F.length(F.regexp_replace("text", f"^{scripts.SPACE}+|{scripts.SPACE}+$", ""))).alias("chars"))
+    joined = blocks.groupBy("doc_id").agg(F.array_join(ordered, "").alias("joined"), F.sum(F.length(F.regexp_replace("text", EDGES, ""))).alias("chars"))
     rows = documents.join(joined, "doc_id", "left")
     dense = (F.col("n_pages") > 0) & (F.coalesce("chars", F.lit(0)) / F.col("n_pages") >= scripts.MIN_CHARS_PER_PAGE)
     return rows.withColumn("has_text_layer", F.coalesce(dense & scripts.trustworthy(F.col("joined")), F.lit(False))).drop("joined", "chars")

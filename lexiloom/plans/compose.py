@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..config import Config
+from ..config import Config, hash_object
 from ..operators import answer, blocks, cache, chunks, evaluate, index, ocr, retrieval
 from ..operators.seams import HashingEmbedder, PageReader, TextEmbedder, embed, overlap_score, pass_through, read_pages
 from ..schema import BLOCK, CHUNK, conform
@@ -50,17 +50,18 @@ def page_blocks(items: DataFrame, height: Column | float, *ties: str) -> DataFra
     placed = blocks.reading_order(items, height, *ties)
     table = F.coalesce("in_table", F.lit(False)) if "in_table" in items.columns else F.lit(False)
     kind = blocks.classify(F.col("text"), F.col("size"), F.col("bold"), F.col("body_size"), table)
-    rows = placed.join(blocks.body_size(placed), "doc_id").withColumn("kind", kind).drop("body_size", "size", "bold")
-    gated = blocks.text_layer_gate(rows, rows.groupBy("doc_id").agg(F.max("page").alias("n_pages"))).where("has_text_layer")
-    rows = rows.join(gated.select("doc_id"), "doc_id", "left_semi").withColumn("block_id", blocks.block_id())
+    rows = placed.join(blocks.body_size(items), "doc_id").withColumn("kind", kind).drop("body_size", "size", "bold")
+    rows = blocks.with_text_layer(rows).withColumn("block_id", blocks.block_id())
     return blocks.normalise_blocks(rows)
 
 
 def ingest_items(items: DataFrame, root: str, height: float, *ties: str, cfg: Config = Config(), embedder: TextEmbedder | None = None) -> tuple[str, dict]:
     """Page items to an index: order, kinds, gate, normalisation, chunks, vectors, verification."""
-    rows = page_blocks(items, height, *ties)
-    # pages place blocks; boxes in points are no fractions of a page
-    return index_blocks(rows.drop("bbox"), root, cfg, embedder)
+    made = page_blocks(items, height, *ties).drop("bbox")  # pages place blocks; boxes in points are no fractions of a page
+    # kept by the items, so that they are made once a content: their hash, their chunks and a second run read them
+    key = cache.StageKey("blocks", cache.hash_rows(items), PIPELINE_VERSION, hash_object([height, *ties]))
+    stages = cache.StageCache(items.sparkSession, f"{root.rstrip('/')}-cache/stages")
+    return index_blocks(stages.get_or_compute(key, made.schema, lambda: made).frame, root, cfg, embedder)
 
 
 def ingest_files(spark: SparkSession, targets: Sequence[str], root: str, reader: PageReader, renderer: ocr.Renderer | None = None, engine: ocr.Engine | None = None, cfg: Config = Config(), embedder: TextEmbedder | None = None) -> tuple[str, dict, DataFrame]:

@@ -145,3 +145,32 @@ def test_all_tokens_and_whole_headings(spark, tmp_path):
     got = {r.doc_id: r for r in registry.QUERIES["tokenize"](spark, str(tmp_path)).collect()}
     assert got[1].n == 30 and got[1].tokens == docs[0][1] and got[2].tokens == "late words"
     assert {r.doc_id: r.level for r in registry.QUERIES["heading_level"](spark, str(tmp_path)).collect()} == {1: 2, 2: 3}
+
+
+def test_the_gate_in_one_grouping(spark):
+    """The same documents as by the joined form; spans without text and pages below 1 included."""
+    from lexiloom.operators import blocks
+
+    texts = {"a": ["plain words " * 9, "  more  "], "b": ["short"], "c": ["தமிழ் " * 30, "abதமிழ் " * 20], "d": ["ãäåæ " * 30], "e": ["x " * 60, None], "f": [], "g": ["ãä " * 10 + "слово " * 30, "文字 " * 20 + "é" * 40], "h": [" " * 80, "　y"]}
+    rows = [(d, 1 + k // 2, k, t) for d, ts in texts.items() for k, t in enumerate(ts)] + [("z", 0, 0, "y" * 90)]
+    b = spark.createDataFrame(rows, "doc_id string, page int, reading_order int, text string")
+    want = blocks.text_layer_gate(b, b.groupBy("doc_id").agg(F.max("page").alias("n_pages"))).where("has_text_layer")
+    got = blocks.with_text_layer(b)
+    assert got.columns == b.columns and {r.doc_id for r in got.collect()} == {r.doc_id for r in want.collect()} == {"a", "e", "g"}
+    assert got.count() == b.join(want, "doc_id", "left_semi").count()
+
+
+def test_items_become_blocks_once(spark, tmp_path, monkeypatch):
+    """A second ingest of the same items reads what the first has made; other items are made anew."""
+    from lexiloom.operators import blocks
+    from lexiloom.plans import compose
+
+    rows = [("a", 1, (0.0, 20.0 * k, 1.0, 20.0 * k + 9), f"line {k} of some length for the gate", 9.0, 0.0) for k in range(4)]
+    schema = "doc_id string, page int, bbox struct<x0: double, y0: double, x1: double, y1: double>, text string, size double, bold double"
+    items, root = spark.createDataFrame(rows, schema), f"file://{tmp_path}/index"
+    path, manifest = compose.ingest_items(items, root, 1.0)
+    made = lambda: len(list((tmp_path / "index-cache" / "stages" / "blocks").iterdir()))
+    assert manifest["n_vectors"] == 1 and made() == 1
+    assert compose.ingest_items(items, root, 1.0)[0] == path and made() == 1
+    assert compose.ingest_items(items, root, 1000.0)[0] and made() == 2
+    assert compose.ingest_items(items.where("bbox.y0 < 50"), root, 1.0)[0] != path and made() == 3
