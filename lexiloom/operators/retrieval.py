@@ -6,16 +6,20 @@ after ranking. gate_score is always a cosine, whatever unit score has.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..functions.scripts import detect
+from ..schema import struct
 from ..sources.staging import staged
 
 # The constants of BM25.
@@ -28,6 +32,8 @@ QUERIES_PER_PASS, ROWS_PER_BLOCK = 4096, 8192
 QUERY_BLOCKS_PER_TASK, BATCH_BYTES = 8, 16_777_216
 #: Query terms, and pairs of query and term, that may be broadcast (some 40 bytes each).
 BROADCAST_TERMS, BROADCAST_PAIRS = 200_000, 500_000
+#: Rows scored at once, and terms of a block of queries that are scored as a matrix.
+ROWS_AT_ONCE, DENSE_TERMS = 512, 256
 
 
 def top_k(scored: DataFrame, k: int, *ties: str) -> DataFrame:
@@ -136,15 +142,177 @@ def idf(df: Column, n: Column) -> Column:
     return F.log1p((n - df + 0.5) / (df + 0.5))
 
 
+def _words(text: str, pairs: bool) -> list[str]:
+    """functions.text.tokens of a folded text: str.split knows the same white space."""
+    if pairs:
+        solid = "".join(text.split())
+        return [solid[i : i + 2] for i in range(len(solid) - 1)] or [solid] * bool(solid)
+    return [t for t in (w.strip(tx.EDGE_PUNCTUATION) for w in text.split()) if t]
+
+
+def _tokenising(rows: DataFrame) -> DataFrame:
+    """(row_id, folded, pairs): folded, and told how to be cut, by the same expressions as tokens."""
+    text = F.coalesce("text", F.lit(""))
+    return rows.select(F.col("row_id").cast("long").alias("row_id"), tx.fold(text).alias("folded"), detect(text).isin(*tx.NON_SEGMENTING_SCRIPTS).alias("pairs"))
+
+
+def _known_terms(rows: DataFrame, terms: list[str]) -> DataFrame:
+    """(row_id, doc_len, terms, tfs): the length of each row that has tokens, and how often it has which of the terms, by place."""
+    schema = struct("row_id long, doc_len int, terms array<int>, tfs array<int>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {t: i for i, t in enumerate(terms)}
+        for batch in batches:
+            ids, sizes, ends, found, tfs = [], [], [0], [], []
+            for row_id, text, pairs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                size, own = 0, {}
+                if pairs:
+                    words = _words(text, True)
+                    size = len(words)
+                    own = {at[w]: n for w, n in Counter(words).items() if w in at}
+                else:
+                    # distinct words are stripped once
+                    for w, n in Counter(text.split()).items():
+                        if w := w.strip(tx.EDGE_PUNCTUATION):
+                            size += n
+                            if (i := at.get(w)) is not None:
+                                own[i] = own.get(i, 0) + n
+                if size:
+                    ids.append(row_id)
+                    sizes.append(size)
+                    found.extend(own)
+                    tfs.extend(own.values())
+                    ends.append(len(found))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (found, tfs)]
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), *lists], schema.fieldNames())
+
+    return _tokenising(rows).mapInArrow(run, schema)
+
+
+def _best_by_worth(counts: DataFrame, asked: list[tuple[int, int, float]], avg_len: float, k: int) -> DataFrame:
+    """(query_id, row_id, score), k rows a query and task: rows of _known_terms against all pairs (query_id, term, worth).
+
+    A part of the rows against a block of queries is one sparse sum: what a row has of a term is added to
+    the queries that have the term. Terms of many queries are a matrix product.
+    """
+    ids, q_at = np.unique(np.array([q for q, _, _ in asked], np.int64), return_inverse=True)
+    term, worth = np.array([t for _, t, _ in asked], np.int64), np.array([w for _, _, w in asked], np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = []
+        for first in range(0, len(ids), QUERIES_PER_PASS):
+            inside = (q_at >= first) & (q_at < first + QUERIES_PER_PASS)
+            blocks.append(_Worths(q_at[inside] - first, term[inside], worth[inside], min(QUERIES_PER_PASS, len(ids) - first)))
+        kept: list = [None] * len(blocks)
+        for batch in batches:
+            row_ids, lens = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ends = batch.column(2).offsets.to_numpy()
+            of = np.repeat(np.arange(len(row_ids)), np.diff(ends))
+            found, tf = batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy().astype(np.float64)
+            part = tf / (tf + K1 * (1 - B + B * lens[of] / avg_len))
+            for a in range(0, len(row_ids), ROWS_AT_ONCE):
+                z = min(a + ROWS_AT_ONCE, len(row_ids))
+                own = slice(np.searchsorted(of, a), np.searchsorted(of, z))
+                for n, block in enumerate(blocks):
+                    score = block.scores(of[own] - a, found[own], part[own], z - a)
+                    kept[n] = _merged(kept[n], np.where(score > 0, np.rint(score * 1e6), -1).astype(np.int64), row_ids[a:z], k)
+        for n, best in enumerate(kept):
+            if best is not None:
+                points, rows = best
+                there = points >= 0
+                q = np.repeat(ids[n * QUERIES_PER_PASS : n * QUERIES_PER_PASS + len(points)], points.shape[1])[there.ravel()]
+                yield pa.record_batch([pa.array(q), pa.array(rows[there]), pa.array(points[there] / 1e6)], ["query_id", "row_id", "score"])
+
+    return counts.mapInArrow(run, "query_id long, row_id long, score double")
+
+
+class _Worths:
+    """Worths of terms for the queries of one block."""
+
+    def __init__(self, query: np.ndarray, term: np.ndarray, worth: np.ndarray, n: int):
+        order = np.argsort(term, kind="stable")
+        self.query, self.worth, self.n = query[order], worth[order], n
+        names, self.first, self.many = np.unique(term[order], return_index=True, return_counts=True)
+        self.place = np.full(int(term.max()) + 1, -1) if len(term) else np.empty(0, np.int64)
+        self.place[names] = np.arange(len(names))
+        # terms of more than a sixteenth of the queries: dense
+        self.dense = np.full(len(names), -1)
+        often = np.flatnonzero(self.many * 16 > n)[:DENSE_TERMS]
+        self.dense[often] = np.arange(len(often))
+        self.matrix = np.zeros((len(often), n))
+        for i, t in enumerate(often):
+            own = slice(self.first[t], self.first[t] + self.many[t])
+            np.add.at(self.matrix[i], self.query[own], self.worth[own])
+
+    def scores(self, row: np.ndarray, term: np.ndarray, part: np.ndarray, n_rows: int) -> np.ndarray:
+        """Scores of n_rows rows for each query: more than 0 where any term is shared."""
+        known = term < len(self.place)
+        row, part, t = row[known], part[known], self.place[term[known]]
+        row, part, t = row[t >= 0], part[t >= 0], t[t >= 0]
+        d = self.dense[t]
+        of_rows = np.zeros((n_rows, len(self.matrix)))
+        of_rows[row[d >= 0], d[d >= 0]] = part[d >= 0]
+        row, part, t = row[d < 0], part[d < 0], t[d < 0]
+        many = self.many[t]
+        at = np.repeat(self.first[t] - np.r_[0, np.cumsum(many)[:-1]] if len(t) else t, many) + np.arange(many.sum())
+        cell = self.query[at] * n_rows + np.repeat(row, many)
+        score = np.bincount(cell, self.worth[at] * np.repeat(part, many), self.n * n_rows).reshape(self.n, n_rows)
+        return score + self.matrix.T @ of_rows.T if len(self.matrix) else score
+
+
+def _merged(kept: tuple | None, points: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each query, by points and then by the smaller row_id; no hit has -1 points."""
+    order = np.argsort(rows, kind="stable")
+    rows, points = rows[order], points[:, order]
+    n, take = len(rows), min(k, len(rows))
+    key = points * n + np.arange(n - 1, -1, -1)  # the place breaks ties
+    key = np.partition(key, n - take, axis=1)[:, n - take :]
+    points, at = key // n, rows[n - 1 - key % n]
+    if kept is not None:
+        points, at = np.hstack([kept[0], points]), np.hstack([kept[1], at])
+    order = np.lexsort((at, -points), axis=1)[:, :k]
+    return np.take_along_axis(points, order, 1), np.take_along_axis(at, order, 1)
+
+
 def lexical_hits(queries: DataFrame, rows: DataFrame, k: int = 20, stats: DataFrame | None = None) -> DataFrame:
     """BM25 top k. queries(query_id, text), rows(row_id, text). Rows without a match are no hits.
 
-    Texts are cut into tokens once. Tokens that some query has are counted by row and term, all
-    others of a row together, which is enough for lengths; these counts are written and everything
-    else follows from them. The terms of the queries, and the queries of each term, are broadcast
-    where their number is checked; many more are joined by shuffle, where AQE splits frequent terms.
+    Texts are cut into tokens once; of each row its length and the terms that some query has are written.
+    Where terms and pairs of query and term are few enough to be handed to every task, these counts are
+    scored where they lie: a task keeps k rows a query, and no posting is shuffled. More of them, and rows
+    that share an id or have none, are counted and joined by shuffle. Hits are written once, whatever reads them.
     """
+    ranked = staged(_lexical(queries, rows, k, stats), "lexical")
+    return ranked.withColumns({"arm": F.lit("lexical"), "gate_score": F.lit(None).cast("double"), "degraded": F.lit(0)})
+
+
+def _lexical(queries: DataFrame, rows: DataFrame, k: int, stats: DataFrame | None) -> DataFrame:
+    """(query_id, row_id, score, rank) of lexical_hits."""
     q = staged(tokenised(queries, "query_id").select("query_id", F.explode(F.array_distinct("tokens")).alias("term")), "query_terms")
+    if stats is not None or k < 1 or q.where("query_id IS NULL").count() or q.count() > BROADCAST_PAIRS or q.select("term").distinct().count() > BROADCAST_TERMS:
+        return _lexical_by_shuffle(q, rows, k, stats)
+    if not {queries.schema["query_id"].dataType.typeName(), rows.schema["row_id"].dataType.typeName()} <= {"long"}:
+        return _lexical_by_shuffle(q, rows, k, stats)
+    pairs = [(r.query_id, r.term) for r in q.collect()]  # BROADCAST_PAIRS at most
+    terms = sorted({t for _, t in pairs})
+    counts = staged(_known_terms(rows, terms), "known_terms")
+    shared = counts.select("row_id").groupBy("row_id").count().where("count > 1 OR row_id IS NULL")
+    if not shared.isEmpty():
+        return _lexical_by_shuffle(q, rows, k, stats)
+    n, total = rows.count(), counts.agg(F.sum("doc_len")).first()[0] or 0
+    df = dict(counts.select(F.explode("terms").alias("t")).groupBy("t").count().collect())  # BROADCAST_TERMS at most
+    at = {t: i for i, t in enumerate(terms)}
+    asked = [(query_id, at[t], math.log1p((n - df[at[t]] + 0.5) / (df[at[t]] + 0.5)) * (K1 + 1)) for query_id, t in pairs if at[t] in df]
+    best = _best_by_worth(counts, asked, total / n if n else 1.0, k)
+    return top_k(best, k)
+
+
+def _lexical_by_shuffle(q: DataFrame, rows: DataFrame, k: int, stats: DataFrame | None) -> DataFrame:
+    """_lexical for any number of terms and queries: AQE splits frequent terms.
+
+    q: (query_id, term). Tokens that some query has are counted by row and term, all others of a row
+    together, which is enough for lengths; these counts are written and everything else follows from them.
+    """
     wanted = q.select("term").distinct().withColumn("asked", F.lit(True))
     few = wanted.count() <= BROADCAST_TERMS
     each = tokenised(rows, "row_id").select("row_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
@@ -162,7 +330,7 @@ def lexical_hits(queries: DataFrame, rows: DataFrame, k: int = 20, stats: DataFr
     pairs = post.join(F.broadcast(asked) if q.count() <= BROADCAST_PAIRS else asked, "term")
     part = F.col("worth") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
     scored = pairs.groupBy("query_id", "row_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return top_k(scored, k).withColumns({"arm": F.lit("lexical"), "gate_score": F.lit(None).cast("double"), "degraded": F.lit(0)})
+    return top_k(scored, k)
 
 
 def fuse(arms: list[tuple[DataFrame, float]], k: int, rrf_k: int = 60) -> DataFrame:

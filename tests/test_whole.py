@@ -174,3 +174,52 @@ def test_items_become_blocks_once(spark, tmp_path, monkeypatch):
     assert compose.ingest_items(items, root, 1.0)[0] == path and made() == 1
     assert compose.ingest_items(items, root, 1000.0)[0] and made() == 2
     assert compose.ingest_items(items.where("bbox.y0 < 50"), root, 1.0)[0] != path and made() == 3
+
+
+def test_lexical_hits_where_counts_lie(spark, monkeypatch):
+    """Scored by tasks or by shuffle, in any blocks: the same hits; only matches, copies by their ids."""
+    words = "the light of logic gates и слово été 光合作用 (light) light. LIGHT ﬀ ß ςas İx".split()
+    rows = [(7 * i % 1000, " ".join(words[(i * j * j + j) % len(words)] for j in range(i % 13)), 0) for i in range(120)] + [(5000, None, 0), (5001, "光合作用的光", 0), (5002, " … ", 0), (5003, "the the the\x1flight", 0)]
+    rows += [(9000 + i, "light of the copies", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, "row_id long, text string, x int").drop("x").repartition(5)
+    qs = spark.createDataFrame([(1, "Light of gates"), (2, "слово"), (3, "光合作用"), (4, "the copies the"), (5, "nothing here"), (6, None), (-7, "été ß")], "query_id long, text string")
+
+    def hits():
+        return [tuple(r) for r in retrieval.lexical_hits(qs, docs, 20).select("query_id", "rank", "row_id", "score").orderBy("query_id", "rank").collect()]
+
+    called, shuffled = [], retrieval._lexical_by_shuffle
+    monkeypatch.setattr(retrieval, "_lexical_by_shuffle", lambda *a: called.append(1) or shuffled(*a))
+    own = hits()
+    assert not called and {h[0] for h in own} == {1, 2, 3, 4, -7} and [h[2] for h in own if h[0] == 4] == list(range(9000, 9020))
+    with monkeypatch.context() as m:
+        m.setattr(retrieval, "QUERIES_PER_PASS", 2)
+        m.setattr(retrieval, "ROWS_AT_ONCE", 7)
+        m.setattr(retrieval, "DENSE_TERMS", 1)
+        assert hits() == own
+        m.setattr(retrieval, "BROADCAST_PAIRS", 3)
+        assert hits() == own and called
+    # rows that share an id are one row
+    twice = docs.unionByName(docs.where("row_id = 9000"))
+    called.clear()
+    assert retrieval.lexical_hits(qs, twice).groupBy("query_id", "row_id").count().where("count > 1").isEmpty() and called
+
+
+def test_words_are_tokens(spark):
+    from lexiloom.functions import text as tx
+    from lexiloom.functions.scripts import detect
+
+    rows = ["", "  ", "a", "光", "光 合\n作用", "Hello, (World)! 2.4.1", "x\u0085y z　w\x1cv᠎u​t", "«été» ßΣς …", "한국어 표현", "\U00020000𠀁a", None, "--- a-b _c_"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "row_id long, text string")
+    want = df.select("row_id", tx.tokens(F.col("text"), detect(F.col("text"))).alias("t")).orderBy("row_id").collect()
+    got = {r.row_id: retrieval._words(r.folded, r.pairs) for r in retrieval._tokenising(df).collect()}
+    assert [got[r.row_id] for r in want] == [r.t for r in want]
+
+
+def test_hits_are_found_once(spark, monkeypatch):
+    """Reranking, context and citations read hits that were written."""
+    real, made = retrieval.staged, []
+    monkeypatch.setattr(retrieval, "staged", lambda df, name: made.append(name) or real(df, name))
+    for name in ("bm25_topk", "rerank_topn", "citation_list", "context_blocks", "fit_context"):
+        made.clear()
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert made.count("lexical") == made.count("known_terms") == 1 and "MapInArrow" not in plan
