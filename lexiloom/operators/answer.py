@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import citations, text as tx
 from ..functions.scripts import detect, let
+from ..sources.staging import staged
 from .seams import extractive
 
 # Texts that interfaces and evaluation match on.
@@ -109,7 +110,7 @@ def answers(queries: DataFrame, gated: DataFrame, hits: DataFrame, chunks: DataF
     Queries below the gate are split off before the generator, so no model runs for them.
     """
     open_ = queries.join(gated.where("NOT abstained").select("query_id"), "query_id", "left_semi")
-    blocks = context_blocks(hits, chunks, names, cfg.retrieve.n_context)
+    blocks = staged(context_blocks(hits, chunks, names, cfg.retrieve.n_context), "context")
     fitted = fit_context(open_, blocks, cfg.generate.max_prompt_tokens, cfg.generate.language_reminder)
     raw = fitted.withColumn("v", citations.verify(generate(F.col("prompt")), F.col("n_context")))
     raw = raw.select("query_id", "n_context", "prompt_tokens", "v.*").withColumn("model_abstained", is_abstain(F.col("text")))

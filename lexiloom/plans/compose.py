@@ -121,10 +121,12 @@ def retrieve(queries: DataFrame, rows: DataFrame, cfg: Config = Config(), embedd
         queries = staged(retrieval.rewritten(queries, rewriter(F.col("text")), arms.rewrite.trigger_max_tokens), "rewritten")
         lost = queries.select("query_id", F.col("degraded").alias("lost"))
     vectors = queries.select("query_id", embed(F.col("text"), embedder, embedder.query_prefix).alias("vector"))
-    hits = retrieval.dense_hits(vectors, rows, arms.k)
+    # written once: fusion, gate and answers read hits several times
+    hits = staged(retrieval.dense_hits(vectors, rows, arms.k), "dense")
     if arms.hybrid.enabled:
         lexical = retrieval.lexical_hits(queries, rows.select("row_id", "text"), arms.k)
         hits = retrieval.fuse([(hits, arms.hybrid.dense_weight), (lexical, arms.hybrid.lexical_weight)], arms.k, arms.hybrid.rrf_k)
+        hits = staged(hits, "fused")
     if arms.rerank.enabled:
         head = hits.where(F.col("rank") <= arms.rerank.top_n).join(rows.select("row_id", F.col("text").alias("passage")), "row_id").join(queries.select("query_id", "text"), "query_id")
         scores = head.select("query_id", "row_id", overlap_score(F.col("text"), F.col("passage")).alias("new_score"))
