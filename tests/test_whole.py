@@ -223,3 +223,15 @@ def test_hits_are_found_once(spark, monkeypatch):
         made.clear()
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert made.count("lexical") == made.count("known_terms") == 1 and "MapInArrow" not in plan
+
+
+def test_arms_and_context_are_run_once(spark, monkeypatch):
+    """Gate, context and citations read hits and blocks that were written."""
+    from lexiloom.plans import compose
+
+    made = []
+    for module in (retrieval, compose, answer):
+        monkeypatch.setattr(module, "staged", lambda df, name, real=module.staged: made.append(name) or real(df, name))
+    plan = registry.QUERIES["answer_batch"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert [made.count(n) for n in ("dense", "lexical", "fused", "context")] == [1] * 4
+    assert "MapInPandas" not in plan and "documents.parquet" not in plan
